@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleaner.llm import bpe
 from gleaner.llm.exact_dedup import exact_dedup
 from gleaner.sources.tables import load
 
@@ -14,8 +17,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    """Encodes every text, decodes the ids and gives the digests of both."""
+    encoder = bpe.load_encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    shared = docs.sparkSession.sparkContext.broadcast(encoder)
+    return bpe.decode(bpe.encode(docs, shared), shared).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup,)}
+    return {f.__name__: f for f in (op2_exact_dedup, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
