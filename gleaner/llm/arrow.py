@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from gleaner.functions.ship import ship
@@ -17,7 +18,7 @@ PIECE_BYTES = 4 << 20
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` again, cut so that the column ``text`` of each piece stays below PIECE_BYTES."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > PIECE_BYTES:
