@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import store
 
 #: Rows of one digest from which its range is split.
-HOT_ROWS = 4096
+HOT_ROWS = 512
 #: Leading bytes that lead the sort order.
 HEAD_BYTES = 24
 #: Most hot digests that are broadcast (under 10 MB); beyond, the same join shuffles.
