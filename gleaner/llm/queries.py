@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import bpe
 from gleaner.llm.exact_dedup import exact_dedup
+from gleaner.llm.mixing import mix
 from gleaner.sources.tables import load
 
 
@@ -17,6 +18,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(load(spark, sf_dir, "documents"))
+    return mixed.documents.select("doc_id", "size", "source_size", "target", "taken", "start")
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encodes every text, decodes the ids and gives the digests of both."""
     encoder = bpe.load_encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -34,7 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_exact_dedup, op8_mix_sources, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
