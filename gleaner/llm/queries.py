@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe
+from gleaner.llm import bpe, store, token_store
 from gleaner.llm.exact_dedup import exact_dedup
 from gleaner.llm.mixing import mix
 from gleaner.sources.tables import load
@@ -18,6 +18,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = f.read()
+    files = token_store.write(load(spark, sf_dir, "documents"), content, store.new_path(spark, "token-store"))
+    return token_store.read_checksums(files)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents"))
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken", "start")
@@ -40,7 +47,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op8_mix_sources, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_exact_dedup, op4_token_store, op8_mix_sources, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
