@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import bpe, store, token_store
 from gleaner.llm.exact_dedup import exact_dedup
 from gleaner.llm.mixing import mix
+from gleaner.llm.topk import top_k
 from gleaner.sources.tables import load
 
 
@@ -18,6 +19,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         content = f.read()
@@ -47,7 +52,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op4_token_store, op8_mix_sources, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_top_k, op4_token_store, op8_mix_sources, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
