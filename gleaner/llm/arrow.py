@@ -8,6 +8,7 @@ from typing import Any
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from gleaner.functions.ship import ship
 
@@ -38,7 +39,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[Any]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[Any]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with this package present on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, store, token_store
+from gleaner.llm import bpe, store, token_store, toxicity
 from gleaner.llm.exact_dedup import exact_dedup
 from gleaner.llm.mixing import mix
 from gleaner.llm.topk import top_k
@@ -30,6 +30,14 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_checksums(files)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = toxicity.fold(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"), use=~held_out)
+    scored = toxicity.with_scores(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(load(spark, sf_dir, "documents"))
     return mixed.documents.select("doc_id", "size", "source_size", "target", "taken", "start")
@@ -52,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_top_k, op4_token_store, op8_mix_sources, op10_byte_bpe)}
+    return {f.__name__: f for f in (op2_exact_dedup, op3_top_k, op4_token_store, op7_toxicity, op8_mix_sources, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
