@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import bpe, chat, language_id, licenses, store, token_store, toxicity
 from gleaner.llm.exact_dedup import exact_dedup
+from gleaner.llm.jaccard_join import jaccard_components
 from gleaner.llm.mixing import mix
 from gleaner.llm.topk import top_k
 from gleaner.sources.tables import load
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(load(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"), keep="max")
 
@@ -80,7 +85,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_top_k, op4_token_store, op5_license_scan, op6_language_id, op7_toxicity, op8_mix_sources, op9_chat_format, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_jaccard_join, op2_exact_dedup, op3_top_k, op4_token_store, op5_license_scan, op6_language_id, op7_toxicity, op8_mix_sources, op9_chat_format, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
