@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 
-#: Chunks that a worker remembers; then it starts anew.
-MEMO = 300_000
+#: Chunks, and pre-tokens, that a worker remembers.
+MEMO = 400_000
 #: Keys per bucket of the perfect hash.
 PER_BUCKET = 2
 MASK = (1 << 64) - 1
@@ -79,24 +79,54 @@ class PerfectHash:
         return -d - 1 if d < 0 else self._slot(h, d)
 
 
+class Memo:
+    """A bounded memo of two generations: what was used since the last change of generations survives the next."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> list[int] | None:
+        got = self.new.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key: str, value: list[int]) -> None:
+        if len(self.new) >= self.most:
+            self.old = dict(self.new)
+            self.new.clear()  # the same object: loops hold on to it
+        self.new[key] = value
+
+
 class Encoder:
     """Ranks of byte strings and the pattern that cuts text into pre-tokens."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks, self.find = ranks, regex.compile(pattern).findall
+        self.pattern = pattern
         self.hash = PerfectHash(list(ranks))
         keys = list(ranks)
         self.keys = [keys[i] for i in self.hash.order]
         self.ids = [ranks[k] for k in self.keys]
+        self._prepare()
+
+    def _prepare(self) -> None:
+        """What follows from the vocabulary; made anew where the encoder arrives."""
+        self.find = regex.compile(self.pattern).findall
+        ranks = dict(zip(self.keys, self.ids, strict=True))
         self.bytes = {r: k for k, r in ranks.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.single = [ranks[bytes([b])] for b in range(256)]
+        # What two neighbouring tokens join to, for every way to part a token in two tokens.
+        self.joined = {
+            left << 20 | right: r for k, r in ranks.items() for i in range(1, len(k)) if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None
+        }
+        self.memo, self.words = Memo(MEMO), Memo(MEMO)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "find")} | {"pattern": self.find.__self__.pattern}
+        return {k: self.__dict__[k] for k in ("pattern", "hash", "keys", "ids")}
 
     def __setstate__(self, state: dict) -> None:
-        self.find = regex.compile(state.pop("pattern")).findall
-        self.__dict__.update(state, memo={})
+        self.__dict__.update(state)
+        self._prepare()
 
     def word(self, piece: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -104,42 +134,58 @@ class Encoder:
         return [self.ids[slot]] if self.keys[slot] == piece else self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Joins linked bytes by a heap of (rank, start, end); a pair that has changed since is passed over."""
-        n, rank = len(piece), self.ranks.get
-        after = list(range(1, n + 1))  # the end of the part that starts here
-        before = list(range(-1, n))  # the start of the part that ends here
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        """Joins linked bytes by a heap of (rank, place); an entry whose pair has changed since is passed over."""
+        get, n = self.joined.get, len(piece)
+        ids = [self.single[b] for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        pair = [get(ids[i] << 20 | ids[i + 1], -1) for i in range(n - 1)] + [-1]  # the rank that each place joins to
+        heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
         heapq.heapify(heap)
-        alive = bytearray(b"\x01") * n
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            _, i, j = heapq.heappop(heap)
-            if not alive[i] or (mid := after[i]) >= j or after[mid] != j:
+            top = pop(heap)
+            rank, i = top >> 32, top & 0xFFFFFFFF
+            if pair[i] != rank:
                 continue
-            alive[mid], after[i], before[j] = 0, j, i
-            if j < n and (r := rank(piece[i : after[j]])) is not None:
-                heapq.heappush(heap, (r, i, after[j]))
-            if i and (r := rank(piece[before[i] : j])) is not None:
-                heapq.heappush(heap, (r, before[i], j))
-        return [self.ranks[piece[i : after[i]]] for i in range(n) if alive[i]]
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        out: list[int] = []
+            gone = after[i]
+            ids[i], ids[gone], pair[gone] = rank, -1, -1
+            after[i] = right = after[gone]
+            if right < n:
+                before[right] = i
+                pair[i] = r = get(rank << 20 | ids[right], -1)
+                if r >= 0:
+                    push(heap, r << 32 | i)
+            else:
+                pair[i] = -1
+            left = before[i]
+            if left >= 0:
+                pair[left] = r = get(ids[left] << 20 | rank, -1)
+                if r >= 0:
+                    push(heap, r << 32 | left)
+        return [x for x in ids if x >= 0]
+
+    def chunk(self, chunk: str) -> list[int]:
+        if (out := self.memo.get(chunk)) is not None:
+            return out
+        out = []
         for piece in self.find(chunk):
-            out += self.word(piece.encode())
+            if (got := self.words.get(piece)) is None:
+                got = self.word(piece.encode())
+                if len(piece) <= 64:
+                    self.words.put(piece, got)
+            out += got
         if len(chunk) <= 64:
-            self.memo[chunk] = tuple(out)
-        return tuple(out)
+            self.memo.put(chunk, out)
+        return out
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        memo, chunk = self.memo, self.chunk
+        recent, chunk = self.memo.new.get, self.chunk
         first, *rest = text.split(" ") if not ODD.search(text) else CUT.split(text)
-        out += chunk(first) if (got := memo.get(first)) is None else got
+        out += chunk(first)
         for part in rest:
             part = " " + part
-            out += chunk(part) if (got := memo.get(part)) is None else got
+            out += recent(part) or chunk(part)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
