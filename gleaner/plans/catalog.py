@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from gleaner.plans import relational
+from gleaner.plans.registry import Query
 
 FLAGSHIP = "conditional_rates"
 
-Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (relational,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    out: dict[str, Query] = {}
+    for m in _MODULES:
+        if both := out.keys() & m.query.queries.keys():
+            raise ValueError(f"queries registered twice: {sorted(both)}")
+        out |= m.query.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.query.sql.items()}
