@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import relational
+from gleaner.plans import relational, texts
 from gleaner.plans.registry import Query
 
 FLAGSHIP = "conditional_rates"
 
-_MODULES = (relational,)
+_MODULES = (relational, texts)
 
 
 def queries() -> dict[str, Query]:
