@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import relational, texts
+from gleaner.plans import analytics, relational, texts
 from gleaner.plans.registry import Query
 
 FLAGSHIP = "conditional_rates"
 
-_MODULES = (relational, texts)
+_MODULES = (relational, texts, analytics)
 
 
 def queries() -> dict[str, Query]:
