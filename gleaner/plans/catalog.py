@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import analytics, postings, relational, texts
+from gleaner.plans import analytics, postings, relational, streams, texts
 from gleaner.plans.registry import Query
 
 FLAGSHIP = "conditional_rates"
 
-_MODULES = (relational, texts, analytics, postings)
+_MODULES = (relational, texts, analytics, postings, streams)
 
 
 def queries() -> dict[str, Query]:
