@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-Labels are known for documents only. Each sentence gets a score, a logistic function of the words that it holds; a
-document is toxic if any of its sentences is, so its score is the noisy-or of theirs: 1 - prod(1 - p). The weights are
-trained through that noisy-or from the labels of whole documents, and the sentence scores then show where the offence
-is.
+Labels are known for documents only. Each sentence gets a score, a logistic function of the telling words that it
+holds, and 0 without any; a document is toxic if any of its sentences is, so its score is the noisy-or of theirs with a
+leak, 1 - (1 - leak) prod(1 - p). As sentences without telling words add nothing, a long clean document scores no higher
+than a short one. The weights are trained through that noisy-or from the labels of whole documents, and the sentence
+scores then show where the offence is.
 """
 
 from __future__ import annotations
@@ -39,46 +40,39 @@ def sentences(text: str) -> list[list[bytes]]:
 
 @dataclass
 class Model:
-    """The log-odds of a sentence: ``bias`` and the weights of its distinct known words."""
+    """``bias`` and ``weights``: the log-odds of a sentence by its distinct telling words; ``leak``: the log-odds of a
+    document in which no sentence tells."""
 
     bias: float
     weights: dict[bytes, float]
+    leak: float
 
     def sentence_logits(self, text: str) -> list[float]:
-        get = self.weights.get
-        return [self.bias + sum(get(w, 0.0) for w in set(s)) for s in sentences(text)]
+        """The log-odds of each sentence, minus infinity for those without telling words."""
+        return [self.bias + sum(self.weights[w] for w in found) if (found := self.weights.keys() & s) else -math.inf for s in sentences(text)]
 
     def score(self, text: str) -> float:
-        """The noisy-or of the sentences' scores; a text without words scores as one empty sentence."""
-        weights, get = self.weights, self.weights.get
-        quiet, logits = 0, []
-        for s in sentences(text):
-            z = [get(w, 0.0) for w in weights.keys() & s]
-            if z:
-                logits.append(self.bias + sum(z))
-            else:
-                quiet += 1
-        if not logits and not quiet:
-            quiet = 1
-        return -math.expm1(-(quiet * _softplus(self.bias) + sum(map(_softplus, logits))))
+        return -math.expm1(-(_softplus(self.leak) + sum(map(_softplus, self.sentence_logits(text)))))
 
     def to_json(self) -> str:
-        return json.dumps([self.bias, {w.hex(): x for w, x in self.weights.items()}])
+        return json.dumps([self.bias, {w.hex(): x for w, x in self.weights.items()}, self.leak])
 
     @staticmethod
     def from_json(content: str) -> Model:
-        bias, weights = json.loads(content)
-        return Model(bias, {bytes.fromhex(w): x for w, x in weights.items()})
+        bias, weights, leak = json.loads(content)
+        return Model(bias, {bytes.fromhex(w): x for w, x in weights.items()}, leak)
 
 
 def _softplus(z: float) -> float:
+    if z == -math.inf:
+        return 0.0
     return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
 
 def fit(texts_: list[str], labels: list[int]) -> Model:
-    """Weights that make the noisy-or of the sentences fit the labels of the documents; without both labels, only a bias."""
+    """Weights that make the noisy-or of the sentences fit the labels of the documents; without both labels, only a leak."""
     y = np.array(labels, float)
-    split = [sentences(t) or [[]] for t in texts_]
+    split = [sentences(t) for t in texts_]
     seen, hit = Counter(), Counter()
     for s, label in zip(split, labels, strict=True):
         words = {w for x in s for w in x}
@@ -88,10 +82,12 @@ def fit(texts_: list[str], labels: list[int]) -> Model:
     n, pos = len(y), float(y.sum())
     if not 0 < pos < n:
         rate = min(max(pos / n if n else 0.0, 1e-3), 1 - 1e-3)
-        return Model(math.log(rate / (1 - rate)), {})
+        return Model(0.0, {}, min(math.log(rate / (1 - rate)), -1.0))
 
     def gain(w: bytes) -> float:
-        """The log likelihood ratio of the word's presence and the label."""
+        """The log likelihood ratio of the word's presence and the label, 0 for words that speak against it."""
+        if hit[w] * n <= seen[w] * pos:
+            return 0.0
         a, b, total = hit[w], seen[w] - hit[w], 0.0
         for k, row, col in ((a, seen[w], pos), (b, seen[w], n - pos), (pos - a, n - seen[w], pos), (n - pos - b, n - seen[w], n - pos)):
             total += k * math.log(k * n / (row * col)) if k else 0.0
@@ -100,29 +96,28 @@ def fit(texts_: list[str], labels: list[int]) -> Model:
     gains = {w: g for w, k in seen.items() if k >= LEAST and (g := gain(w)) >= GAIN}
     known = sorted(gains, key=lambda w: (-gains[w], w))[:WORDS]
     index = {w: i for i, w in enumerate(known)}
-    doc, sent, feat, count = [], [], [], 0
+    doc, sent, feat = [], [], []
     for d, s in enumerate(split):
         for x in s:
-            for w in index.keys() & x:
-                sent.append(count), feat.append(index[w])
-            doc.append(d)
-            count += 1
+            if found := index.keys() & x:
+                for w in sorted(found):
+                    sent.append(len(doc)), feat.append(index[w])
+                doc.append(d)
     doc, sent, feat = (np.array(x, np.int64) for x in (doc, sent, feat))
-    lengths = np.bincount(doc, minlength=n)
-    bias, w = math.log(max(pos / n, 1e-3) / max(lengths.mean(), 1.0)), np.zeros(len(known))
-    mean, square = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
+    # Parameters: the weights, the bias and the leak.
+    theta = np.append(np.zeros(len(known)), [0.0, math.log(0.1 * pos / n)])
+    mean, square = np.zeros(len(theta)), np.zeros(len(theta))
     for step in range(1, STEPS + 1):
-        z = bias + np.bincount(sent, w[feat], minlength=count)
-        heat = np.bincount(doc, np.logaddexp(0, z), minlength=n)
+        z = theta[-2] + np.bincount(sent, theta[feat], minlength=len(doc))
+        heat = np.bincount(doc, np.logaddexp(0, z), minlength=n) + np.logaddexp(0, theta[-1])
         # d(-log likelihood)/dz: p for a clean document, -p (1-P)/P for a toxic one
         pull = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(heat, 50)), 1e-9), 1.0) / n
         g = pull[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feat, g[sent], minlength=len(known)) + DECAY * w, g.sum())
+        grad = np.append(np.bincount(feat, g[sent], minlength=len(known)) + DECAY * theta[:-2], [g.sum(), pull.sum() / (1 + math.exp(-theta[-1]))])
         mean = 0.9 * mean + 0.1 * grad
         square = 0.99 * square + 0.01 * grad * grad
-        move = RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    return Model(float(bias), {k: float(x) for k, x in zip(known, w, strict=True) if abs(x) > 1e-3})
+        theta = theta - RATE * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+    return Model(float(theta[-2]), dict(zip(known, theta[:-2].tolist(), strict=True)), float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -176,7 +171,7 @@ def toxic_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
             out = []
             for d, t in zip(column(piece, "doc_id").to_pylist(), texts(piece), strict=True):
                 for i, (z, s) in enumerate(zip(shared.value.sentence_logits(t), sentences(t), strict=True)):
-                    p = math.exp(-_softplus(-z))
+                    p = 0.0 if z == -math.inf else math.exp(-_softplus(-z))
                     if p >= least:
                         out.append((d, i, p, b" ".join(s).decode()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
