@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import analytics, models, postings, relational, streams, texts
+from gleaner.plans import analytics, models, postings, relational, streams, texts, units
 from gleaner.plans.registry import Query
 
 FLAGSHIP = "conditional_rates"
 
-_MODULES = (relational, texts, analytics, postings, streams, models)
+_MODULES = (relational, texts, analytics, postings, streams, models, units)
 
 
 def queries() -> dict[str, Query]:
