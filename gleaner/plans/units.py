@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
+from gleaner.functions.experience import years
 from gleaner.functions.ship import ship
 from gleaner.functions.units import units
 from gleaner.operators import inference as inf
@@ -90,3 +91,29 @@ def readability(spark: SparkSession, sf: str) -> DataFrame:
         F.round(F.length(F.regexp_replace(c, "[^aeiouyAEIOUY]", "")) / F.greatest(tx.word_count(c), F.lit(1)), 6).alias("vowels_per_word"),
         F.round(F.length(c) / F.greatest(tx.matches(c, "[.!?]"), F.lit(1)), 6).alias("chars_per_sentence"),
     )
+
+
+_ASKED = (
+    ("Requirements:\nAt least {n}+ years of software engineering experience.", "required_total_role"),
+    ("Experience: {n}+ Years.", "overall_total_role"),
+    ("The team was founded {n} years ago.", "no_valid_mentions"),
+    ("Nice to have: {n} years of relevant experience", "preferred_total_role"),
+)
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN NULL ELSE (1 + p_size % 15)::DOUBLE END AS years, CASE p_partkey % 4 WHEN 0 THEN 'required_total_role' WHEN 1 THEN 'overall_total_role' WHEN 2 THEN 'no_valid_mentions' ELSE 'preferred_total_role' END AS rule FROM part""")
+def experience_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings written from a table of parts: years asked for, and by which rule."""
+    ship(spark)
+    n = (1 + F.col("p_size") % 15).cast("string")
+    texts = F.array(*[F.concat(F.lit(t.split("{n}")[0]), n, F.lit(t.split("{n}")[1])) for t, _ in _ASKED])
+    rows = load(spark, sf, "part").select("p_partkey", F.element_at(texts, (F.col("p_partkey") % 4 + 1).cast("int")).alias("text"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            found = [years(t) for t in p["text"]]
+            yield pd.DataFrame({"p_partkey": p["p_partkey"], "years": [f[0] for f in found], "rule": [f[4] for f in found]})
+
+    out = rows.mapInPandas(run, "p_partkey long, years double, rule string")
+    return out.withColumn("years", F.when(~F.isnan("years"), F.col("years")))
