@@ -35,19 +35,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; of repeated rows one."""
-    key, sha = _free(docs, "kept_id"), _free(docs, "text_sha256")
-    kept = exact_dedup(docs, keep="max").filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
+    """Of equal texts the row with the largest doc_id; of repeated rows one.
+
+    What goes is far less than what stays, so the rows that go are looked up, and texts need not be shuffled for it.
+    """
+    key, sha = _free(docs, "gone_id"), _free(docs, "text_sha256")
+    found = store.written(exact_dedup(docs, keep="max"), "pipeline-copies")
+    same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = store.small(found.filter(~F.col("kept") & ~same).select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)))
     rows = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept[key]) & (rows[sha] == kept[sha]), "left_semi")
-    return rows.dropDuplicates(["doc_id", sha]).select(*docs.columns)
+    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone[key]) & (rows[sha] == gone[sha]), "left_anti")
+    if found.filter(~F.col("kept") & same).head(1):  # rows that repeat the one that stays
+        rows = rows.dropDuplicates(["doc_id", sha])
+    return rows.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of their shingle sets connect, the one with the smallest doc_id."""
-    key = _free(docs, "first_id")
-    first = jaccard_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key))
-    return docs.join(first, docs["doc_id"].eqNullSafe(first[key]), "left_semi")
+    key = _free(docs, "gone_id")
+    found = store.written(jaccard_components(docs), "pipeline-components")
+    gone = store.small(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, times = _free(docs, "mixed_id"), _free(docs, "times")
     taken = mix(docs).documents.filter("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     taken = taken.select(F.col("doc_id").alias(key), F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).filter(F.col(times) > 0)
+    taken = store.small(store.written(taken, "pipeline-mix"))
     rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken[key]))
     return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
 

@@ -10,6 +10,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few short fields each that may be broadcast (some 30 MB).
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,3 +47,8 @@ def drop(df: DataFrame) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df.gleaner_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``table``, marked for a broadcast if it has few rows; beyond, the same join shuffles."""
+    return F.broadcast(table) if table.count() <= rows else table

@@ -307,7 +307,7 @@ def slow_targets(sizes, most=3):
 
 @pytest.mark.parametrize("block", [1, 7, 128])
 def test_mixing(spark, block):
-    rows = [*corpus(), (50, "again", "tiny", None), (50, "again", "tiny", None), (None, "x y", "tiny", None)]
+    rows = [*corpus(), (50, "again", "tiny", None), (50, "again", "tiny", None), (None, "x y", "tiny", None), (51, " ", "blank", None), (52, None, "blank", None)]
     mixed = mixing.mix(table(spark, rows), block_words=block, shard_slots=5)
     got = mixed.documents.collect()
     count = Counter()
