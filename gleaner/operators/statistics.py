@@ -209,6 +209,6 @@ def jensen_shannon(counts: DataFrame) -> DataFrame:
     return t.agg(F.round(F.sum(part("p") + part("q")) / 2, 6).alias("jsd"), F.count_if((F.col("a") == 0) & (F.col("b") > 0)).alias("only_b"), F.count_if((F.col("b") == 0) & (F.col("a") > 0)).alias("only_a"))
 
 
-def regression(df: DataFrame, x: Column, y: Column) -> list[Column]:
+def regression(x: Column, y: Column) -> list[Column]:
     """Slope, intercept and r squared of a least-squares line as aggregates."""
     return [F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2")]

@@ -136,7 +136,7 @@ def term_divergence(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1""")
 def regression_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "lineitem").groupBy("l_returnflag").agg(*st.regression(load(spark, sf, "lineitem"), F.col("l_quantity"), F.col("l_extendedprice")))
+    return load(spark, sf, "lineitem").groupBy("l_returnflag").agg(*st.regression(F.col("l_quantity"), F.col("l_extendedprice")))
 
 
 _VEC = "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), "

@@ -16,7 +16,10 @@ query = Registry()
 
 
 def _checkpoint(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='gleaner-stream-')}"
+    folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = folder or f"file://{tempfile.mkdtemp(prefix='gleaner-stream-')}"
     return f"{folder}/stream-{uuid.uuid4().hex}"
 
 
