@@ -183,5 +183,5 @@ def toxic_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
 
 
 def fold(key: Column, of: int) -> Column:
-    """crc32 of the key as text, modulo ``of``."""
-    return F.crc32(key.cast("string")) % of
+    """crc32 of the key as text, modulo ``of``; a null key counts as an empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % of
