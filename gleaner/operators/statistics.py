@@ -28,7 +28,9 @@ def wilson(k: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     centre = p + F.try_divide(F.lit(z * z), 2 * n)
     spread = z * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z / 4), n * n))
     scale = 1 + F.try_divide(F.lit(z * z), n)
-    return (centre - spread) / scale, (centre + spread) / scale
+    # At the ends the interval is exact, which rounding would miss by a sign.
+    low = F.when(k == 0, 0.0).otherwise((centre - spread) / scale)
+    return F.when(n > 0, low), F.when(k == n, F.when(n > 0, 1.0)).otherwise((centre + spread) / scale)
 
 
 def fisher_interval(r: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:

@@ -16,7 +16,7 @@ query = Registry()
 
 @query("""
     WITH g AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(text, 'icense')) AS k FROM documents GROUP BY source), z AS (SELECT *, k / n AS p, 1.959963984540054 AS z FROM g)
-    SELECT source, n, k, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS low, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS high FROM z""")
+    SELECT source, n, k, CASE WHEN k = 0 THEN 0.0 ELSE round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) END::DOUBLE AS low, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) AS high FROM z""")
 def wilson_intervals(spark: SparkSession, sf: str) -> DataFrame:
     g = load(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit("icense"))).alias("k"))
     low, high = st.wilson(F.col("k"), F.col("n"))
