@@ -35,14 +35,16 @@ from gleaner.llm import store
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 from gleaner.llm.components import components
 
-#: Counters of shingle frequencies (they only order shingles) and bits of the filter of vertices with partners
-#: (it only saves work): fixed sizes, 8 MB and 4 MB, whatever the corpus.
-LOG_COUNTERS, LOG_BITS = 21, 25
+#: Counters of shingle frequencies (they only order shingles; 8 MB where they are broadcast) and bits of the filter of
+#: vertices with partners (it only saves work; 4 MB): fixed sizes, whatever the corpus.
+LOG_COUNTERS, LOG_BITS = 22, 25
 #: Counters, or bytes of bits, in a slice.
 SLICE = 2048
-#: Pivots of a region in the first round; the factor by which they grow.
-FIRST, FACTOR = 1, 8
+#: Pivots of a region round by round, from its largest component; then this factor more each time, from the smallest.
+GROWING, FACTOR = (1, 2, 4), 8
 MEMO = 400_000
+#: Rows of a few numbers each that are broadcast (16 MB).
+BROADCAST_ROWS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 
@@ -140,6 +142,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
     named = classes.select("id", "rep").join(links.withColumnRenamed("node", "id"), "id", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = store.written(named.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component")), "jaccard-components")
+    store.drop(classes)
     out = sets.select("doc_id", "n", "id").join(named, "id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -152,8 +155,7 @@ def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
         kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
         for piece in pieces(batches):
             found = [shingle_hashes(t, words) for t in texts(piece)]
-            at, n = np.unique((np.concatenate(found) & mask).astype("int64"), return_counts=True)
-            table[at] += n.astype("uint32")
+            np.add.at(table, (np.concatenate(found) & mask).astype("int64"), np.uint32(1))
             names = [vertex(x, seed) for x in found]
             empty = pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())
             sizes = pa.array([len(x) for x in found], pa.int64())
@@ -170,7 +172,7 @@ def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
 def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
     """node and root for every vertex that links with another."""
     spark = rows.sparkSession
-    level = spark.sparkContext.broadcast(np.frexp(counts)[1].astype("uint8"))  # the power of two above the count
+    level = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype("uint16"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document in each region that it may have partners in: shingle, vertex, size and place; ``early``: its partner may be larger."""
@@ -197,25 +199,41 @@ def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([o[0] for o in out]), cols[0], cols[1], place, place < cols[2])], ["token", "id", "n", "place", "early"])
 
     placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean")
-    region = Window.partitionBy("token")
-    active = placed.withColumn("low", F.min("id").over(region)).withColumn("high", F.max("id").over(region)).withColumn("open", F.bool_or("early").over(region))
-    active = active.filter("low <> high and open").select("token", "id", "n", "place", "early").distinct()
-    active = store.written(active, "jaccard-regions")
-    members = store.written(_members(rows, classes, active, words, seed), "jaccard-members")
-    active = active.withColumn("near", F.lit(0.0)).withColumn("far", F.lit(1.0)).withColumn("comp", F.col("id"))
-    roots, pivots = None, FIRST
-    limit = 1 - part / whole + 1e-9
-    while True:
-        # Members of small components become pivots first, as the largest one need not be gone through.
-        kin = active.withColumn("kin", F.count("*").over(Window.partitionBy("token", "comp")))
-        order = Window.partitionBy("token").orderBy("kin", F.xxhash64("comp"), F.xxhash64("id"), "id")
-        ranked = store.written(kin.withColumn("rank", F.row_number().over(order)).drop("kin"), "jaccard-ranked")
-        p = ranked.filter(F.col("rank") <= pivots).select(*[F.col(c).alias(f"p_{c}") for c in ranked.columns])
-        pair = ranked.join(p, (F.col("token") == F.col("p_token")) & (F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp")))
+    regions = store.written(_open_regions(placed, "id").select("token", "id", "n", "place", "early").distinct(), "jaccard-regions")
+    members = store.written(_members(rows, classes, regions, words, seed), "jaccard-members")
+    done = [regions, members]
+    active = regions.withColumn("near", F.lit(0.0)).withColumn("far", F.lit(1.0)).withColumn("comp", F.col("id"))
+    roots, known, limit = None, None, 1 - part / whole + 1e-9
+    for step in range(10_000):
+        # First a pass that compares each document with one pivot only; most links are found there.
+        probe, rising = step == 0, step <= len(GROWING)
+        pivots = 1 if probe else GROWING[step - 1] if rising else GROWING[-1] * FACTOR ** (step - len(GROWING))
+        # All windows of a round share one shuffle by region. One order for all regions: neighbours choose the same pivots.
+        order = Window.partitionBy("token").orderBy(F.desc("kin") if rising else F.asc("kin"), F.xxhash64("id"), "id")
+        ranked = _open_regions(active, "comp").withColumn("kin", F.count("*").over(Window.partitionBy("token", "comp"))).withColumn("rank", F.row_number().over(order))
+        if rising:
+            pivot = F.when(F.col("rank") <= pivots, F.struct(*[F.col(c).alias(f"p_{c}") for c in ("id", "n", "place", "early", "near", "far", "comp", "rank")]))
+            ranked = ranked.withColumn("p", F.collect_list(pivot).over(Window.partitionBy("token")))
+        ranked = store.written(ranked.drop("kin"), "jaccard-ranked")
+        done.append(ranked)
+        if not ranked.head(1):
+            break
+        if rising:
+            pair = ranked.withColumn("p", F.explode("p")).select("*", "p.*").drop("p").filter((F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp")))
+        else:
+            p = ranked.filter(F.col("rank") <= pivots).select(*[F.col(c).alias(f"p_{c}") for c in ranked.columns])
+            pair = ranked.join(p, (F.col("token") == F.col("p_token")) & (F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp")))
         pair = pair.filter(_may_link(part, whole)).filter((F.col("near") - F.col("p_far") <= limit) & (F.col("p_near") - F.col("far") <= limit))
+        if probe:
+            pair = pair.groupBy("id").agg(F.min(F.struct(F.xxhash64("p_id").alias("h"), F.col("p_id").alias("p"))).alias("m")).select("id", F.col("m.p").alias("p_id"))
         pair = pair.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        known = store.written(_compared(pair, members, part, whole), "jaccard-compared")
-        fresh = known.filter("linked").select("a", "b")
+        if known is not None:
+            pair = pair.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pair = store.written(pair, "jaccard-pairs")
+        found = store.written(_compared(pair, members, words, part, whole), "jaccard-compared")
+        done += [pair, found]
+        known = found if known is None else known.union(found)
+        fresh = found.filter("linked").select("a", "b")
         if roots is not None:
             fresh = _renamed(fresh, roots)
         if fresh.head(1):
@@ -224,27 +242,34 @@ def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int,
                 moved = roots.withColumnRenamed("root", "was").join(merged.withColumnRenamed("node", "was"), "was", "left")
                 merged = moved.select("node", F.coalesce("root", "was").alias("root")).union(merged.join(roots, "node", "left_anti"))
             roots = store.written(merged, "jaccard-roots")
-        rest = ranked.filter(F.col("rank") > pivots)
-        if pivots == FIRST == 1:
+        rest = ranked if probe else ranked.filter(F.col("rank") > pivots)
+        if step == 1:
             # Bounds of the distance to the region's first pivot stay with each document of the region.
-            first = p.select("p_token", "p_id")
             bounds = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "low", "high").union(known.select("b", "a", "low", "high"))
-            rest = rest.join(first, F.col("token") == F.col("p_token")).join(bounds, (F.col("id") == F.col("x")) & (F.col("p_id") == F.col("y")), "left")
+            rest = rest.join(_small(bounds), (F.col("id") == F.col("x")) & (F.col("p")[0]["p_id"] == F.col("y")), "left")
             rest = rest.withColumn("near", F.coalesce("low", "near")).withColumn("far", F.coalesce("high", "far"))
-        rest = rest.select("token", "id", "n", "place", "early", "near", "far")
+        active = rest.select("token", "id", "n", "place", "early", "near", "far")
         if roots is not None:
-            rest = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+            active = active.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
         else:
-            rest = rest.withColumn("comp", F.col("id"))
-        rest = rest.withColumn("low", F.min("comp").over(region)).withColumn("high", F.max("comp").over(region)).withColumn("open", F.bool_or("early").over(region))
-        active = store.written(rest.filter("low <> high and open").drop("low", "high", "open"), "jaccard-regions")
-        store.drop(ranked), store.drop(known)
-        if not active.head(1):
-            break
-        pivots *= FACTOR
+            active = active.withColumn("comp", F.col("id"))
+    for table in done:  # the roots are a table of their own
+        store.drop(table)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
+def _open_regions(rows: DataFrame, comp: str) -> DataFrame:
+    """The rows of regions that hold two components or more and a document that may meet a larger one."""
+    region = Window.partitionBy("token")
+    out = rows.repartition("token").withColumn("low", F.min(comp).over(region)).withColumn("high", F.max(comp).over(region)).withColumn("open", F.bool_or("early").over(region))
+    return out.filter("low <> high and open").drop("low", "high", "open")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, marked for a broadcast if it has few rows; beyond, the same join shuffles."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _may_link(part: int, whole: int) -> Column:
     """Whether sizes and places let the documents of a pair link, if no shingle before theirs is common to them.
 
@@ -258,7 +283,7 @@ def _may_link(part: int, whole: int) -> Column:
 
 
 def _members(rows: DataFrame, classes: DataFrame, active: DataFrame, words: int, seed: int) -> DataFrame:
-    """id, size, parity bitmap and shingles of the vertices in ``active`` (and few others), once or, seldom, more often.
+    """id, size, parity bitmap and text of the vertices in ``active`` (and few others), once or, seldom, more often.
 
     Texts are not shuffled for this: each task looks up its documents in a filter of fixed size over (vertex, doc_id that
     stands for it).
@@ -292,21 +317,24 @@ def _members(rows: DataFrame, classes: DataFrame, active: DataFrame, words: int,
                 keep &= (shared.value[p >> 3] >> (p & 7).astype("uint8") & 1).astype(bool)
             kept = [i for i in np.flatnonzero(keep) if len(sets[i])]
             sizes = pa.array([len(sets[i]) for i in kept], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), sizes, pa.array([parity_bits(sets[i]) for i in kept], pa.binary()), pa.array([sets[i].tobytes() for i in kept], pa.binary())], ["id", "n", "bits", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), sizes, pa.array([parity_bits(sets[i]) for i in kept], pa.binary()), column(piece, "text").take(pa.array(kept, pa.int64()))], ["id", "n", "bits", "text"])
 
-    return map_arrow(rows, run, "id long, n long, bits binary, shingles binary")
+    return map_arrow(rows, run, "id long, n long, bits binary, text string")
 
 
-def _compared(pairs: DataFrame, members: DataFrame, part: int, whole: int) -> DataFrame:
+def _compared(pairs: DataFrame, members: DataFrame, words: int, part: int, whole: int) -> DataFrame:
     """a, b, low and high (bounds of the distance) and linked for the ``pairs`` (a, b).
 
-    Bitmaps give a bound for every pair; where it lets the pair link, the sets give the distance.
+    Bitmaps give a bound for every pair; where it lets the pair link, the sets give the distance. What is moved for
+    that are the texts: they are shorter than their hashes.
     """
 
     def sides(pairs: DataFrame, kind: str) -> DataFrame:
-        left = members.select(F.col("id").alias("a"), F.col("n"), F.col(kind).alias("x"))
-        right = members.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col(kind).alias("y"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y")
+        """Both sides' ``kind`` for each pair. Few pairs go to the members, so that only what is asked for moves."""
+        few = _small(pairs.select("a", "b"))
+        left = members.join(few, members["id"] == few["a"]).select("a", "b", "n", F.col(kind).alias("x"))
+        right = members.join(few, members["id"] == few["b"]).select("a", "b", F.col("n").alias("m"), F.col(kind).alias("y"))
+        return left.join(right, ["a", "b"])
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,10 +345,13 @@ def _compared(pairs: DataFrame, members: DataFrame, part: int, whole: int) -> Da
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(2 * apart / (total + apart)), pa.array(may)], ["a", "b", "low", "may"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, two = None, None
         for batch in batches:
             far, linked = [], []
             for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist(), strict=True):
-                one, two = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
+                one = shingle_hashes(x, words)
+                if y != last:  # pairs come by their second document
+                    last, two = y, shingle_hashes(y, words)
                 at = np.minimum(np.searchsorted(two, one), len(two) - 1)
                 common = int((two[at] == one).sum())
                 union = len(one) + len(two) - common
@@ -330,7 +361,7 @@ def _compared(pairs: DataFrame, members: DataFrame, part: int, whole: int) -> Da
 
     bounds = store.written(map_arrow(sides(pairs, "bits"), bound, "a long, b long, low double, may boolean").distinct(), "jaccard-bounds")
     apart = bounds.filter("not may").select("a", "b", "low", F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
-    return map_arrow(sides(bounds.filter("may").select("a", "b"), "shingles"), exact, "a long, b long, low double, high double, linked boolean").distinct().union(apart)
+    return map_arrow(sides(bounds.filter("may").select("a", "b"), "text"), exact, "a long, b long, low double, high double, linked boolean").distinct().union(apart)
 
 
 def _renamed(edges: DataFrame, roots: DataFrame) -> DataFrame:
