@@ -41,7 +41,9 @@ LOG_COUNTERS, LOG_BITS = 22, 25
 #: Counters, or bytes of bits, in a slice.
 SLICE = 2048
 #: Pivots of a region round by round, from its largest component; then this factor more each time, from the smallest.
-GROWING, FACTOR = (1, 2, 4), 8
+GROWING, FACTOR = (1, 2, 4, 24), 8
+#: Pivots up to which each row of a region is given them as a list; beyond, they are joined.
+LISTED = 4
 MEMO = 400_000
 #: Rows of a few numbers each that are broadcast (16 MB).
 BROADCAST_ROWS = 400_000
@@ -211,14 +213,15 @@ def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int,
         # All windows of a round share one shuffle by region. One order for all regions: neighbours choose the same pivots.
         order = Window.partitionBy("token").orderBy(F.desc("kin") if rising else F.asc("kin"), F.xxhash64("id"), "id")
         ranked = _open_regions(active, "comp").withColumn("kin", F.count("*").over(Window.partitionBy("token", "comp"))).withColumn("rank", F.row_number().over(order))
-        if rising:
+        listed = pivots <= LISTED
+        if listed:
             pivot = F.when(F.col("rank") <= pivots, F.struct(*[F.col(c).alias(f"p_{c}") for c in ("id", "n", "place", "early", "near", "far", "comp", "rank")]))
             ranked = ranked.withColumn("p", F.collect_list(pivot).over(Window.partitionBy("token")))
         ranked = store.written(ranked.drop("kin"), "jaccard-ranked")
         done.append(ranked)
         if not ranked.head(1):
             break
-        if rising:
+        if listed:
             pair = ranked.withColumn("p", F.explode("p")).select("*", "p.*").drop("p").filter((F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp")))
         else:
             p = ranked.filter(F.col("rank") <= pivots).select(*[F.col(c).alias(f"p_{c}") for c in ranked.columns])
