@@ -11,7 +11,8 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 
 #: Chunks, and pre-tokens, that a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
 #: Keys per bucket of the perfect hash.
 PER_BUCKET = 2
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
 #: A space that a non-space follows, unless that is a control separator about which engines differ.
 CUT = re.compile(r" (?=\S)")
+#: What byte-level BPE commonly cuts a text into (fixed value).
+PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 ODD = re.compile(r" \s")
 
 
@@ -79,19 +82,37 @@ class PerfectHash:
         return -d - 1 if d < 0 else self._slot(h, d)
 
 
+def cutter(pattern: str) -> Callable[[str], Sequence[str]]:
+    """The function that cuts a chunk into pre-tokens. With the common pattern a word, alone or before a full stop or
+    comma, needs no regex."""
+    find = regex.compile(pattern).findall
+    if pattern != PRE_TOKEN:
+        return find
+
+    def cut(chunk: str) -> Sequence[str]:
+        body = chunk[1:] if chunk[:1] == " " else chunk
+        if body.isalpha():
+            return (chunk,)
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return (chunk[:-1], chunk[-1])
+        return find(chunk)
+
+    return cut
+
+
 class Memo:
     """A bounded memo of two generations: what was used since the last change of generations survives the next."""
 
     def __init__(self, most: int) -> None:
         self.most, self.new, self.old = most // 2, {}, {}
 
-    def get(self, key: str) -> list[int] | None:
+    def get(self, key: str) -> bytes | None:
         got = self.new.get(key)
         if got is None and (got := self.old.get(key)) is not None:
             self.put(key, got)
         return got
 
-    def put(self, key: str, value: list[int]) -> None:
+    def put(self, key: str, value: bytes) -> None:
         if len(self.new) >= self.most:
             self.old = dict(self.new)
             self.new.clear()  # the same object: loops hold on to it
@@ -111,16 +132,23 @@ class Encoder:
 
     def _prepare(self) -> None:
         """What follows from the vocabulary; made anew where the encoder arrives."""
-        self.find = regex.compile(self.pattern).findall
+        self.find = cutter(self.pattern)
         ranks = dict(zip(self.keys, self.ids, strict=True))
         self.bytes = {r: k for k, r in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        # What two neighbouring tokens join to, for every way to part a token in two tokens.
-        self.joined = {
-            left << 20 | right: r for k, r in ranks.items() for i in range(1, len(k)) if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None
-        }
+        self.joined: dict[int, int] = {}
         self.memo, self.words = Memo(MEMO), Memo(MEMO)
 
+    def pairs(self) -> dict[int, int]:
+        """What two neighbouring tokens join to, for every way to part a token in two; made when it is first asked for,
+        which is never where ids are only decoded."""
+        if not self.joined:
+            ranks = dict(zip(self.keys, self.ids, strict=True))
+            self.joined = {
+                left << 20 | right: r for k, r in ranks.items() for i in range(1, len(k)) if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None
+            }
+        return self.joined
+
     def __getstate__(self) -> dict:
         return {k: self.__dict__[k] for k in ("pattern", "hash", "keys", "ids")}
 
@@ -135,7 +163,7 @@ class Encoder:
 
     def merge(self, piece: bytes) -> list[int]:
         """Joins linked bytes by a heap of (rank, place); an entry whose pair has changed since is passed over."""
-        get, n = self.joined.get, len(piece)
+        get, n = self.pairs().get, len(piece)
         ids = [self.single[b] for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n))
         pair = [get(ids[i] << 20 | ids[i + 1], -1) for i in range(n - 1)] + [-1]  # the rank that each place joins to
@@ -164,29 +192,31 @@ class Encoder:
                     push(heap, r << 32 | left)
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> list[int]:
+    def chunk(self, chunk: str) -> bytes:
+        """The ids of a chunk as bytes of 32-bit integers: the memo then holds nothing that Python must trace."""
         if (out := self.memo.get(chunk)) is not None:
             return out
-        out = []
+        parts = []
         for piece in self.find(chunk):
             if (got := self.words.get(piece)) is None:
-                got = self.word(piece.encode())
+                got = array("i", self.word(piece.encode())).tobytes()
                 if len(piece) <= 64:
                     self.words.put(piece, got)
-            out += got
+            parts.append(got)
+        out = b"".join(parts)
         if len(chunk) <= 64:
             self.memo.put(chunk, out)
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode_bytes(self, text: str) -> bytes:
         recent, chunk = self.memo.new.get, self.chunk
         first, *rest = text.split(" ") if not ODD.search(text) else CUT.split(text)
-        out += chunk(first)
-        for part in rest:
-            part = " " + part
-            out += recent(part) or chunk(part)
-        return out
+        parts = [chunk(first)]
+        parts += [recent(part) or chunk(part) for part in [" " + x for x in rest]]
+        return b"".join(parts)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "int32").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -209,9 +239,9 @@ def encode(docs: DataFrame, encoder: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder.value
         for piece in pieces(batches):
-            lists = [np.array(coder.encode(t), "int32") for t in texts(piece)]
-            ends = np.cumsum([0, *map(len, lists)], dtype="int32")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.array([], "int32")))
+            parts = [coder.encode_bytes(t) for t in texts(piece)]
+            ends = np.cumsum([0, *map(len, parts)]) // 4
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.frombuffer(b"".join(parts), "int32")))
             yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), ids], ["doc_id", "ids"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
@@ -221,12 +251,14 @@ def decode(encoded: DataFrame, encoder: Broadcast) -> DataFrame:
     """The columns doc_id and ids of ``encoded`` and ``decoded``, the bytes that the ids stand for (null ids: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = encoder.value.bytes
+        get = encoder.value.bytes.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 ids = column(part, "ids")
-                out = [b"".join(map(table.__getitem__, x)) if x else b"" for x in ids.to_pylist()]
+                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+                held = ids.is_valid().to_numpy(zero_copy_only=False)
+                out = [b"".join(map(get, flat[a:b].tolist())) if ok else b"" for a, b, ok in zip(ends, ends[1:], held, strict=False)]
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")
