@@ -22,8 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,22 +36,24 @@ from pyspark.sql import functions as F
 from gleaner.functions.ship import ship
 from gleaner.llm import store
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
+from gleaner.llm.bpe import CUT, MEMO, ODD, PRE_TOKEN, Memo, cutter
 
 #: Ids that the rolling hash sees; a chunk's least and largest length; one place in MEAN ends a chunk.
 WINDOW, LEAST, MEAN, MOST = 8, 128, 512, 2048
 HASH_BYTES = 16
-#: Chunks of text that a worker remembers the ids of; then it starts anew.
-MEMO = 300_000
 #: The polynomial of CRC-32, lowest power first (fixed value of the format).
 POLYNOMIAL = 0xEDB88320
-CUT, ODD = re.compile(r" (?=\S)"), re.compile(r" \s")
+#: The visible character that stands for each byte: itself where it is one, else the next ones from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_VISIBLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
 
 class TextEncoder:
-    """The tokenizers library behind a memo of space-delimited chunks.
+    """The tokenizers library behind memos of space-delimited chunks and of pre-tokens.
 
-    The memo is used where the tokenizer's file says that a text may be cut before a space that a non-space follows
-    (byte-level pre-tokens, nothing that normalises or adds a prefix) and the text holds none of its added tokens.
+    The memos are used where the tokenizer's file says that a text may be cut before a space that a non-space follows
+    (byte-level BPE, nothing that normalises or adds a prefix) and the text holds none of its added tokens; a pre-token
+    that is new goes to the library's model. Any other text goes to the library whole.
     """
 
     def __init__(self, content: str) -> None:
@@ -59,38 +61,39 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, made = Tokenizer.from_str(content), json.loads(content)
-        cutter = made.get("pre_tokenizer") or {}
-        self.cuts = not made.get("normalizer") and cutter.get("type") == "ByteLevel" and not cutter.get("add_prefix_space") and cutter.get("use_regex", True)
+        kind = made.get("pre_tokenizer") or {}
+        plain = not made.get("normalizer") and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
+        self.cuts = plain and made["model"].get("type") == "BPE" and not (made.get("truncation") or made.get("padding"))
         self.added = [t["content"] for t in made.get("added_tokens") or []]
-        self.memo: dict[str, np.ndarray] = {}
-
-    def batch(self, texts_: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False)]
-
-    def encode(self, texts_: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out: list[np.ndarray | None] = [None] * len(texts_)
-        parts: dict[int, list[str]] = {}
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        memo, missing = self.memo, {}
-        for i, t in enumerate(texts_):
-            if not self.cuts or any(a in t for a in self.added):
-                out[i] = np.array(self.batch([t])[0], "uint32")
-                continue
-            # Joined again, the parts are the text: every part but the first gets its space back.
-            parts[i] = [x if k == 0 else " " + x for k, x in enumerate(CUT.split(t) if ODD.search(t) else t.split(" "))]
-            missing.update((x, None) for x in parts[i] if x not in memo)
-        keys = list(missing)
-        for key, ids in zip(keys, self.batch(keys), strict=True):
-            memo[key] = ids
-        for i, x in parts.items():
-            flat: list[int] = []
-            for part in x:
-                flat += memo[part]
-            out[i] = np.array(flat, "uint32")
+        self.find, self.model = cutter(PRE_TOKEN), self.tokenizer.model
+        self.memo, self.words = Memo(MEMO), Memo(MEMO)
+
+    def chunk(self, chunk: str) -> bytes:
+        if (out := self.memo.get(chunk)) is not None:
+            return out
+        parts = []
+        for piece in self.find(chunk):
+            if (got := self.words.get(piece)) is None:
+                tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))
+                got = array("I", [t.id for t in tokens]).tobytes()
+                if len(piece) <= 64:
+                    self.words.put(piece, got)
+            parts.append(got)
+        out = b"".join(parts)
+        if len(chunk) <= 64:
+            self.memo.put(chunk, out)
         return out
 
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        if not self.cuts or any(a in text for a in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "uint32")
+        recent, chunk = self.memo.new.get, self.chunk
+        first, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
+        parts = [chunk(first)]
+        parts += [recent(part) or chunk(part) for part in [" " + x for x in rest]]
+        return np.frombuffer(b"".join(parts), "uint32")
+
 
 _encoders: dict[int, TextEncoder] = {}
 
@@ -183,7 +186,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen = _encoder(shared), set()
         for piece in pieces(batches):
-            lists = [np.append(x, np.uint32(end_id)).astype("<u4") for x in coder.encode(texts(piece))]
+            lists = [np.append(coder.encode(t), np.uint32(end_id)).astype("<u4") for t in texts(piece)]
             hashes, sizes, datas, recipes = [], [], [], []
             for ids in lists:
                 ends = chunk_ends(ids)
