@@ -27,9 +27,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a small table that may be broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 50_000
 #: Rows of a bucket that are numbered one after another, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: Slots that one row unfolds into.
 RUN_SLOTS = 4096
+#: Slots that a task makes, about.
+TASK_SLOTS = 100_000
 ROUNDS = 12
 
 
@@ -107,7 +109,7 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, seed:
     inside = Window.partitionBy("number", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(totals, ["number", "bucket"]).withColumn("start", F.col("base") + F.sum("size").over(inside) - F.col("size"))
     rows = store.written(rows.select("doc_id", "source", "size", "number", "source_size", "target", "start"), "mix-starts")
-    slots = _slots(sources, block_words, shard_slots, seed)
+    slots = store.written(_slots(sources, block_words, shard_slots, seed), "mix-slots")  # its size is then known to the planner
     uses = slots.groupBy("number", "block").agg(
         F.count(F.when(F.col("cut") == 0, 1)).alias("whole"), F.max("cut").alias("cut")
     )
@@ -126,10 +128,10 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, seed:
 def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """One row for each slot of the mix. ``cut``: words of the slot that is cut off, else 0."""
     width = F.lit(block_words).cast("long")
-    words = F.col("source_size")
+    words = F.greatest(F.col("source_size"), F.lit(1))  # rows may be computed before they are filtered
     plan = sources.filter("source_size > 0 and target > 0").select("number", "source_size", F.round("target").cast("long").alias("need"))
     plan = (
-        plan.withColumn("blocks", F.ceil(words / width))
+        plan.withColumn("blocks", F.greatest(F.ceil(words / width), F.lit(1)))
         .withColumn("last", words - (F.col("blocks") - 1) * width)
         .withColumn("epochs", F.floor(F.col("need") / words))
         .withColumn("rest", F.col("need") % words)
@@ -145,7 +147,8 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) ->
     total = plan.agg(F.sum("slots")).first()[0] or 0
     shards = max(1, -(-total // shard_slots))
     plan = plan.filter("slots > 0")
-    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN_SLOTS)))).repartition("number", "run")
+    runs = plan.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN_SLOTS))))
+    runs = runs.repartition(1 + total // TASK_SLOTS, "number", "run")  # a number that is asked for stays
     low = F.col("run") * RUN_SLOTS
     slots = runs.withColumn("slot", F.explode(F.sequence(low, F.least(low + RUN_SLOTS, F.col("slots")) - 1)))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("blocks"))).withColumn("at", F.col("slot") % F.col("blocks"))
