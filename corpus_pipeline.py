@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import store, toxicity
 from gleaner.llm.exact_dedup import exact_dedup
 from gleaner.llm.jaccard_join import jaccard_components
-from gleaner.llm.mixing import mix
+from gleaner.llm.mixing import copies, mix
 from gleaner.llm.queries import bpe_digests
 from gleaner.sources.tables import load
 
@@ -59,12 +59,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded: 0 to 3 times."""
-    key, times = _free(docs, "mixed_id"), _free(docs, "times")
-    taken = mix(docs).documents.filter("size > 0").groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    taken = taken.select(F.col("doc_id").alias(key), F.round(F.col("taken") / F.col("size")).cast("int").alias(times)).filter(F.col(times) > 0)
+    """Whole documents, 0 to 3 times each, so that the words of a source add up to its target. Texts without words go."""
+    key, source, times = _free(docs, "mixed_id"), _free(docs, "mixed_source"), _free(docs, "times")
+    taken = copies(mix(docs)).select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("times").alias(times))
     taken = store.small(store.written(taken, "pipeline-mix"))
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken[key]))
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken[key]) & docs["source"].eqNullSafe(taken[source]))
     return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[docs[c] for c in docs.columns])
 
 

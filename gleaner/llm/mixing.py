@@ -125,6 +125,34 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 4096, seed:
     return Mix(documents, sources, slots.drop("cut"))
 
 
+def copies(mixed: Mix, seed: int = 20240601) -> DataFrame:
+    """How often whole documents stand for the words that the mix takes of them: doc_id, source, times (over 0).
+
+    A document has floor(taken / size) copies, and the fractional parts are the chances of one more: they are summed up
+    along the documents of a source, bands of like size one after another, and where the sum passes a whole number the
+    document has the further copy. So copies of every length add up to what the mix takes, and the words of a source to
+    its target but for about the longest document. No document has over ``most`` copies. Rows of one doc_id and source
+    count as one document; documents without words are not in the mix and have none.
+    """
+    unit = 1 << 30  # fractions as whole numbers, so that sums do not depend on their order
+    docs = mixed.documents.filter("size > 0").groupBy("doc_id", "source", "number").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    docs = store.written(docs, "mix-wholes")
+    spread = F.lit(max(1, -(-docs.count() // BUCKET_ROWS)))
+    key = F.xxhash64(F.lit(seed + 2), "doc_id")
+    docs = docs.withColumn("part", F.floor((F.col("taken") % F.col("size")) * F.lit(unit).cast("double") / F.col("size")))
+    docs = docs.withColumn("key", key).withColumn("band", F.floor(F.log2("size") * 4)).withColumn("bucket", F.pmod("key", spread))
+    # Two levels of running sums, as in mix().
+    totals = docs.groupBy("number", "band", "bucket").agg(F.sum("part").alias("parts"))
+    before = Window.partitionBy("number").orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.pmod(F.xxhash64(F.lit(seed + 3), "number"), F.lit(unit))
+    totals = totals.select("number", "band", "bucket", (first + F.coalesce(F.sum("parts").over(before), F.lit(0))).alias("base"))
+    inside = Window.partitionBy("number", "band", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    docs = docs.join(totals, ["number", "band", "bucket"]).withColumn("upto", F.col("base") + F.sum("part").over(inside))
+    more = F.shiftright("upto", 30) - F.shiftright(F.col("upto") - F.col("part"), 30)
+    times = (F.floor(F.col("taken") / F.col("size")) + more).cast("int")
+    return docs.select("doc_id", "source", times.alias("times")).filter("times > 0")
+
+
 def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
     """One row for each slot of the mix. ``cut``: words of the slot that is cut off, else 0."""
     width = F.lit(block_words).cast("long")

@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bpe, store
+from gleaner.llm import bpe, mixing, store
 
 
 def words(rnd, n, start="w"):
@@ -62,5 +62,25 @@ def test_stages(spark, tmp_path):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.n_tokens == len(theirs.encode_ordinary(texts[r.doc_id]))
 
 
+def test_mixed_words(spark, tmp_path):
+    """Words of each source against its target: a hot source, and long documents, of which every ratio needs some."""
+    rnd = random.Random(7)
+    rows = [(i, " ".join(words(rnd, rnd.choice([20, 90, 400, 3000 if i % 5 == 0 else 60]))), "hot") for i in range(600)]
+    rows += [(1000 + i, " ".join(words(rnd, rnd.choice([30, 300, 900]))), "mid") for i in range(120)]
+    rows += [(2000 + i, " ".join(words(rnd, rnd.choice([10, 50]))), None) for i in range(80)] + [(3000, " ", "hot"), (3001, None, "mid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size, source = {d: len((t or "").split()) for d, t, _ in rows}, {d: s for d, _, s in rows}
+    target = {r.source: r.target for r in mixing.mix(docs).sources.collect()}
+    assert 0.05 < target["hot"] / sum(size[d] for d in size if source[d] == "hot") < 0.98
+    got = [r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()]
+    for s in target:
+        longest = max(size[d] for d in size if source[d] == s)
+        assert abs(sum(size[d] for d in got if source[d] == s) - target[s]) <= 2 * longest
+        long = [d for d in size if source[d] == s and size[d] > longest / 2]
+        assert abs(sum(size[d] for d in got if d in long) / sum(size[d] for d in long) - target[s] / sum(size[d] for d in size if source[d] == s)) < 0.35
+    assert max(got.count(d) for d in set(got)) <= 3 and not {3000, 3001} & set(got)
+    assert sorted(got) == sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs.repartition(3), str(tmp_path)).collect())
+
+
 def test_folds():
     assert zlib.crc32(b"17") % 5 in range(5)
