@@ -120,9 +120,21 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
     WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM documents WHERE n_chars < 1500), f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT t, count(*) AS df FROM f GROUP BY t), n AS (SELECT count(*) AS n FROM documents WHERE n_chars < 1500)
     SELECT doc_id, t AS term, round(tf * ln((n + 1) / (df + 1)), 6) AS weight FROM f JOIN d USING (t) CROSS JOIN n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * ln((n + 1) / (df + 1)) DESC, t) <= 3""")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").filter("n_chars < 1500").select("doc_id", tx.tokens(F.col("text"), "[a-z]{2,}").alias("w"))
-    tf = docs.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Of documents under 1500 characters only, as its SQL says."""
+    return _tfidf(load(spark, sf, "documents").filter("n_chars < 1500"))
+
+
+@query(query.sql["tfidf_terms"].replace(" WHERE n_chars < 1500", ""))
+def tfidf_terms_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _tfidf(load(spark, sf, "documents"))
+
+
+def _tfidf(docs: DataFrame) -> DataFrame:
+    """The three terms of each document of ``docs`` that weigh most."""
+    docs = docs.select("doc_id", tx.tokens(F.col("text"), "[a-z]{2,}").alias("w"))
+    words = docs.select("doc_id", F.explode_outer("w").alias("term")).filter("term is not null")  # explode() would match the pattern twice more
+    tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # reads tf, so that both sides of the join share one shuffle
     weight = F.col("tf") * F.ln((F.col("n") + 1) / (F.col("df") + 1))
     rows = tf.join(df, "term").crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).withColumn("x", weight)
     top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("x"), "term"))
