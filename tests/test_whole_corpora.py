@@ -33,3 +33,14 @@ def test_tfidf_terms_all(spark, folder):
     got = {(r.doc_id, r.term, r.weight) for r in QUERIES["tfidf_terms_all"](spark, folder).collect()}
     assert {x[:2] for x in got} == {x[:2] for x in want} and {3, 5} <= {x[0] for x in got}
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(sorted(got), sorted(want), strict=True))
+
+
+def test_term_counts_all(spark, folder):
+    a, b = (Counter(t for _, x, g in DOCS if (g == "en") == en for t in re.findall("[a-z]{3,}", (x or "").lower())) for en in (True, False))
+    got = QUERIES["distinguishing_terms_all"](spark, folder).collect()
+    assert {(r.term, r.a, r.b) for r in got} == {(t, a[t], b[t]) for t in a | b if a[t] + b[t] >= 50} and got
+    one = QUERIES["term_divergence_all"](spark, folder).collect()[0]
+    assert (one.only_a, one.only_b) == (len(a.keys() - b.keys()), len(b.keys() - a.keys()))
+    p, q = ({t: c[t] / sum(c.values()) for t in a | b} for c in (a, b))
+    part = lambda x: sum(x[t] * math.log2(2 * x[t] / (p[t] + q[t])) for t in x if x[t])
+    assert abs(one.jsd - (part(p) + part(q)) / 2) < 2e-6
