@@ -106,8 +106,18 @@ def title_families(spark: SparkSession, sf: str) -> DataFrame:
     g AS (SELECT unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS gram FROM w)
     SELECT gram, count(*) AS n FROM g GROUP BY gram ORDER BY n DESC, gram LIMIT 50""")
 def top_bigrams(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "documents").filter("lang = 'en' and n_chars < 3000")
-    grams = rows.select(F.explode(tx.ngrams(tx.tokens(F.col("text"), "[a-z]+"), 2)).alias("gram"))
+    """Of documents under 3000 characters only, as its SQL says."""
+    return _bigrams(load(spark, sf, "documents").filter("lang = 'en' and n_chars < 3000"))
+
+
+@query(query.sql["top_bigrams"].replace(" AND n_chars < 3000", ""))
+def top_bigrams_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _bigrams(load(spark, sf, "documents").filter("lang = 'en'"))
+
+
+def _bigrams(docs: DataFrame) -> DataFrame:
+    words = docs.select(tx.tokens(F.col("text"), "[a-z]+").alias("w"))  # once a document, not once a bigram
+    grams = words.select(F.explode(tx.ngrams(F.col("w"), 2)).alias("gram"))
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(50)
 
 

@@ -44,3 +44,12 @@ def test_term_counts_all(spark, folder):
     p, q = ({t: c[t] / sum(c.values()) for t in a | b} for c in (a, b))
     part = lambda x: sum(x[t] * math.log2(2 * x[t] / (p[t] + q[t])) for t in x if x[t])
     assert abs(one.jsd - (part(p) + part(q)) / 2) < 2e-6
+
+
+def test_top_bigrams_all(spark, folder):
+    want = Counter()
+    for _, text, lang in DOCS:
+        words = re.findall("[a-z]+", (text or "").lower()) if lang == "en" else []
+        want.update(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))
+    got = [(r.gram, r.n) for r in QUERIES["top_bigrams_all"](spark, folder).collect()]
+    assert got == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:50] and got[0][1] >= 399
