@@ -5,8 +5,10 @@ are rendered and each output is compared with the one before: what is new is the
 does not begin with the one before, the template has rewritten history, and the turn is marked. Two renderings of the
 same turn that differ in one known character show where its text stands within its span.
 
-A conversation of over ``SEGMENT`` turns is rendered in segments that overlap by ``CONTEXT`` turns, so that work and
-memory stay in proportion to its length, however long it is.
+A template that declares itself turn-local (an attribute ``turn_local`` that is true) renders each turn without a look
+at turns further back than ``CONTEXT`` or at later ones. Only for such, a conversation of over ``SEGMENT`` turns is
+rendered in segments that overlap by ``CONTEXT`` turns, so that work and memory stay in proportion to its length. For any
+other template all prefixes are rendered whole, which takes work in proportion to the square of the length.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"<|im_start|>{_role(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
 
 
+chatml.turn_local = True
+
+
 def _role(role: str) -> str:
     return escape(role.replace("%", "%25").replace("\n", "%0A"))
 
@@ -73,7 +78,8 @@ def spans(template: Template, turns: list[Turn], context: list[Turn] = ()) -> tu
     """What ``turns`` add to the rendering of ``context``, and for each turn, within that: the start and end of its span
     and of its text in it, and whether it rewrote what came before (then its spans are empty)."""
     before = list(context)
-    base = last = template(before)
+    last = template(before)
+    base = last if before else ""  # what stands before all turns is part of the text
     found = []
     for role, text in turns:
         now = template([*before, (role, text)])
@@ -98,7 +104,7 @@ SEGMENTS = "conv_id long, segment int, formatted string, roles array<string>, sp
 def format_chats(conversations: DataFrame, template: Template = chatml) -> DataFrame:
     """Renders each conversation of ``conversations`` (conv_id, turn, role, text), rows in order of turn.
 
-    One row per segment of up to SEGMENT turns: conv_id, segment, formatted, and for each turn its role and the spans of
+    One row per segment, of up to SEGMENT turns if the template is turn-local and else of the whole conversation: conv_id, segment, formatted, and for each turn its role and the spans of
     the turn and of its text in formatted, in code points; ``rewrote`` marks a turn that changed the rendering of
     earlier ones. The segments of a conversation, joined, are its formatted text, and are neighbours in one partition.
     Null texts and roles are empty, rows with one turn number go by role and text, a null turn comes first, rows without
@@ -110,6 +116,7 @@ def format_chats(conversations: DataFrame, template: Template = chatml) -> DataF
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
+    most = SEGMENT if getattr(template, "turn_local", False) else None
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("rewrote", pa.bool_())]))
     schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("formatted", pa.string()), ("roles", pa.list_(pa.string())), ("spans", kind)])
@@ -125,7 +132,7 @@ def format_chats(conversations: DataFrame, template: Template = chatml) -> DataF
         for batch in batches:
             out = []
             for conv, role, text in zip(*(column(batch, c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
-                if at != (conv,) or len(held) == SEGMENT:
+                if at != (conv,) or len(held) == most:
                     if held:
                         out.append(segment())
                     same = at == (conv,)

@@ -383,6 +383,26 @@ def test_rewritten_history():
         chat.parse_chatml("noise" + chat.chatml([("user", "q")]))
 
 
+@pytest.mark.parametrize("name", ["counts", "strips"])
+def test_rewritten_history_of_long_conversations(spark, name):
+    def counts(turns):
+        return f"<s {len(turns)}>" + "".join(f"[{r}]{x}" for r, x in turns)
+
+    def strips(turns):
+        return "<s>" + "".join(f"[{turns[0][1]}|{r}]{'' if r == 'assistant' and i < len(turns) - 5 else x}" for i, (r, x) in enumerate(turns))
+
+    template = {"counts": counts, "strips": strips}[name]
+    turns = [("assistant" if t % 2 else "user", f"turn {t}") for t in range(150)]
+    df = spark.createDataFrame([(c, t, r, x) for c in (1, 2) for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    joined, rewrites = defaultdict(str), defaultdict(list)
+    for r in chat.format_chats(df, template).orderBy("conv_id", "segment").collect():
+        joined[r.conv_id] += r.formatted
+        rewrites[r.conv_id] += [x.rewrote for x in r.spans]
+    want = [t > 0 and not template(turns[: t + 1]).startswith(template(turns[:t])) for t in range(150)]
+    assert joined == {1: template(turns), 2: template(turns)}
+    assert all(got[1:] == want[1:] for got in rewrites.values()) and sum(want) > 60
+
+
 @pytest.fixture(scope="module")
 def pair():
     import tiktoken
