@@ -13,6 +13,9 @@ from gleaner.sources.tables import load
 
 query = Registry()
 
+#: Labels whose centroids one process assigns; more raise an error.
+LABELS = 500
+
 
 def _centres(spark: SparkSession, sf: str) -> dict[int, np.ndarray]:
     """The centroids of the labels: a vector for each of a few labels."""
@@ -62,8 +65,10 @@ def centroid_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def aligned_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """The one-to-one assignment of the labels' centroids in two halves of the rows that is nearest by cosine."""
-    c = vc.centroids(load(spark, sf, "embeddings").withColumn("era", F.col("vec_id") % 2), ["label", "era"], F.col("embedding")).filter("label < 16").collect()
+    """The one-to-one assignment of the labels' centroids in two halves of the rows that is nearest by cosine. Rows without a label have no cluster."""
+    c = vc.centroids(load(spark, sf, "embeddings").withColumn("era", F.col("vec_id") % 2), ["label", "era"], F.col("embedding")).filter("label is not null").limit(2 * LABELS + 1).collect()
+    if len(c) > 2 * LABELS:
+        raise ValueError(f"over {LABELS} labels: their centroids are too many to be assigned in one process")
     names = sorted({r.label for r in c})
     sides = [np.array([next(r.centroid for r in c if r.label == n and r.era == e) for n in names]) for e in (0, 1)]
     sides = [s / np.linalg.norm(s, axis=1, keepdims=True) for s in sides]

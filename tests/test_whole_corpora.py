@@ -8,7 +8,7 @@ from collections import Counter
 
 import pytest
 
-from gleaner.plans import catalog
+from gleaner.plans import catalog, spaces
 
 QUERIES = catalog.queries()
 LONG = " ".join(["omega delta"] * 400 + ["sigma"] * 30)
@@ -53,3 +53,14 @@ def test_top_bigrams_all(spark, folder):
         want.update(f"{x} {y}" for x, y in zip(words, words[1:], strict=False))
     got = [(r.gram, r.n) for r in QUERIES["top_bigrams_all"](spark, folder).collect()]
     assert got == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:50] and got[0][1] >= 399
+
+
+def test_aligned_clusters_of_all_labels(spark, tmp_path, monkeypatch):
+    labels = [*range(20), 1000]
+    rows = [(i * 2 + era, label, [float(k == i) + 0.01 * era for k in range(len(labels))]) for i, label in enumerate(labels) for era in (0, 1)]
+    spark.createDataFrame([*rows, (99, None, [1.0] * len(labels))], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = QUERIES["aligned_clusters"](spark, str(tmp_path)).collect()
+    assert sorted((r.label, r.matched) for r in got) == [(x, x) for x in labels]
+    monkeypatch.setattr(spaces, "LABELS", 20)
+    with pytest.raises(ValueError):
+        QUERIES["aligned_clusters"](spark, str(tmp_path))
