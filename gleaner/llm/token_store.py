@@ -247,6 +247,14 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
     store.drop(ordered)
 
+    files = TokenStore(spark, path)
+    _manifest(files).write.parquet(f"{path}/manifest")
+    return files
+
+
+def _manifest(files: TokenStore) -> DataFrame:
+    """part, documents, tokens and root of each part, from its recipes."""
+
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The chained root of each part's recipes, in their order."""
         at, state, n, tokens = None, b"", 0, 0
@@ -260,9 +268,18 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
         if at is not None:
             yield pa.RecordBatch.from_pylist([{"part": at, "documents": n, "tokens": tokens, "root": state}])
 
-    listed = TokenStore(spark, path).table("recipes").select("part", "start", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "start")
-    map_arrow(listed, roots, "part long, documents long, tokens long, root binary").write.parquet(f"{path}/manifest")
-    return TokenStore(spark, path)
+    listed = files.table("recipes").select("part", "start", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "start")
+    return map_arrow(listed, roots, "part long, documents long, tokens long, root binary")
+
+
+def verify(files: TokenStore) -> None:
+    """Raises an error if a part's recipes are not those of its manifest: lost, repeated, swapped or added ones."""
+    got, want = _manifest(files), files.table("manifest")
+    same = [F.col(f"got.{c}").eqNullSafe(F.col(f"want.{c}")) for c in ("part", "documents", "tokens", "root")]
+    both = got.alias("got").join(want.alias("want"), F.col("got.part") == F.col("want.part"), "full")
+    wrong = both.filter(~(same[0] & same[1] & same[2] & same[3])).select(F.coalesce("got.part", "want.part").alias("part")).head(1)
+    if wrong:
+        raise ValueError(f"the recipes of part {wrong[0].part} do not match its manifest")
 
 
 def _chunks(files: TokenStore) -> DataFrame:
@@ -272,8 +289,9 @@ def _chunks(files: TokenStore) -> DataFrame:
 def references(files: TokenStore) -> DataFrame:
     """A row for each chunk of each document: doc_id, start, n_tokens, place, hash, n, after (ids of the document after it).
 
-    A recipe that does not match its root raises an error.
+    A recipe that does not match its root raises an error, and so does a part that does not match its manifest.
     """
+    verify(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "place", "hash", "n", "after"]

@@ -199,6 +199,24 @@ def test_token_store(spark, tokenizer):
     assert token_store.read_checksums(none).collect() == []
 
 
+def test_lost_recipes(spark):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        content = f.read()
+    files = token_store.write(table(spark, corpus()), content, store.new_path(spark, "test-tokens"))
+    recipes = files.table("recipes")
+    first, second = recipes.orderBy("start").limit(1), recipes.orderBy("start").limit(2)
+    swapped = recipes.join(second.select("start"), "start", "left_anti").select(*recipes.columns)
+    (a, b) = second.collect()
+    swapped = swapped.unionByName(spark.createDataFrame([{**a.asDict(), "root": b.root, "hashes": b.hashes, "lengths": b.lengths, "n_tokens": b.n_tokens}, b.asDict()], recipes.schema))
+    for changed in (recipes.join(first.select("start"), "start", "left_anti"), recipes.unionByName(first), swapped, recipes.limit(0)):
+        other = token_store.TokenStore(spark, store.new_path(spark, "test-tokens"))
+        for name in ("rows", "manifest"):
+            files.table(name).write.parquet(f"{other.path}/{name}")
+        changed.select(*recipes.columns).write.parquet(f"{other.path}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            token_store.read_checksums(other).collect()
+
+
 def test_chunks():
     rnd = np.random.default_rng(1)
     ids = rnd.integers(0, 50000, 20000).astype("uint32")
