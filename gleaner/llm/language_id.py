@@ -20,8 +20,8 @@ from gleaner.llm.arrow import column, map_arrow, pieces, texts
 
 #: Documents of each language that are learned from, about; n-grams of a language that enter the filter at most.
 SAMPLE, GRAMS = 1500, 12_000
-#: Lengths of n-grams, letters and word ends; places of the filter (a power of two); hashes; languages at most.
-LENGTHS, LOG_PLACES, HASHES, LANGUAGES = (2, 3, 4), 18, 3, 64
+#: Lengths of n-grams, letters and word ends; places of the filter (a power of two); hashes.
+LENGTHS, LOG_PLACES, HASHES = (2, 3, 4), 18, 3
 #: An n-gram enters a language's slice if it is there at least this many times, and this often next to its frequency
 #: in the language that has it most.
 LEAST, SHARE = 3, 0.5
@@ -58,19 +58,20 @@ def gram_hashes(text: str) -> np.ndarray:
 
 @dataclass
 class LanguageFilter:
-    """``masks``: the places, each a mask with bit i for languages[i]."""
+    """``masks``: the places, each a mask with bit i for languages[i]; ``further``: the same for each 64 languages after the first."""
 
     languages: list[str]
     masks: np.ndarray
+    further: tuple[np.ndarray, ...] = ()
 
     @staticmethod
     def build(grams: dict[str, np.ndarray]) -> LanguageFilter:
         languages = sorted(grams)
-        masks = np.zeros(1 << LOG_PLACES, "uint64")
+        masks = [np.zeros(1 << LOG_PLACES, "uint64") for _ in range(max(1, -(-len(languages) // 64)))]
         for i, name in enumerate(languages):
             for places in LanguageFilter.places(grams[name]):
-                masks[places] |= np.uint64(1 << i)
-        return LanguageFilter(languages, masks)
+                masks[i // 64][places] |= np.uint64(1 << i % 64)
+        return LanguageFilter(languages, masks[0], tuple(masks[1:]))
 
     @staticmethod
     def places(hashes: np.ndarray) -> list[np.ndarray]:
@@ -78,18 +79,22 @@ class LanguageFilter:
 
     def false_positives(self) -> np.ndarray:
         """For each language, the chance that an n-gram that is not in its slice seems to be."""
-        return np.array([(((self.masks >> np.uint64(i)) & np.uint64(1)).mean()) ** HASHES for i in range(len(self.languages))])
+        tables = (self.masks, *self.further)
+        return np.array([(((tables[i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) ** HASHES for i in range(len(self.languages))])
 
     def shares(self, text: str, chance: np.ndarray) -> np.ndarray | None:
         """For each language, the corrected share of the text's n-grams that it contains; None without a letter."""
         hashes = gram_hashes(text)
         if not len(hashes):
             return None
-        found = self.masks[(p := self.places(hashes))[0]]
-        for x in p[1:]:
-            found &= self.masks[x]
-        kinds, counts = np.unique(found, return_counts=True)
-        hits = np.array([counts[(kinds >> np.uint64(i)) & np.uint64(1) == 1].sum() for i in range(len(self.languages))], float)
+        p, hits = self.places(hashes), np.zeros(len(self.languages))
+        for word, masks in enumerate((self.masks, *self.further)):
+            found = masks[p[0]]
+            for x in p[1:]:
+                found &= masks[x]
+            kinds, counts = np.unique(found, return_counts=True)
+            for i in range(64 * word, min(64 * word + 64, len(hits))):
+                hits[i] = counts[(kinds >> np.uint64(i % 64)) & np.uint64(1) == 1].sum()
         return np.clip((hits / len(hashes) - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
 
     def predict(self, text: str, chance: np.ndarray) -> tuple[str, float]:
@@ -104,21 +109,20 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> L
     """The filter of ``docs`` (doc_id, text, lang).
 
     ``use`` picks the rows that may be learned from (all, if None). About ``sample`` documents of each language are
-    learned from, chosen by a hash of doc_id, whole texts each. Rows without text or lang are left out; the 64 most
-    frequent languages get a slice. The n-grams of the sample are counted on the executors; GRAMS of each language at
+    learned from, chosen by a hash of doc_id, whole texts each. Rows without text or lang are left out; every
+    language gets a slice, and each 64 languages take a table of masks. The n-grams of the sample are counted on the executors; GRAMS of each language at
     most come back.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = (rows if use is None else rows.filter(use)).filter("text is not null and lang is not null")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()  # a row for each language
     if not counts:
         return LanguageFilter.build({})
     shares = {r["lang"]: min(1.0, sample / r["count"]) for r in counts}
     names = sorted(shares)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003))
-    wanted = F.lit(False)
-    for name in names:
-        wanted = wanted | ((F.col("lang") == name) & (draw < int(shares[name] * 1_000_003)))
+    bars = docs.sparkSession.createDataFrame([(n, int(shares[n] * 1_000_003)) for n in names], "lang string, bar int")
+    wanted = rows.join(F.broadcast(bars), "lang").filter(draw < F.col("bar"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {n: i for i, n in enumerate(names)}
@@ -130,7 +134,7 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> L
                 grams, n = np.unique(np.concatenate(x), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i, "int32")), pa.array(grams.view("int64")), pa.array(n.astype("int64"))], ["lang", "gram", "n"])
 
-    found = map_arrow(rows.filter(wanted).select("lang", "text"), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = map_arrow(wanted.select("lang", "text"), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     found = found.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
     found = found.filter((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("top")))

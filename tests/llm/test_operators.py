@@ -455,3 +455,14 @@ def test_bpe_digests(spark, pair):
     got = bpe_digests(table(spark, rows)).collect()
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == want
     assert bpe_digests(table(spark, EMPTY)).collect() == []
+
+
+def test_over_64_languages(spark):
+    rnd = random.Random(3)
+    words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
+    rows = [(40 * k + i, " ".join(rnd.choice(words[lang]) for _ in range(30)), lang) for k, lang in enumerate(words) for i in range(12 if k < 64 else 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert model.languages == sorted(words)
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert got == {d: lang for d, _, lang in rows}
