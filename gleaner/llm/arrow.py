@@ -16,13 +16,13 @@ from gleaner.functions.ship import ship
 PIECE_BYTES = 4 << 20
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of ``batches`` again, cut so that the column ``text`` of each piece stays below PIECE_BYTES."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` again, cut so that the column ``text`` of each piece stays below ``most`` bytes."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if held and held + n > PIECE_BYTES:
+            if held and held + n > most:
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

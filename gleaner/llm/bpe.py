@@ -3,7 +3,10 @@
 A minimal perfect hash over the vocabulary resolves pre-tokens that are tokens themselves. All others go to a heap
 over linked bytes, which joins the neighbours of the lowest rank first, the leftmost of equals. Results are kept in
 a bounded memo of space-delimited chunks: a pre-token never spans a space that a non-space follows, so chunks can
-be encoded apart.
+be encoded apart. The distinct chunks of a piece of texts that the memo lacks are resolved together.
+
+The regex engines of Python and of the tiktoken library know different versions of Unicode. Characters about whose
+class they disagree are found once, and texts that hold one are cut with stand-ins of the library's class.
 """
 
 from __future__ import annotations
@@ -12,12 +15,13 @@ import base64
 import heapq
 import re
 from array import array
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -25,17 +29,66 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 
-#: Chunks, and pre-tokens, that a worker remembers.
-MEMO = 150_000
+#: Chunks that a worker remembers, and the longest of them.
+MEMO, LONGEST = 600_000, 64
+#: Bytes of text that are encoded together.
+PIECE = 1 << 20
 #: Keys per bucket of the perfect hash.
 PER_BUCKET = 2
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
-#: A space that a non-space follows, unless that is a control separator about which engines differ.
+#: A space that a non-space follows.
 CUT = re.compile(r" (?=\S)")
 #: What byte-level BPE commonly cuts a text into (fixed value).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-ODD = re.compile(r" \s")
+#: Where a text cannot be cut at each space, or not by the mark of :func:`chunked`.
+ODD = re.compile(r" \s|\x00")
+#: A stand-in for each class of characters: letters, numbers, white space, others. None occurs in a contraction.
+STAND_INS = {"L": "a", "N": "0", "s": "\x0b", "": "\x01"}
+
+
+def chunked(text: str) -> list[str]:
+    """The chunks of a text: each but the first begins with a space that a non-space follows, except where spaces run on."""
+    if not ODD.search(text):
+        return text.replace(" ", "\x00 ").split("\x00")
+    first, *rest = CUT.split(text)
+    return [first, *(" " + x for x in rest)]
+
+
+def code_points() -> str:
+    """Every character that UTF-8 can encode."""
+    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+
+
+def ranges(chars: Iterable[str]) -> str:
+    """A character class of ``re`` for ``chars``; one that matches nothing, if there are none."""
+    codes = sorted(map(ord, chars))
+    runs: list[list[int]] = []
+    for c in codes:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]" if runs else r"(?!)"
+
+
+@lru_cache(1)
+def disputed() -> dict[int, str]:
+    """The characters that the tiktoken library and Python's engines class differently, each with its stand-in."""
+    every = code_points()
+    single = {bytes([b]): b for b in range(256)}
+    kinds: dict[str, set[str]] = {}
+    differ: set[str] = set()
+    for name, own in (("L", str.isalpha), ("N", None), ("s", str.isspace)):
+        pattern = r"\s" if name == "s" else rf"\p{{{name}}}"
+        theirs = tiktoken.Encoding(f"class {name}", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        kinds[name] = set(bytes(theirs.encode_ordinary(every)).decode())
+        differ |= kinds[name] ^ set(regex.findall(pattern, every))
+        if name == "s":
+            differ |= kinds[name] ^ set(re.findall(r"\s", every))
+        if own:
+            differ |= kinds[name] ^ {c for c in every if own(c)}
+    return {ord(c): STAND_INS[next((k for k, held in kinds.items() if c in held), "")] for c in differ}
 
 
 class PerfectHash:
@@ -103,20 +156,33 @@ def cutter(pattern: str) -> Callable[[str], Sequence[str]]:
 class Memo:
     """A bounded memo of two generations: what was used since the last change of generations survives the next."""
 
-    def __init__(self, most: int) -> None:
+    def __init__(self, most: int = MEMO) -> None:
         self.most, self.new, self.old = most // 2, {}, {}
 
-    def get(self, key: str) -> bytes | None:
-        got = self.new.get(key)
-        if got is None and (got := self.old.get(key)) is not None:
-            self.put(key, got)
+    def resolve(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+        """The value of each key; ``make`` gives those of the distinct keys that are not known."""
+        got = list(map(self.new.get, keys))
+        lost = [i for i, value in enumerate(got) if value is None]
+        if lost:
+            found = dict.fromkeys([keys[i] for i in lost])
+            for k, value in zip(found, map(self.old.get, found), strict=True):
+                found[k] = value
+            asked = [k for k, value in found.items() if value is None]
+            found.update(zip(asked, make(asked), strict=True))
+            if len(self.new) + len(found) > self.most:
+                self.old, self.new = self.new, {}
+            room = self.most - len(self.new)
+            self.new.update([(k, value) for k, value in found.items() if len(k) <= LONGEST][:room])
+            for i in lost:
+                got[i] = found[keys[i]]
         return got
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.most:
-            self.old = dict(self.new)
-            self.new.clear()  # the same object: loops hold on to it
-        self.new[key] = value
+
+def joined(memo: Memo, parts: list[list[str]], make: Callable[[list[str]], Iterable[bytes]]) -> tuple[bytes, np.ndarray]:
+    """The ids of texts, given as lists of chunks, one after another as 32-bit integers, and where each text's end."""
+    got = memo.resolve([chunk for chunks in parts for chunk in chunks], make)
+    upto = np.append(0, np.cumsum(np.fromiter(map(len, got), "int64", len(got)))) >> 2
+    return b"".join(got), upto[np.cumsum([0, *map(len, parts)])]
 
 
 class Encoder:
@@ -128,16 +194,18 @@ class Encoder:
         keys = list(ranks)
         self.keys = [keys[i] for i in self.hash.order]
         self.ids = [ranks[k] for k in self.keys]
+        self.stand_ins = disputed()
         self._prepare()
 
     def _prepare(self) -> None:
         """What follows from the vocabulary; made anew where the encoder arrives."""
         self.find = cutter(self.pattern)
+        self.odd = re.compile(ranges(map(chr, self.stand_ins))).search
         ranks = dict(zip(self.keys, self.ids, strict=True))
         self.bytes = {r: k for k, r in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.joined: dict[int, int] = {}
-        self.memo, self.words = Memo(MEMO), Memo(MEMO)
+        self.memo = Memo()
 
     def pairs(self) -> dict[int, int]:
         """What two neighbouring tokens join to, for every way to part a token in two; made when it is first asked for,
@@ -150,7 +218,7 @@ class Encoder:
         return self.joined
 
     def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("pattern", "hash", "keys", "ids")}
+        return {k: self.__dict__[k] for k in ("pattern", "hash", "keys", "ids", "stand_ins")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -192,31 +260,34 @@ class Encoder:
                     push(heap, r << 32 | left)
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> bytes:
-        """The ids of a chunk as bytes of 32-bit integers: the memo then holds nothing that Python must trace."""
-        if (out := self.memo.get(chunk)) is not None:
-            return out
-        parts = []
-        for piece in self.find(chunk):
-            if (got := self.words.get(piece)) is None:
-                got = array("i", self.word(piece.encode())).tobytes()
-                if len(piece) <= 64:
-                    self.words.put(piece, got)
-            parts.append(got)
-        out = b"".join(parts)
-        if len(chunk) <= 64:
-            self.memo.put(chunk, out)
-        return out
-
-    def encode_bytes(self, text: str) -> bytes:
-        recent, chunk = self.memo.new.get, self.chunk
-        first, *rest = text.split(" ") if not ODD.search(text) else CUT.split(text)
-        parts = [chunk(first)]
-        parts += [recent(part) or chunk(part) for part in [" " + x for x in rest]]
-        return b"".join(parts)
+    def chunks(self, chunks: list[str]) -> Iterator[bytes]:
+        """The ids of each chunk as bytes of 32-bit integers: the memo then holds nothing that Python must trace."""
+        find, known = self.find, {}
+        for chunk in chunks:
+            ids: list[int] = []
+            for piece in find(chunk):
+                if (got := known.get(piece)) is None:
+                    got = known[piece] = self.word(piece.encode())
+                ids += got
+            yield array("i", ids).tobytes()
+
+    def encode_batch(self, some: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of texts one after another as 32-bit integers, and where each text's end."""
+        plain = [t for t in some if not self.odd(t)]
+        if len(plain) == len(some):
+            return joined(self.memo, [chunked(t) for t in some], self.chunks)
+        lists = [b"".join(self.memo.resolve(chunked(t), self.chunks)) if not self.odd(t) else self.disputed_ids(t) for t in some]
+        return b"".join(lists), np.cumsum([0, *(len(x) // 4 for x in lists)])
+
+    def disputed_ids(self, text: str) -> bytes:
+        """The ids of a text that holds a disputed character: cut with stand-ins, each pre-token of the text itself encoded."""
+        out = array("i")
+        for m in regex.finditer(self.pattern, text.translate(self.stand_ins)):
+            out.extend(self.word(text[m.start() : m.end()].encode()))
+        return out.tobytes()
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text), "int32").tolist()
+        return np.frombuffer(self.encode_batch([text])[0], "int32").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -229,36 +300,54 @@ def load_encoder(path: str, pattern: str) -> Encoder:
         return Encoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, pattern)
 
 
+def _lists(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    for piece in pieces(batches, most=PIECE):
+        flat, ends = coder.encode_batch(texts(piece))
+        yield column(piece, "doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.frombuffer(flat, "int32")))
+
+
+def _decoded(ids: pa.ListArray, coder: Encoder) -> pa.Array:
+    get, ends, flat = coder.bytes.__getitem__, ids.offsets.to_numpy(), ids.values.to_numpy()
+    held = ids.is_valid().to_numpy(zero_copy_only=False)
+    return pa.array([b"".join(map(get, flat[a:b].tolist())) if ok else b"" for a, b, ok in zip(ends, ends[1:], held, strict=False)], pa.binary())
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, encoder: Broadcast) -> DataFrame:
     """doc_id and ids (array of int) for each row of ``docs`` (doc_id, text); a null or empty text has no ids.
 
     ``encoder``: a broadcast :class:`Encoder`; its size is that of the vocabulary. Rows keep their number, repeated
-    ones too; other columns are ignored; an empty table gives an empty result.
+    ones too, and so do those without doc_id; other columns are ignored; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder.value
-        for piece in pieces(batches):
-            parts = [coder.encode_bytes(t) for t in texts(piece)]
-            ends = np.cumsum([0, *map(len, parts)]) // 4
-            ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.frombuffer(b"".join(parts), "int32")))
-            yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), ids], ["doc_id", "ids"])
+        for doc_id, ids in _lists(batches, encoder.value):
+            yield pa.RecordBatch.from_arrays([doc_id, ids], ["doc_id", "ids"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
+    return map_arrow(_columns(docs), run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, encoder: Broadcast) -> DataFrame:
     """The columns doc_id and ids of ``encoded`` and ``decoded``, the bytes that the ids stand for (null ids: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = encoder.value.bytes.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 ids = column(part, "ids")
-                ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-                held = ids.is_valid().to_numpy(zero_copy_only=False)
-                out = [b"".join(map(get, flat[a:b].tolist())) if ok else b"" for a, b, ok in zip(ends, ends[1:], held, strict=False)]
-                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), ids, pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([column(part, "doc_id"), ids, _decoded(ids, encoder.value)], ["doc_id", "ids", "decoded"])
 
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, decoded binary")
+
+
+def round_trip(docs: DataFrame, encoder: Broadcast) -> DataFrame:
+    """What :func:`decode` gives for the result of :func:`encode`, by one worker: a task then holds one encoder, not two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, ids in _lists(batches, encoder.value):
+            yield pa.RecordBatch.from_arrays([doc_id, ids, _decoded(ids, encoder.value)], ["doc_id", "ids", "decoded"])
+
+    return map_arrow(_columns(docs), run, "doc_id long, ids array<int>, decoded binary")

@@ -72,7 +72,7 @@ def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encodes every text, decodes the ids and gives the digests of both."""
     encoder = bpe.load_encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     shared = docs.sparkSession.sparkContext.broadcast(encoder)
-    return bpe.decode(bpe.encode(docs, shared), shared).select(
+    return bpe.round_trip(docs, shared).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),

@@ -22,8 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,63 +36,74 @@ from pyspark.sql import functions as F
 from gleaner.functions.ship import ship
 from gleaner.llm import store
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
-from gleaner.llm.bpe import CUT, MEMO, ODD, PRE_TOKEN, Memo, cutter
+from gleaner.llm.bpe import MEMO, PIECE, Memo, chunked, code_points, joined, ranges
 
 #: Ids that the rolling hash sees; a chunk's least and largest length; one place in MEAN ends a chunk.
 WINDOW, LEAST, MEAN, MOST = 8, 128, 512, 2048
 HASH_BYTES = 16
 #: The polynomial of CRC-32, lowest power first (fixed value of the format).
 POLYNOMIAL = 0xEDB88320
-#: The visible character that stands for each byte: itself where it is one, else the next ones from 256 on.
-_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-_VISIBLE = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SEEN)}
+#: What stands for a space in byte-level vocabularies (fixed value); chunks that one call of the library encodes.
+SPACE, CALL = "\u0120", 20_000
 
 
 class TextEncoder:
-    """The tokenizers library behind memos of space-delimited chunks and of pre-tokens.
+    """The tokenizers library behind a memo of space-delimited chunks.
 
-    The memos are used where the tokenizer's file says that a text may be cut before a space that a non-space follows
-    (byte-level BPE, nothing that normalises or adds a prefix) and the text holds none of its added tokens; a pre-token
-    that is new goes to the library's model. Any other text goes to the library whole.
+    The memo is used where the tokenizer's file says that a text may be cut before a space that a non-space follows
+    (byte-level BPE, nothing that normalises or adds a prefix) and the text holds neither an added token nor a character
+    that only one of Python and the library takes for white space. The distinct chunks of a piece that are new go to
+    the library in one call, one after another: every id whose token begins with a space begins a chunk. Any other text
+    goes to the library whole.
     """
 
     def __init__(self, content: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
 
         self.tokenizer, made = Tokenizer.from_str(content), json.loads(content)
         kind = made.get("pre_tokenizer") or {}
         plain = not made.get("normalizer") and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         self.cuts = plain and made["model"].get("type") == "BPE" and not (made.get("truncation") or made.get("padding"))
-        self.added = [t["content"] for t in made.get("added_tokens") or []]
-        self.find, self.model = cutter(PRE_TOKEN), self.tokenizer.model
-        self.memo, self.words = Memo(MEMO), Memo(MEMO)
-
-    def chunk(self, chunk: str) -> bytes:
-        if (out := self.memo.get(chunk)) is not None:
-            return out
-        parts = []
-        for piece in self.find(chunk):
-            if (got := self.words.get(piece)) is None:
-                tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(_VISIBLE))
-                got = array("I", [t.id for t in tokens]).tobytes()
-                if len(piece) <= 64:
-                    self.words.put(piece, got)
-            parts.append(got)
-        out = b"".join(parts)
-        if len(chunk) <= 64:
-            self.memo.put(chunk, out)
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a text."""
-        if not self.cuts or any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "uint32")
-        recent, chunk = self.memo.new.get, self.chunk
-        first, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
-        parts = [chunk(first)]
-        parts += [recent(part) or chunk(part) for part in [" " + x for x in rest]]
-        return np.frombuffer(b"".join(parts), "uint32")
+        every = code_points()
+        blanks = pre_tokenizers.Split(Regex(r"\S+"), "removed").pre_tokenize_str(every)
+        differ = set("".join(x for x, _ in blanks)) ^ set(re.findall(r"\s", every))
+        added = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
+        self.odd = re.compile("|".join([*added, ranges(differ)])).search
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.starts[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.memo = Memo()
+
+    def alone(self, some: list[str]) -> list[bytes]:
+        """The ids of each text by a call for itself."""
+        return [np.array(x.ids, "uint32").tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks: those with one space, at their start, go to the library together."""
+        simple = [c for c in chunks if c[:1] == " " and " " not in c[1:]]
+        found = {}
+        for low in range(0, len(simple), CALL):
+            some = simple[low : low + CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "uint32")
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) != len(some) or at[0]:
+                found.update(zip(some, self.alone(some), strict=True))
+                continue
+            data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            found.update(zip(some, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
+        rest = [c for c in chunks if c not in found]
+        found.update(zip(rest, self.alone(rest), strict=True))
+        return [found[c] for c in chunks]
+
+    def encode_batch(self, some: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        plain = [self.cuts and not self.odd(t) for t in some]
+        flat, ends = joined(self.memo, [chunked(t) for t, p in zip(some, plain, strict=True) if p], self.chunks)
+        ids = np.frombuffer(flat, "uint32")
+        known = iter([ids[a:b] for a, b in zip(ends, ends[1:], strict=False)])
+        whole = iter([np.frombuffer(x, "uint32") for x in self.alone([t for t, p in zip(some, plain, strict=True) if not p])])
+        return [next(known if p else whole) for p in plain]
 
 
 _encoders: dict[int, TextEncoder] = {}
@@ -185,8 +196,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen = _encoder(shared), set()
-        for piece in pieces(batches):
-            lists = [np.append(coder.encode(t), np.uint32(end_id)).astype("<u4") for t in texts(piece)]
+        for piece in pieces(batches, most=PIECE):
+            lists = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in coder.encode_batch(texts(piece))]
             hashes, sizes, datas, recipes = [], [], [], []
             for ids in lists:
                 ends = chunk_ends(ids)
@@ -231,7 +242,8 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
             yield batch.take(pa.array(keep, pa.int32()))
 
     # Chunks and recipes take one shuffle together: the texts are encoded once.
-    dealt = made.repartition("hash").sortWithinPartitions("hash", F.col("data").isNull())
+    # Chunks go by their hash; recipes by doc_id too, as equal documents have equal roots.
+    dealt = made.repartition("hash", "doc_id").sortWithinPartitions("hash", F.col("data").isNull())
     dealt = map_arrow(dealt, once, "hash binary, n long, data binary, doc_id long, lengths array<int>, hashes binary")
     dealt.write.option("compression", "zstd").parquet(f"{path}/rows")
     both = spark.read.schema(dealt.schema).parquet(f"{path}/rows")

@@ -441,9 +441,34 @@ def test_bpe(pair):
         assert ids == theirs.encode_ordinary(t) and ours.decode(ids) == t.encode()
     assert sorted(ours.hash(k) for k in ours.keys) == list(range(len(ours.keys)))
     # With a tiny memo, generations change all the time.
-    ours.memo, ours.words = bpe.Memo(8), bpe.Memo(4)
+    ours.memo = bpe.Memo(8)
     assert all(ours.encode(t) == theirs.encode_ordinary(t) for t in texts[:500])
-    ours.memo, ours.words = bpe.Memo(bpe.MEMO), bpe.Memo(bpe.MEMO)
+    ours.memo = bpe.Memo()
+
+
+def of_all_characters(n=6000):
+    """Texts of characters about which engines disagree, of others from the whole code space, and of what patterns name."""
+    rnd = random.Random(8)
+    odd, every = list(map(chr, bpe.disputed())), bpe.code_points()
+    known = [" ", "  ", "\n", "\t", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\u180e", "'s", "'t", "'re", "'ll", "a", "\u00e9", "1", "\u00b2", "<|endoftext|>", "!", " the"]
+    some = [c + end for c in map(chr, (0xA7CE, 0xA7CF, 0xA7D2, 0xA7D4, 0xA7DD)) for end in ("'s", "'t")]
+    return some + ["".join(rnd.choice(rnd.choice((known, known, odd, every))) for _ in range(rnd.randint(0, 12))) for _ in range(n)]
+
+
+def test_bpe_of_all_characters(pair):
+    ours, theirs = pair
+    some = of_all_characters()
+    flat, ends = ours.encode_batch(some)
+    ids = np.frombuffer(flat, "int32")
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [theirs.encode_ordinary(t) for t in some]
+
+
+def test_library_of_all_characters(tokenizer):
+    ours, some = token_store.TextEncoder(tokenizer.to_str()), of_all_characters()
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+    assert [x.tolist() for x in ours.encode_batch(some)] == want
+    ours.memo = bpe.Memo(8)
+    assert [x.tolist() for t in some[:500] for x in ours.encode_batch([t])] == want[:500]
 
 
 def test_bpe_digests(spark, pair):
