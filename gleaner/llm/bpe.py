@@ -1,9 +1,9 @@
 """Byte-level BPE in two tiers.
 
 A minimal perfect hash over the vocabulary resolves pre-tokens that are tokens themselves. All others go to a heap
-over linked bytes, which joins the neighbours of the lowest rank first, the leftmost of equals. Results are kept in
-a bounded memo of space-delimited chunks: a pre-token never spans a space that a non-space follows, so chunks can
-be encoded apart. The distinct chunks of a piece of texts that the memo lacks are resolved together.
+over linked bytes, which joins the neighbours of the lowest rank first, the leftmost of equals. The misses of a piece of
+texts are joined side by side: each has its own heap, a tournament tree over its places, and numpy pops and mends all of
+them in step. Texts are encoded by their distinct words (:mod:`gleaner.llm.words`).
 
 The regex engines of Python and of the tiktoken library know different versions of Unicode. Characters about whose
 class they disagree are found once, and texts that hold one are cut with stand-ins of the library's class.
@@ -14,9 +14,9 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from array import array
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,51 +27,23 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.arrow import column, map_arrow, pieces, texts
+from gleaner.llm.arrow import column, map_arrow, pieces
+from gleaner.llm.words import PIECE, Words, arrow_class, code_points, ranges, whites
 
-#: Chunks that a worker remembers, and the longest of them.
-MEMO, LONGEST = 600_000, 64
-#: Bytes of text that are encoded together.
-PIECE = 1 << 20
 #: Keys per bucket of the perfect hash.
 PER_BUCKET = 2
+#: Lengths in bytes up to which misses are joined side by side (a longer one has a heap for itself), and how many at once.
+WIDTHS, TOGETHER = (8, 16, 32, 64), 20_000
+#: What no rank is as large as.
+NEVER = np.int32(2**31 - 1)
 MASK = (1 << 64) - 1
 STEP = 0x9E3779B97F4A7C15
-#: A space that a non-space follows.
-CUT = re.compile(r" (?=\S)")
 #: What byte-level BPE commonly cuts a text into (fixed value).
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Where a text cannot be cut at each space, or not by the mark of :func:`chunked`.
-ODD = re.compile(r" \s|\x00")
 #: A stand-in for each class of characters: letters, numbers, white space, others. None occurs in a contraction.
 STAND_INS = {"L": "a", "N": "0", "s": "\x0b", "": "\x01"}
 
 
-def chunked(text: str) -> list[str]:
-    """The chunks of a text: each but the first begins with a space that a non-space follows, except where spaces run on."""
-    if not ODD.search(text):
-        return text.replace(" ", "\x00 ").split("\x00")
-    first, *rest = CUT.split(text)
-    return [first, *(" " + x for x in rest)]
-
-
-def code_points() -> str:
-    """Every character that UTF-8 can encode."""
-    return "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-
-
-def ranges(chars: Iterable[str]) -> str:
-    """A character class of ``re`` for ``chars``; one that matches nothing, if there are none."""
-    codes = sorted(map(ord, chars))
-    runs: list[list[int]] = []
-    for c in codes:
-        if runs and c == runs[-1][1] + 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]" if runs else r"(?!)"
-
-
 @lru_cache(1)
 def disputed() -> dict[int, str]:
     """The characters that the tiktoken library and Python's engines class differently, each with its stand-in."""
@@ -153,36 +125,54 @@ def cutter(pattern: str) -> Callable[[str], Sequence[str]]:
     return cut
 
 
-class Memo:
-    """A bounded memo of two generations: what was used since the last change of generations survives the next."""
-
-    def __init__(self, most: int = MEMO) -> None:
-        self.most, self.new, self.old = most // 2, {}, {}
-
-    def resolve(self, keys: list[str], make: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
-        """The value of each key; ``make`` gives those of the distinct keys that are not known."""
-        got = list(map(self.new.get, keys))
-        lost = [i for i, value in enumerate(got) if value is None]
-        if lost:
-            found = dict.fromkeys([keys[i] for i in lost])
-            for k, value in zip(found, map(self.old.get, found), strict=True):
-                found[k] = value
-            asked = [k for k, value in found.items() if value is None]
-            found.update(zip(asked, make(asked), strict=True))
-            if len(self.new) + len(found) > self.most:
-                self.old, self.new = self.new, {}
-            room = self.most - len(self.new)
-            self.new.update([(k, value) for k, value in found.items() if len(k) <= LONGEST][:room])
-            for i in lost:
-                got[i] = found[keys[i]]
-        return got
-
-
-def joined(memo: Memo, parts: list[list[str]], make: Callable[[list[str]], Iterable[bytes]]) -> tuple[bytes, np.ndarray]:
-    """The ids of texts, given as lists of chunks, one after another as 32-bit integers, and where each text's end."""
-    got = memo.resolve([chunk for chunks in parts for chunk in chunks], make)
-    upto = np.append(0, np.cumsum(np.fromiter(map(len, got), "int64", len(got)))) >> 2
-    return b"".join(got), upto[np.cumsum([0, *map(len, parts)])]
+class PairTable:
+    """What pairs of tokens join to: ``held``, and the same as arrays, an open-addressed table of pairs and ranks."""
+
+    def __init__(self, held: dict[int, int]) -> None:
+        self.held = held
+        self.shift = np.uint64(64 - max(4, (4 * len(held)).bit_length()))
+        self.mask = np.int64((1 << (64 - int(self.shift))) - 1)
+        self.pair, self.rank = np.full(int(self.mask) + 1, -1, "int64"), np.full(int(self.mask) + 1, -1, "int32")
+        pairs, ranks_ = np.fromiter(held, "int64", len(held)), np.fromiter(held.values(), "int32", len(held))
+        place = self._place(pairs)
+        while len(pairs):
+            free = self.pair[place] < 0
+            self.pair[place[free]] = pairs[free]  # of several pairs at one place the last takes it
+            taken = self.pair[place] == pairs
+            self.rank[place[taken]] = ranks_[taken]
+            pairs, ranks_, place = pairs[~taken], ranks_[~taken], (place[~taken] + 1) & self.mask
+
+    def _place(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view("uint64") * np.uint64(STEP) >> self.shift).view("int64")
+
+    def leaves(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The rank that each pair joins to, with its place in the lowest six bits; NEVER for those that do not join."""
+        pairs = left.astype("int64") << 20 | right.astype("int64")  # negative if either is
+        pairs, shape = pairs.reshape(-1), pairs.shape
+        at = self._place(pairs)
+        found, rank = self.pair[at], self.rank[at]
+        todo = np.flatnonzero((found != pairs) & (found >= 0))
+        rank[found != pairs] = -1
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & self.mask
+            found = self.pair[at]
+            hit = found == pairs[todo]
+            rank[todo[hit]] = self.rank[at[hit]]
+            on = ~hit & (found >= 0)
+            todo, at = todo[on], at[on]
+        rank = rank.reshape(shape)
+        return np.where(rank >= 0, rank << 6 | place, NEVER).astype("int32")
+
+
+def groups(pieces: list[bytes], known: list[bytes | None]) -> Iterator[tuple[int, list[int]]]:
+    """The places of the pieces that are not known by the least of WIDTHS that holds them; 0 for longer ones."""
+    by: dict[int, list[int]] = {w: [] for w in (*WIDTHS, 0)}
+    for i, (p, k) in enumerate(zip(pieces, known, strict=True)):
+        if k is None:
+            n = len(p)
+            by[next((w for w in WIDTHS if n <= w), 0)].append(i)
+    yield from by.items()
 
 
 class Encoder:
@@ -200,21 +190,23 @@ class Encoder:
     def _prepare(self) -> None:
         """What follows from the vocabulary; made anew where the encoder arrives."""
         self.find = cutter(self.pattern)
+        ranks_ = dict(zip(self.keys, self.ids, strict=True))
+        self.own = [r.to_bytes(4, "little") for r in self.ids]
+        self.bytes = {r: k for k, r in ranks_.items()}
+        self.single = np.array([ranks_[bytes([b])] for b in range(256)], "int32")
+        self.joined: PairTable | None = None
         self.odd = re.compile(ranges(map(chr, self.stand_ins))).search
-        ranks = dict(zip(self.keys, self.ids, strict=True))
-        self.bytes = {r: k for k, r in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.joined: dict[int, int] = {}
-        self.memo = Memo()
+        disputed_ones = set(map(chr, self.stand_ins))
+        self.words = Words(self.spaced, self.texts, whites() - disputed_ones, [arrow_class(disputed_ones)] if disputed_ones else [])
 
-    def pairs(self) -> dict[int, int]:
+    def pairs(self) -> PairTable:
         """What two neighbouring tokens join to, for every way to part a token in two; made when it is first asked for,
         which is never where ids are only decoded."""
-        if not self.joined:
+        if self.joined is None:
             ranks = dict(zip(self.keys, self.ids, strict=True))
-            self.joined = {
-                left << 20 | right: r for k, r in ranks.items() for i in range(1, len(k)) if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None
-            }
+            self.joined = PairTable(
+                {left << 20 | right: r for k, r in ranks.items() for i in range(1, len(k)) if (left := ranks.get(k[:i])) is not None and (right := ranks.get(k[i:])) is not None}
+            )
         return self.joined
 
     def __getstate__(self) -> dict:
@@ -224,15 +216,69 @@ class Encoder:
         self.__dict__.update(state)
         self._prepare()
 
-    def word(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token."""
-        slot = self.hash(piece)
-        return [self.ids[slot]] if self.keys[slot] == piece else self.merge(piece)
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens, as bytes of 32-bit integers."""
+        slots = [self.hash(p) for p in pieces]
+        known = [self.own[slot] if self.keys[slot] == p else None for p, slot in zip(pieces, slots, strict=True)]
+        for width, held in groups(pieces, known):
+            for low in range(0, len(held), TOGETHER):
+                some = held[low : low + TOGETHER]
+                few = [pieces[i] for i in some]
+                joined = self.merge_together(few, width) if width else [np.array(self.merge(p), "int32").tobytes() for p in few]
+                for i, data in zip(some, joined, strict=True):
+                    known[i] = data
+        return known
+
+    def merge_together(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The ids of pre-tokens of up to ``width`` bytes, a power of two.
+
+        Row by row: the tokens by place, the next and the last place that is still linked, and a tournament tree whose
+        leaves are rank and place of each pair and whose root is the least of them. A step pops every root, joins the
+        two tokens, and plays the three places that changed up to the root again.
+        """
+        count, place = len(pieces), np.arange(width, dtype="int32")
+        ends = np.fromiter(map(len, pieces), "int32", count)
+        ids = self.single[np.frombuffer(b"".join([p.ljust(width, b"\0") for p in pieces]), "uint8")].reshape(count, width)
+        ids[place >= ends[:, None]] = -1
+        tree = np.full((count, 2 * width), NEVER)
+        tree[:, width:-1] = self.pairs().leaves(ids[:, :-1], ids[:, 1:], place[:-1])
+        size = width
+        while size > 1:
+            np.minimum(tree[:, size : 2 * size : 2], tree[:, size + 1 : 2 * size : 2], out=tree[:, size // 2 : size])
+            size //= 2
+        after, before = np.tile(place + 1, count), np.tile(place - 1, count)
+        flat, heap, leaf = ids.reshape(-1), tree.reshape(-1), self.pairs().leaves
+        row = np.arange(count)
+        while len(row := row[(top := heap[row * 2 * width + 1]) < NEVER]):
+            top = top[top < NEVER]
+            at, root = row * width, row * 2 * width
+            here, rank = top & 63, top >> 6
+            gone = after[at + here]
+            right = after[at + gone]
+            flat[at + here], flat[at + gone], after[at + here] = rank, -1, right
+            linked = right < ends[row]
+            right = np.where(linked, right, gone)  # the token that is gone joins with nothing
+            before[(at + right)[linked]] = here[linked]
+            left = before[at + here]
+            first = left < 0
+            left = np.where(first, gone, left)
+            heap[root + width + gone] = NEVER
+            heap[root + width + here] = leaf(rank, flat[at + right], here)
+            heap[root + width + left] = leaf(flat[at + left], rank, left)
+            changed = [here + width, gone + width, left + width]
+            for _ in range(width.bit_length() - 1):
+                for i, node in enumerate(changed):
+                    changed[i] = node = node >> 1
+                    pair = root + 2 * node
+                    heap[root + node] = np.minimum(heap[pair], heap[pair + 1])
+        held = ids >= 0
+        data, stops = ids[held].tobytes(), np.append(0, 4 * np.cumsum(held.sum(axis=1))).tolist()
+        return [data[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def merge(self, piece: bytes) -> list[int]:
-        """Joins linked bytes by a heap of (rank, place); an entry whose pair has changed since is passed over."""
-        get, n = self.pairs().get, len(piece)
-        ids = [self.single[b] for b in piece]
+        """The ids of one pre-token, by a heap of (rank, place); an entry whose pair has changed since is passed over."""
+        get, n = self.pairs().held.get, len(piece)
+        ids = [int(self.single[b]) for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n))
         pair = [get(ids[i] << 20 | ids[i + 1], -1) for i in range(n - 1)] + [-1]  # the rank that each place joins to
         heap = [r << 32 | i for i, r in enumerate(pair) if r >= 0]
@@ -260,34 +306,28 @@ class Encoder:
                     push(heap, r << 32 | left)
         return [x for x in ids if x >= 0]
 
-    def chunks(self, chunks: list[str]) -> Iterator[bytes]:
-        """The ids of each chunk as bytes of 32-bit integers: the memo then holds nothing that Python must trace."""
-        find, known = self.find, {}
-        for chunk in chunks:
-            ids: list[int] = []
-            for piece in find(chunk):
-                if (got := known.get(piece)) is None:
-                    got = known[piece] = self.word(piece.encode())
-                ids += got
-            yield array("i", ids).tobytes()
-
-    def encode_batch(self, some: list[str]) -> tuple[bytes, np.ndarray]:
-        """The ids of texts one after another as 32-bit integers, and where each text's end."""
-        plain = [t for t in some if not self.odd(t)]
-        if len(plain) == len(some):
-            return joined(self.memo, [chunked(t) for t in some], self.chunks)
-        lists = [b"".join(self.memo.resolve(chunked(t), self.chunks)) if not self.odd(t) else self.disputed_ids(t) for t in some]
-        return b"".join(lists), np.cumsum([0, *(len(x) // 4 for x in lists)])
-
-    def disputed_ids(self, text: str) -> bytes:
-        """The ids of a text that holds a disputed character: cut with stand-ins, each pre-token of the text itself encoded."""
-        out = array("i")
-        for m in regex.finditer(self.pattern, text.translate(self.stand_ins)):
-            out.extend(self.word(text[m.start() : m.end()].encode()))
-        return out.tobytes()
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before them."""
+        return self.texts([" " + w for w in words])
+
+    def texts(self, some: list[str]) -> list[bytes]:
+        """The ids of texts as bytes of 32-bit integers: a memo of them then holds nothing that Python must trace."""
+        find, odd = self.find, self.odd
+        lists = [self.parted(t) if odd(t) else find(t) for t in some]
+        known = list(dict.fromkeys(chain.from_iterable(lists)))
+        get = dict(zip(known, self.pieces([p.encode() for p in known]), strict=True)).__getitem__
+        return [b"".join(map(get, found)) for found in lists]
+
+    def parted(self, text: str) -> list[str]:
+        """The pre-tokens of a text that holds a disputed character: found with stand-ins, cut from the text itself."""
+        return [text[m.start() : m.end()] for m in regex.finditer(self.pattern, text.translate(self.stand_ins))]
+
+    def encode_batch(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another as 32-bit integers, and where each begins, and the last ends."""
+        return self.words.ids(pa.array(some, pa.string()))
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.encode_batch([text])[0], "int32").tolist()
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -302,8 +342,8 @@ def load_encoder(path: str, pattern: str) -> Encoder:
 
 def _lists(batches: Iterator[pa.RecordBatch], coder: Encoder) -> Iterator[tuple[pa.Array, pa.ListArray]]:
     for piece in pieces(batches, most=PIECE):
-        flat, ends = coder.encode_batch(texts(piece))
-        yield column(piece, "doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(np.frombuffer(flat, "int32")))
+        flat, ends = coder.words.ids(column(piece, "text"))
+        yield column(piece, "doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(flat))
 
 
 def _decoded(ids: pa.ListArray, coder: Encoder) -> pa.Array:

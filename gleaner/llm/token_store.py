@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.ship import ship
 from gleaner.llm import store
-from gleaner.llm.arrow import column, map_arrow, pieces, texts
-from gleaner.llm.bpe import MEMO, PIECE, Memo, chunked, code_points, joined, ranges
+from gleaner.llm.arrow import column, map_arrow, pieces
+from gleaner.llm.words import MEMO, PIECE, Words, code_points, whites
 
 #: Ids that the rolling hash sees; a chunk's least and largest length; one place in MEAN ends a chunk.
 WINDOW, LEAST, MEAN, MOST = 8, 128, 512, 2048
@@ -44,17 +44,16 @@ HASH_BYTES = 16
 #: The polynomial of CRC-32, lowest power first (fixed value of the format).
 POLYNOMIAL = 0xEDB88320
 #: What stands for a space in byte-level vocabularies (fixed value); chunks that one call of the library encodes.
-SPACE, CALL = "\u0120", 20_000
+SPACE, CALL = "\u0120", 1000
 
 
 class TextEncoder:
-    """The tokenizers library behind a memo of space-delimited chunks.
+    """The tokenizers library, asked for distinct words (:mod:`gleaner.llm.words`).
 
-    The memo is used where the tokenizer's file says that a text may be cut before a space that a non-space follows
-    (byte-level BPE, nothing that normalises or adds a prefix) and the text holds neither an added token nor a character
-    that only one of Python and the library takes for white space. The distinct chunks of a piece that are new go to
-    the library in one call, one after another: every id whose token begins with a space begins a chunk. Any other text
-    goes to the library whole.
+    Texts are cut into words where the tokenizer's file says that this changes nothing (byte-level BPE, nothing that
+    normalises or adds a prefix) and the text holds neither an added token nor a character that only one of Python and
+    the library takes for white space. The words of a piece that are new go to the library in one text: every id whose
+    token begins with a space begins a word. Any other text goes to the library whole.
     """
 
     def __init__(self, content: str) -> None:
@@ -64,46 +63,32 @@ class TextEncoder:
         self.tokenizer, made = Tokenizer.from_str(content), json.loads(content)
         kind = made.get("pre_tokenizer") or {}
         plain = not made.get("normalizer") and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
-        self.cuts = plain and made["model"].get("type") == "BPE" and not (made.get("truncation") or made.get("padding"))
-        every = code_points()
-        blanks = pre_tokenizers.Split(Regex(r"\S+"), "removed").pre_tokenize_str(every)
-        differ = set("".join(x for x, _ in blanks)) ^ set(re.findall(r"\s", every))
+        cuts = plain and made["model"].get("type") == "BPE" and not (made.get("truncation") or made.get("padding"))
+        blanks = pre_tokenizers.Split(Regex(r"\S+"), "removed").pre_tokenize_str(code_points())
+        blanks = whites() | set("".join(x for x, _ in blanks))
         added = [re.escape(t["content"]) for t in made.get("added_tokens") or []]
-        self.odd = re.compile("|".join([*added, ranges(differ)])).search
         vocabulary = self.tokenizer.get_vocab()
         self.starts = np.zeros(1 + max(vocabulary.values(), default=0), bool)
         self.starts[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
-        self.memo = Memo()
+        self.words = Words(self.spaced, self.whole, blanks, added if cuts else ["(?s)."])
 
-    def alone(self, some: list[str]) -> list[bytes]:
+    def whole(self, some: list[str]) -> list[bytes]:
         """The ids of each text by a call for itself."""
         return [np.array(x.ids, "uint32").tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-    def chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks: those with one space, at their start, go to the library together."""
-        simple = [c for c in chunks if c[:1] == " " and " " not in c[1:]]
-        found = {}
-        for low in range(0, len(simple), CALL):
-            some = simple[low : low + CALL]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "uint32")
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """The ids of words with a space before them."""
+        found: list[bytes] = []
+        for low in range(0, len(words), CALL):
+            some = words[low : low + CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "uint32")
             at = np.flatnonzero(self.starts[ids])
-            if len(at) != len(some) or at[0]:
-                found.update(zip(some, self.alone(some), strict=True))
+            if len(at) != len(some) or at[0] or "" in some:
+                found += self.whole([" " + w for w in some])
                 continue
             data, ends = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            found.update(zip(some, [data[a:b] for a, b in zip(ends, ends[1:], strict=False)], strict=True))
-        rest = [c for c in chunks if c not in found]
-        found.update(zip(rest, self.alone(rest), strict=True))
-        return [found[c] for c in chunks]
-
-    def encode_batch(self, some: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        plain = [self.cuts and not self.odd(t) for t in some]
-        flat, ends = joined(self.memo, [chunked(t) for t, p in zip(some, plain, strict=True) if p], self.chunks)
-        ids = np.frombuffer(flat, "uint32")
-        known = iter([ids[a:b] for a, b in zip(ends, ends[1:], strict=False)])
-        whole = iter([np.frombuffer(x, "uint32") for x in self.alone([t for t, p in zip(some, plain, strict=True) if not p])])
-        return [next(known if p else whole) for p in plain]
+            found += [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        return found
 
 
 _encoders: dict[int, TextEncoder] = {}
@@ -116,19 +101,21 @@ def _encoder(content: Broadcast) -> TextEncoder:
     return _encoders[key]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of an id stream end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def chunk_places(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end: behind each id at which the rolling hash over the last WINDOW ids is low."""
     mixed = ids.astype("uint32") * np.uint32(0x9E3779B1) ^ (ids.astype("uint32") >> np.uint32(7)) * np.uint32(0x85EBCA6B)
-    rolled = np.zeros(n, "uint32")
+    rolled = np.zeros(len(ids), "uint32")
     for k in range(WINDOW):  # the sum of the window's ids, each times a power of an odd number
-        rolled[k:] += mixed[: n - k] * np.uint32(pow(0x01000193, k, 1 << 32))
+        rolled[k:] += mixed[: max(0, len(ids) - k)] * np.uint32(pow(0x01000193, k, 1 << 32))
     rolled ^= rolled >> np.uint32(15)
-    places = np.flatnonzero(rolled * np.uint32(0xC2B2AE35) < np.uint32((1 << 32) // MEAN)) + 1
+    return np.flatnonzero(rolled * np.uint32(0xC2B2AE35) < np.uint32((1 << 32) // MEAN)) + 1
+
+
+def chunk_ends(n: int, places: list[int]) -> list[int]:
+    """Where the chunks of a stream of ``n`` ids end, given where they may. As none ends before LEAST ids, the places may
+    come from a window that reaches back over the beginning of the stream."""
     ends, start = [], 0
-    for p in places.tolist():
+    for p in places:
         while p - start > MOST:
             start += MOST
             ends.append(start)
@@ -197,17 +184,22 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, seen = _encoder(shared), set()
         for piece in pieces(batches, most=PIECE):
-            lists = [np.append(ids, np.uint32(end_id)).astype("<u4") for ids in coder.encode_batch(texts(piece))]
+            ids, ends = coder.words.ids(column(piece, "text"))
+            ids, ends = np.insert(ids.view("uint32"), ends[1:], np.uint32(end_id)).astype("<u4"), ends + np.arange(len(ends))
+            places = chunk_places(ids)
+            bounds = np.searchsorted(places, ends, "right")
+            data = memoryview(ids.tobytes())
             hashes, sizes, datas, recipes = [], [], [], []
-            for ids in lists:
-                ends = chunk_ends(ids)
+            for i, (low, high) in enumerate(zip(ends.tolist(), ends[1:].tolist(), strict=False)):
+                stops = chunk_ends(high - low, (places[bounds[i] : bounds[i + 1]] - low).tolist())
                 own = []
-                for a, b in zip([0, *ends], ends, strict=False):
-                    own.append(chunk_hash(data := ids[a:b].tobytes()))
+                for a, b in zip([0, *stops], stops, strict=False):
+                    part = data[4 * (low + a) : 4 * (low + b)]
+                    own.append(chunk_hash(part))
                     if own[-1] not in seen:
                         seen.add(own[-1])
-                        hashes.append(own[-1]), sizes.append(b - a), datas.append(data)
-                recipes.append((len(ids), np.diff([0, *ends]).tolist(), b"".join(own), merkle_root(own)))
+                        hashes.append(own[-1]), sizes.append(b - a), datas.append(bytes(part))
+                recipes.append((high - low, np.diff([0, *stops]).tolist(), b"".join(own), merkle_root(own)))
             if len(seen) > MEMO:
                 seen.clear()
             k, m = len(hashes), len(recipes)

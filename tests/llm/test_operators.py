@@ -10,10 +10,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, components, jaccard_join, language_id, licenses, mixing, store, token_store, topk, toxicity
+from gleaner.llm import bpe, chat, components, jaccard_join, language_id, licenses, mixing, store, token_store, topk, toxicity, words
 from gleaner.llm.exact_dedup import exact_dedup
 from gleaner.llm.queries import bpe_digests
 
@@ -220,10 +221,14 @@ def test_lost_recipes(spark):
 def test_chunks():
     rnd = np.random.default_rng(1)
     ids = rnd.integers(0, 50000, 20000).astype("uint32")
-    ends = token_store.chunk_ends(ids)
+    ends = token_store.chunk_ends(len(ids), token_store.chunk_places(ids).tolist())
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(ids) and sizes.max() <= token_store.MOST and sizes[:-1].min() >= token_store.LEAST
-    moved = token_store.chunk_ends(np.concatenate([ids[777:778], ids]))
+    longer = np.concatenate([ids[777:778], ids])
+    moved = token_store.chunk_ends(len(longer), token_store.chunk_places(longer).tolist())
+    # Places that were found in a longer stream give the chunks of its parts.
+    after = (token_store.chunk_places(np.concatenate([ids[:300], ids])) - 300).tolist()
+    assert token_store.chunk_ends(len(ids), [p for p in after if p > 0]) == ends
     assert len({e - 1 for e in moved} & set(ends)) > len(ends) // 2
     parts = [rnd.bytes(n) for n in (5, 0, 17, 4096)]
     crc = token_store.shifted_crc(np.array([zlib.crc32(p) for p in parts]), np.array([len(b"".join(parts[i + 1 :])) for i in range(4)]))
@@ -441,15 +446,15 @@ def test_bpe(pair):
         assert ids == theirs.encode_ordinary(t) and ours.decode(ids) == t.encode()
     assert sorted(ours.hash(k) for k in ours.keys) == list(range(len(ours.keys)))
     # With a tiny memo, generations change all the time.
-    ours.memo = bpe.Memo(8)
+    ours.words.memo = words.Memo(8)
     assert all(ours.encode(t) == theirs.encode_ordinary(t) for t in texts[:500])
-    ours.memo = bpe.Memo()
+    ours.words.memo = words.Memo()
 
 
 def of_all_characters(n=6000):
     """Texts of characters about which engines disagree, of others from the whole code space, and of what patterns name."""
     rnd = random.Random(8)
-    odd, every = list(map(chr, bpe.disputed())), bpe.code_points()
+    odd, every = list(map(chr, bpe.disputed())), words.code_points()
     known = [" ", "  ", "\n", "\t", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "\u200b", "\u180e", "'s", "'t", "'re", "'ll", "a", "\u00e9", "1", "\u00b2", "<|endoftext|>", "!", " the"]
     some = [c + end for c in map(chr, (0xA7CE, 0xA7CF, 0xA7D2, 0xA7D4, 0xA7DD)) for end in ("'s", "'t")]
     return some + ["".join(rnd.choice(rnd.choice((known, known, odd, every))) for _ in range(rnd.randint(0, 12))) for _ in range(n)]
@@ -458,17 +463,17 @@ def of_all_characters(n=6000):
 def test_bpe_of_all_characters(pair):
     ours, theirs = pair
     some = of_all_characters()
-    flat, ends = ours.encode_batch(some)
-    ids = np.frombuffer(flat, "int32")
+    ids, ends = ours.encode_batch(some)
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [theirs.encode_ordinary(t) for t in some]
 
 
 def test_library_of_all_characters(tokenizer):
     ours, some = token_store.TextEncoder(tokenizer.to_str()), of_all_characters()
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
-    assert [x.tolist() for x in ours.encode_batch(some)] == want
-    ours.memo = bpe.Memo(8)
-    assert [x.tolist() for t in some[:500] for x in ours.encode_batch([t])] == want[:500]
+    ids, ends = ours.words.ids(pa.array(some))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == want
+    ours.words.memo = words.Memo(8)
+    assert [ours.words.ids(pa.array([t]))[0].tolist() for t in some[:500]] == want[:500]
 
 
 def test_bpe_digests(spark, pair):
