@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import experience as xp
 from gleaner.functions import text as tx
-from gleaner.functions.experience import years
 from gleaner.functions.ship import ship
 from gleaner.functions.units import units
 from gleaner.operators import inference as inf
@@ -93,27 +93,30 @@ def readability(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_ASKED = (
-    ("Requirements:\nAt least {n}+ years of software engineering experience.", "required_total_role"),
-    ("Experience: {n}+ Years.", "overall_total_role"),
-    ("The team was founded {n} years ago.", "no_valid_mentions"),
-    ("Nice to have: {n} years of relevant experience", "preferred_total_role"),
+#: Postings by part number: n and m are years, m at least n.
+_POSTINGS = (
+    "Requirements:\nYou bring {n}+ years of software engineering experience.",
+    "Experience: {n} - {m} yrs",
+    "Our office opened {n} years ago.",
+    "Preferred: {n} years of relevant experience",
+    "A bachelor's degree and {n} years of experience, or a master's degree and {m} years of experience.",
+    "Salary {n} years of sales experience, $100 per hour",
+    "{n} years in hospitals",
 )
 
 
 @query("""
-    SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN NULL ELSE (1 + p_size % 15)::DOUBLE END AS years, CASE p_partkey % 4 WHEN 0 THEN 'required_total_role' WHEN 1 THEN 'overall_total_role' WHEN 2 THEN 'no_valid_mentions' ELSE 'preferred_total_role' END AS rule FROM part""")
+    WITH p AS (SELECT p_partkey, p_partkey % 7 AS k, p_size AS n, p_size + p_partkey % 3 AS m FROM part),
+    j AS (SELECT *, CASE k WHEN 2 THEN FALSE WHEN 5 THEN FALSE WHEN 1 THEN n >= 1 AND m <= 20 ELSE n BETWEEN 1 AND 20 END AS one, k = 4 AND m BETWEEN 1 AND 20 AS two FROM p)
+    SELECT p_partkey,
+           CASE WHEN k = 6 OR NOT (one OR two) THEN NULL WHEN k = 4 AND NOT one THEN m::DOUBLE ELSE n::DOUBLE END AS years,
+           CASE WHEN k = 6 OR NOT (one OR two) THEN NULL WHEN (k = 1 AND one) OR two THEN m::DOUBLE ELSE n::DOUBLE END AS most,
+           one::INT + two::INT AS n,
+           CASE WHEN NOT (one OR two) THEN 'no_valid_mentions' WHEN k = 6 THEN 'subskill_only_abstain' WHEN k = 4 THEN 'degree_ladder_parallel_min_path' WHEN k = 0 THEN 'required_total_role'
+                WHEN k = 3 THEN 'preferred_total_role' WHEN m > n THEN 'range_primary' ELSE 'overall_total_role' END AS rule FROM j""")
 def experience_years(spark: SparkSession, sf: str) -> DataFrame:
-    """Postings written from a table of parts: years asked for, and by which rule."""
-    ship(spark)
-    n = (1 + F.col("p_size") % 15).cast("string")
-    texts = F.array(*[F.concat(F.lit(t.split("{n}")[0]), n, F.lit(t.split("{n}")[1])) for t, _ in _ASKED])
-    rows = load(spark, sf, "part").select("p_partkey", F.element_at(texts, (F.col("p_partkey") % 4 + 1).cast("int")).alias("text"))
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            found = [years(t) for t in p["text"]]
-            yield pd.DataFrame({"p_partkey": p["p_partkey"], "years": [f[0] for f in found], "rule": [f[4] for f in found]})
-
-    out = rows.mapInPandas(run, "p_partkey long, years double, rule string")
-    return out.withColumn("years", F.when(~F.isnan("years"), F.col("years")))
+    """Postings written from a table of parts: years asked for, the most of all that count, their number, and the rule that chose."""
+    n, m = F.col("p_size"), F.col("p_size") + F.col("p_partkey") % 3
+    texts = F.array(*[F.replace(F.replace(F.lit(t), F.lit("{n}"), n.cast("string")), F.lit("{m}"), m.cast("string")) for t in _POSTINGS])
+    rows = load(spark, sf, "part").select("p_partkey", F.element_at(texts, (F.col("p_partkey") % 7 + 1).cast("int")).alias("text"))
+    return xp.with_sightings(rows, "text").select("p_partkey", xp.years("sightings").alias("y")).select("p_partkey", "y.years", "y.most", "y.n", "y.rule")
