@@ -2,8 +2,8 @@
 
 A pre-token of byte-level BPE never spans a space that a non-space follows, so a text falls into words that can be
 encoded apart: the first as it stands, each other one with the space before it. Arrow parts the texts of a piece at
-their spaces and numbers the distinct words; only those that a bounded memo lacks are encoded, all of a piece at once, and
-numpy puts the ids of the texts together.
+their spaces and numbers the distinct words; only those that a bounded table lacks are encoded, all of a piece at once, and
+numpy puts the ids of the texts together. Words that are known never become Python objects.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers, and the longest of them.
-MEMO, LONGEST = 1_200_000, 64
+#: Words that a generation of the table holds at most (some 50 MB), and bytes of the longest that it holds.
+MEMO, LONGEST = 3 << 18, 23
 #: Bytes of text whose distinct words are looked up together.
 PIECE = 8 << 20
 #: Texts to bytes of 32-bit ids.
@@ -44,29 +44,61 @@ def arrow_class(chars: Iterable[str]) -> str:
     return ranges(chars, r"\x{{{:x}}}")
 
 
-class Memo:
-    """A bounded memo of two generations: what was used since the last change of generations survives the next."""
-
-    def __init__(self, most: int = MEMO) -> None:
-        self.most, self.new, self.old = most // 2, {}, {}
-
-    def resolve(self, keys: list[str], make: Make) -> list[bytes]:
-        """The value of each of the distinct ``keys``; ``make`` gives those that are not known."""
-        got = list(map(self.new.get, keys))
-        lost = [i for i, value in enumerate(got) if value is None]
-        if lost:
-            found = dict.fromkeys([keys[i] for i in lost])
-            for k, value in zip(found, map(self.old.get, found), strict=True):
-                found[k] = value
-            asked = [k for k, value in found.items() if value is None]
-            found.update(zip(asked, make(asked), strict=True))
-            if len(self.new) + len(found) > self.most:
-                self.old, self.new = self.new, {}
-            room = self.most - len(self.new)
-            self.new.update([(k, value) for k, value in found.items() if len(k) <= LONGEST][:room])
-            for i in lost:
-                got[i] = found[keys[i]]
-        return got
+class Table:
+    """Words of up to LONGEST bytes and their ids, open-addressed. A key is the word itself, in three 64-bit integers of
+    which the last has its length, plus one, in its highest byte; 0 is a free slot."""
+
+    def __init__(self, most: int) -> None:
+        slots = 1 << max(4, (4 * most // 3 - 1).bit_length())
+        self.count, self.mask, self.shift = 0, np.int64(slots - 1), np.uint64(65 - slots.bit_length())
+        self.keys = [np.zeros(slots, "uint64") for _ in range(3)]
+        self.start, self.size, self.owner = np.zeros(slots, "int32"), np.zeros(slots, "uint8"), np.zeros(slots, "int32")
+        self.ids, self.used = np.empty(1 << 10, "int32"), 0
+
+    @staticmethod
+    def packed(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """The keys of the words of ``size`` bytes, LONGEST at most, that begin at ``begin`` in ``data``."""
+        data = np.append(data, np.zeros(24, "uint8"))
+        eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        lows = np.array([(1 << 8 * i) - 1 for i in range(9)], "uint64")
+        out = [eights[begin + 8 * i] & lows[np.clip(size - 8 * i, 0, 8)] for i in range(3)]
+        out[2] |= (size + 1).astype("uint64") << np.uint64(56)
+        return out
+
+    def _places(self, keys: list[np.ndarray]) -> np.ndarray:
+        h = (keys[0] * np.uint64(0x9E3779B97F4A7C15)) ^ (keys[1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (keys[2] * np.uint64(0x165667B19E3779F9))
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h >> self.shift).view("int64")
+
+    def find(self, keys: list[np.ndarray]) -> np.ndarray:
+        """The slot of each key, -1 where it is not there."""
+        found, todo, at = np.full(len(keys[0]), -1, "int64"), np.arange(len(keys[0])), self._places(keys)
+        while len(todo):
+            last = self.keys[2][at]
+            hit = (last == keys[2][todo]) & (self.keys[0][at] == keys[0][todo]) & (self.keys[1][at] == keys[1][todo])
+            found[todo[hit]] = at[hit]
+            on = ~hit & (last != 0)
+            todo, at = todo[on], (at[on] + 1) & self.mask
+        return found
+
+    def add(self, keys: list[np.ndarray], size: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Adds distinct new keys whose ids, ``size`` of each, stand one after another in ``ids``; gives their slots."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        start, slots = self.used + np.cumsum(size) - size, np.empty(len(size), "int64")
+        self.used, self.count = self.used + len(ids), self.count + len(size)
+        todo, at = np.arange(len(size)), self._places(keys)
+        while len(todo):
+            free = self.keys[2][at] == 0
+            self.owner[at[free]] = todo[free]  # of several keys at one slot one wins
+            won = free & (self.owner[at] == todo)
+            new, place = todo[won], at[won]
+            for own, key in zip(self.keys, keys, strict=True):
+                own[place] = key[new]
+            self.start[place], self.size[place], slots[new] = start[new], size[new], place
+            todo, at = todo[~won], (at[~won] + 1) & self.mask
+        return slots
 
 
 class Words:
@@ -76,8 +108,9 @@ class Words:
     follows a space.
     """
 
-    def __init__(self, make: Make, whole: Make, blanks: Iterable[str], odd: Sequence[str] = ()) -> None:
-        self.make, self.whole, self.memo = make, whole, Memo()
+    def __init__(self, make: Make, whole: Make, blanks: Iterable[str], odd: Sequence[str] = (), most: int = MEMO) -> None:
+        self.make, self.whole, self.most = make, whole, most
+        self.new, self.old = Table(most), Table(0)
         self.odd = "|".join([" " + arrow_class(blanks), *odd])
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +128,43 @@ class Words:
             parts[i] = np.frombuffer(data, "int32")
         return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
 
+    def _resolve(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each of the distinct words begin in them and how many they are."""
+        n = len(words)
+        offsets = np.frombuffer(words.buffers()[1], "int32", n + 1, 4 * words.offset)
+        data = np.frombuffer(words.buffers()[2] or b"", "uint8")
+        size = np.diff(offsets)
+        short = np.flatnonzero(size <= LONGEST)
+        if self.new.count + len(short) > self.most:
+            self.old, self.new = self.new, Table(self.most)
+        keys = Table.packed(data, offsets[short].astype("int64"), size[short])
+        slots = self.new.find(keys)
+        lost = np.flatnonzero(slots < 0)
+        if len(lost):
+            older = self.old.find([k[lost] for k in keys])
+            again, lost = lost[older >= 0], lost[older < 0]
+            older = older[older >= 0]
+            made = self.make(words.take(pa.array(short[lost])).to_pylist())
+            kept, count = self.old.size[older].astype("int64"), np.fromiter(map(len, made), "int64", len(made)) >> 2
+            ids = np.concatenate([spread(self.old.ids, self.old.start[older], kept), np.frombuffer(b"".join(made), "int32")])
+            both, count = np.append(again, lost), np.append(kept, count)
+            # What does not fit stays out of the table: a piece with more words than a generation holds.
+            fit = max(0, self.most - self.new.count)
+            upto = int(count[:fit].sum())
+            slots[both[:fit]] = self.new.add([k[both[:fit]] for k in keys], count[:fit], ids[:upto])
+            out, out_ids, out_count = both[fit:], ids[upto:], count[fit:]
+        else:
+            out, out_ids, out_count = lost, np.empty(0, "int32"), np.empty(0, "int64")
+        begin, length = np.zeros(n, "int64"), np.zeros(n, "int64")
+        inside = slots >= 0
+        begin[short[inside]], length[short[inside]] = self.new.start[slots[inside]], self.new.size[slots[inside]]
+        long = np.flatnonzero(size > LONGEST)
+        made = self.make(words.take(pa.array(long)).to_pylist()) if len(long) else []
+        count = np.append(out_count, np.fromiter(map(len, made), "int64", len(made)) >> 2)
+        extra = np.append(short[out], long)
+        begin[extra], length[extra] = self.new.used + np.cumsum(count) - count, count
+        return np.concatenate([self.new.ids[: self.new.used], out_ids, np.frombuffer(b"".join(made), "int32")]), begin, length
+
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not len(texts):
             return np.empty(0, "int32"), np.zeros(1, "int64")
@@ -102,22 +172,27 @@ class Words:
         starts = lists.offsets.to_numpy()
         words = lists.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
         starts = (starts - starts[0]).astype("int64")
-        place = words.indices.to_numpy().astype("int64")
+        place = words.indices.to_numpy().copy()
         # The first word of a text has no space before it: it is a word of its own kind, behind the others.
-        first = place[starts[:-1]].copy()
-        kinds, first = np.unique(first, return_inverse=True)
-        known = words.dictionary.to_pylist()
-        place[starts[:-1]] = len(known) + first
-        data = [*self.memo.resolve(known, self.make), *self.whole([known[k] for k in kinds])]
-        size = np.fromiter(map(len, data), "int64", len(data)) >> 2
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(data), "int32")
-        sizes = size[place]
-        upto = np.cumsum(sizes)
-        kind = "int32" if max(upto[-1], len(flat)) < 2**31 else "int64"
-        source = np.repeat((begin[place] - upto + sizes).astype(kind), sizes)
-        source += np.arange(upto[-1], dtype=kind)
-        return flat[source], np.append(0, upto)[starts]
+        kinds, first = np.unique(place[starts[:-1]], return_inverse=True)
+        place[starts[:-1]] = len(words.dictionary) + first
+        flat, begin, length = self._resolve(words.dictionary)
+        made = self.whole(words.dictionary.take(pa.array(kinds)).to_pylist())
+        count = np.fromiter(map(len, made), "int64", len(made)) >> 2
+        begin, length = np.append(begin, len(flat) + np.cumsum(count) - count), np.append(length, count)
+        sizes = length[place]
+        out = spread(np.append(flat, np.frombuffer(b"".join(made), "int32")), begin[place], sizes)
+        return out, np.append(0, np.cumsum(sizes))[starts]
+
+
+def spread(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``size`` items that begin at ``begin`` in ``flat``, one after another."""
+    upto = np.cumsum(size)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = "int32" if max(total, len(flat)) < 2**31 else "int64"
+    source = np.repeat((begin - upto + size).astype(kind), size)
+    source += np.arange(total, dtype=kind)
+    return flat[source]
 
 
 def whites() -> set[str]:
