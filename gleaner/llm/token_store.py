@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -220,18 +221,23 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> TokenS
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of neighbouring rows with equal chunks, the first. Recipes pass."""
-        last, kept = None, None
+        before, kept = None, None  # hash and data of the row before the batch, if it is a chunk
         for batch in batches:
-            keep = []
-            for i, (key, data) in enumerate(zip(column(batch, "hash").to_pylist(), column(batch, "data").to_pylist(), strict=True)):
-                if data is None:
-                    keep.append(i)
-                elif key != last:
-                    last, kept = key, data
-                    keep.append(i)
-                elif data != kept:
-                    raise ValueError(f"two chunks have the hash {key.hex()}")
-            yield batch.take(pa.array(keep, pa.int32()))
+            keys, data = column(batch, "hash"), column(batch, "data")
+            n, offset = batch.num_rows, int(np.frombuffer(keys.buffers()[1], "int32")[keys.offset])
+            halves = np.frombuffer(keys.buffers()[2], "uint64", 2 * n, offset).reshape(n, 2)
+            chunk = data.is_valid().to_numpy(zero_copy_only=False)
+            again = np.zeros(n, bool)
+            again[1:] = (halves[1:] == halves[:-1]).all(axis=1) & chunk[1:] & chunk[:-1]
+            twins = np.flatnonzero(again)
+            same = pc.all(pc.equal(data.take(pa.array(twins)), data.take(pa.array(twins - 1)))).as_py() is not False
+            if n and chunk[0] and before == keys[0].as_py():
+                again[0], same = True, same and kept == data[0].as_py()
+            if not same:
+                raise ValueError("two chunks have one hash")
+            if n:
+                before, kept = (keys[-1].as_py(), data[-1].as_py()) if chunk[-1] else (None, None)
+            yield batch.filter(pa.array(~again))
 
     # Chunks and recipes take one shuffle together: the texts are encoded once.
     # Chunks go by their hash; recipes by doc_id too, as equal documents have equal roots.
