@@ -13,18 +13,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 
-#: Documents of each language that are learned from, about; n-grams of a language that enter the filter at most.
-SAMPLE, GRAMS = 1500, 12_000
+#: Documents of each language that are learned from, about.
+SAMPLE = 1500
 #: Lengths of n-grams, letters and word ends; places of the filter (a power of two); hashes.
-LENGTHS, LOG_PLACES, HASHES = (2, 3, 4), 18, 3
-#: An n-gram enters a language's slice if it is there at least this many times, and this often next to its frequency
-#: in the language that has it most.
-LEAST, SHARE = 3, 0.5
+LENGTHS, LOG_PLACES, HASHES = (2, 3, 4), 20, 3
+#: How often a language's sample has an n-gram that the language counts as containing: what is rarer may be a slip.
+LEAST = 3
 UNKNOWN = "und"
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], "uint64")
 _letters: list[np.ndarray] = []
@@ -109,9 +108,10 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> L
     """The filter of ``docs`` (doc_id, text, lang).
 
     ``use`` picks the rows that may be learned from (all, if None). About ``sample`` documents of each language are
-    learned from, chosen by a hash of doc_id, whole texts each. Rows without text or lang are left out; every
-    language gets a slice, and each 64 languages take a table of masks. The n-grams of the sample are counted on the executors; GRAMS of each language at
-    most come back.
+    learned from, chosen by a hash of doc_id, whole texts each. Rows without text or lang are left out; every language
+    gets a slice, and each 64 languages take a table of masks. Every n-gram that a language's sample has LEAST times or
+    more is in its slice, whatever other languages have it. N-grams are counted, and the masks of the filter's places put
+    together, on the executors; what comes back are the places, a number that is fixed.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = (rows if use is None else rows.filter(use)).filter("text is not null and lang is not null")
@@ -134,13 +134,20 @@ def train(docs: DataFrame, use: Column | None = None, sample: int = SAMPLE) -> L
                 grams, n = np.unique(np.concatenate(x), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), i, "int32")), pa.array(grams.view("int64")), pa.array(n.astype("int64"))], ["lang", "gram", "n"])
 
-    found = map_arrow(wanted.select("lang", "text"), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rate = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    found = found.withColumn("rate", rate).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
-    found = found.filter((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("top")))
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= GRAMS)
-    table = found.select("lang", "gram").toPandas()
-    return LanguageFilter.build({names[i]: g.gram.to_numpy("int64").view("uint64") for i, g in table.groupby("lang")})
+    found = map_arrow(wanted.select("lang", "text"), run, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = column(batch, "lang").to_numpy()
+            bit = (np.uint64(1) << (lang % 64).astype("uint64")).view("int64")
+            for places in LanguageFilter.places(column(batch, "gram").to_numpy().view("uint64")):
+                yield pa.RecordBatch.from_arrays([pa.array(lang // 64), pa.array(places), pa.array(bit)], ["word", "place", "mask"])
+
+    masks = map_arrow(found, place, "word int, place long, mask long").groupBy("word", "place").agg(F.bit_or("mask").alias("mask")).toPandas()
+    model = LanguageFilter.build(dict.fromkeys(names, np.empty(0, "uint64")))
+    for word, own in masks.groupby("word"):
+        (model.masks, *model.further)[word][own.place.to_numpy()] = own["mask"].to_numpy("int64").view("uint64")
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
@@ -149,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     A text that is null or has no letter is "und" with score 0, and so is any without a language learned. Every row counts,
     repeated ones and those without doc_id too; other columns are ignored; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever was learned
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for each 64 languages, whatever was learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = shared.value.false_positives()
