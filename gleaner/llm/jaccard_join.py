@@ -1,15 +1,22 @@
 """Exact Jaccard join of word shingles in their metric space.
 
-The Jaccard distance d = 1 - |x & y| / |x | y| is a metric, and documents link at d <= r. Pivots that are documents leave
-almost every text at distance 1 from all of them, so the space is cut on two levels.
-
-* The pivots of the first level are single shingles. A document's nearest pivots are its own shingles, all at one
-  distance, and a fixed order over all shingles, rare ones first, breaks the tie: its Voronoi region is that of its
-  first shingle. The triangle inequality (of set differences) bounds how many of its first shingles a partner can
-  miss, so it is replicated into the regions of its first n - ceil(t n) + 1 shingles and no others; two documents
-  that link share one of these regions.
-* A region is joined by recursion. Documents of it become pivots; every other document is compared with them, unless
-  sizes, places, or the triangle inequality over the first pivot's distances rule the pair out. Links join
+The Jaccard distance d = 1 - |x & y| / |x | y| is a metric, and documents link at d <= r.
+
+* A sample of documents, thinned out until they lie apart, are the pivots. A document that is near a pivot (d <= t, with
+  t = (1 - r) / 2) is at home in the Voronoi cell of its nearest one. By the triangle inequality a partner of it is within
+  d <= t + r of that pivot, and if it is near a pivot itself, within its own distance plus 2 r: into the cells that it is
+  so close to, and no others, every document is replicated. What is within r of its cell's pivot links with it at once.
+  In a cell, the documents outside its largest component are compared with the others, some of them in each round, unless
+  sizes or the window |d(x, p) - d(y, p)| <= r of the distances to the pivot rule the pair out; and only a pair with one
+  document at home counts. A cell is finished when one component is left.
+* Texts are far from nearly all others: at distance 1 from every pivot, where no window is narrow enough. What is near no
+  pivot is in the far cell, which is cut further by pivots that are single shingles. A document's nearest ones are its own
+  shingles, all at one distance, and a fixed order over all shingles, rare ones first, breaks the tie: its region is that of
+  its first shingle. The triangle inequality (of set differences) bounds how many of its first shingles a partner can
+  miss, so it is replicated into the regions of its first n - ceil(t n) + 1 shingles and no others (t the least
+  similarity); two far documents that link share one of these regions.
+* A region of the far cell is joined by recursion. Documents of it become pivots; every other document is compared with
+  them, unless sizes, places, or the triangle inequality over the first pivot's distances rule the pair out. Links join
   documents to components, and a region is finished when all that were not pivots yet belong to one component.
   Pivots per round grow by a factor, so the rounds are few.
 
@@ -24,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,12 +42,17 @@ from pyspark.sql import functions as F
 from gleaner.llm import store
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 from gleaner.llm.components import components
+from gleaner.llm.words import spread
 
 #: Counters of shingle frequencies (they only order shingles; 8 MB where they are broadcast) and bits of the filter of
 #: vertices with partners (it only saves work; 4 MB): fixed sizes, whatever the corpus.
 LOG_COUNTERS, LOG_BITS = 22, 25
 #: Counters, or bytes of bits, in a slice.
 SLICE = 2048
+#: Documents that are sampled as pivots, and the least distance between those that are kept.
+PIVOTS, APART = 256, 0.6
+#: Documents of a cell outside its largest component that are compared in the first round; FACTOR times more in each other.
+CHOSEN = 16
 #: Pivots of a region round by round, from its largest component; then this factor more each time, from the smallest.
 GROWING, FACTOR = (1, 2, 4, 24), 8
 #: Pivots up to which each row of a region is given them as a list; beyond, they are joined.
@@ -75,6 +88,69 @@ def _rolled(codes: np.ndarray, words: int) -> np.ndarray:
     return h
 
 
+@dataclass
+class Pivots:
+    """Sets of shingles that lie apart: their vertices and sizes, and for each of their shingles which of them have it."""
+
+    names: list[int]
+    sizes: np.ndarray
+    tokens: np.ndarray
+    begin: np.ndarray
+    owners: np.ndarray
+
+    @staticmethod
+    def build(sets: list[np.ndarray], names: list[int]) -> Pivots:
+        every = np.concatenate([*sets, np.empty(0, "uint64")])
+        owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(every, kind="stable")
+        tokens, begin = np.unique(every[order], return_index=True)
+        return Pivots(names, np.array([len(x) for x in sets], "int64"), tokens, np.append(begin, len(every)), owners[order])
+
+    def common(self, x: np.ndarray) -> np.ndarray:
+        """How many shingles ``x`` has in common with each pivot."""
+        if not len(self.tokens) or not len(x):
+            return np.zeros(len(self.names), "int64")
+        at = np.minimum(np.searchsorted(self.tokens, x), len(self.tokens) - 1)
+        at = at[self.tokens[at] == x]
+        held = spread(self.owners, self.begin[at], self.begin[at + 1] - self.begin[at])
+        return np.bincount(held, minlength=len(self.names))
+
+    def cells(self, x: np.ndarray, part: int, whole: int) -> list[tuple[int, float, bool, bool]]:
+        """The cells that a document belongs to: the pivot, its distance, whether the document is at home there, and
+        whether it links with the pivot. Without a home it is far."""
+        common = self.common(x)
+        if not common.any():
+            return []
+        union = self.sizes + len(x) - common
+        d, r = 1 - common / union, 1 - part / whole
+        near, reach = (1 - r) / 2, (1 + r) / 2
+        home = int(np.argmin(d))
+        if d[home] <= near:
+            reach = min(reach, d[home] + 2 * r)
+        return [(int(i), float(d[i]), bool(i == home and d[home] <= near), bool(whole * common[i] >= part * union[i])) for i in np.flatnonzero(d <= reach + 1e-9)]
+
+    def is_near(self, x: np.ndarray, part: int, whole: int) -> bool:
+        return any(home for _, _, home, _ in self.cells(x, part, whole))
+
+
+def sample_pivots(rows: DataFrame, words: int, seed: int) -> Pivots:
+    """PIVOTS documents by a hash of doc_id, without those that are nearer than APART to an earlier one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_hashes(t, words).tobytes() for t in texts(piece)], pa.binary())], ["shingles"])
+
+    drawn = rows.filter("text is not null").orderBy(F.xxhash64("doc_id", F.lit("pivot")), "doc_id").limit(PIVOTS)
+    sets = sorted({r.shingles for r in map_arrow(drawn.select("text"), run, "shingles binary").collect()}, key=lambda x: hashlib.blake2b(x).digest())
+    kept: list[np.ndarray] = []
+    for x in (np.frombuffer(s, "uint64") for s in sets if s):
+        common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for y in kept], "int64")
+        union = np.array([len(y) for y in kept], "int64") + len(x) - common
+        if not (1 - common / np.maximum(union, 1) < APART).any():
+            kept.append(x)
+    return Pivots.build(kept, [vertex(x, seed)[0] for x in kept])
+
+
 def vertex(shingles: np.ndarray, seed: int) -> tuple[int, bytes]:
     digest = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=seed.to_bytes(16, "little")).digest()
     return int.from_bytes(digest[:8], "little", signed=True), digest
@@ -132,7 +208,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seed = 0
     while True:
-        read = store.written(_sets(rows, words, seed), "jaccard-documents")
+        pivots = sample_pivots(rows, words, seed)
+        read = store.written(_sets(rows, pivots, words, part, whole, seed), "jaccard-documents")
         sets = read.filter("slice is null")
         classes = sets.filter("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"), F.min("digest").alias("low"), F.max("digest").alias("high"))
         classes = store.written(classes, "jaccard-classes")
@@ -140,7 +217,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
             break
         seed += 1
     counts = _gathered(read.filter("slice is not null"), "uint32", 1 << LOG_COUNTERS, np.add)
-    links = _links(rows, classes.select("id", "rep"), counts, words, part, whole, seed)
+    cells = sets.filter("size(cells) > 0").groupBy("id", "n").agg(F.first("cells").alias("cells")).select("id", F.col("n").cast("int").alias("n"), F.inline("cells"))
+    links = _links(rows, classes.select("id", "rep"), cells, pivots, counts, words, part, whole, seed)
     named = classes.select("id", "rep").join(links.withColumnRenamed("node", "id"), "id", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = store.written(named.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component")), "jaccard-components")
@@ -149,31 +227,39 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _sets(rows: DataFrame, words: int, seed: int) -> DataFrame:
-    """Each document's set size and vertex; and, in rows with a slice, how often shingles of each counter occur."""
+CELLS = "array<struct<cell:int,d:double,home:boolean,linked:boolean>>"
+
+
+def _sets(rows: DataFrame, pivots: Pivots, words: int, part: int, whole: int, seed: int) -> DataFrame:
+    """Each document's set size, vertex and cells; and, in rows with a slice, how often shingles of each counter occur."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+    cell = pa.list_(pa.struct([("cell", pa.int32()), ("d", pa.float64()), ("home", pa.bool_()), ("linked", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = np.zeros(1 << LOG_COUNTERS, "uint32"), np.uint64((1 << LOG_COUNTERS) - 1)
-        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("cells", cell), ("slice", pa.int32()), ("counts", pa.binary())])
+        names_ = ("cell", "d", "home", "linked")
         for piece in pieces(batches):
             found = [shingle_hashes(t, words) for t in texts(piece)]
             np.add.at(table, (np.concatenate(found) & mask).astype("int64"), np.uint32(1))
             names = [vertex(x, seed) for x in found]
             empty = pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())
             sizes = pa.array([len(x) for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), sizes, pa.array([v[0] for v in names], pa.int64()), pa.array([v[1] for v in names], pa.binary()), *empty], schema=kinds)
+            cells = pa.array([[dict(zip(names_, c, strict=True)) for c in shared.value.cells(x, part, whole)] for x in found], cell)
+            yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), sizes, pa.array([v[0] for v in names], pa.int64()), pa.array([v[1] for v in names], pa.binary()), cells, *empty], schema=kinds)
         held = _slices(table)
         for i in range(0, len(held), 256):
             some = held[i : i + 256]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), cell), pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], schema=kinds)
 
-    return map_arrow(rows, run, "doc_id long, n long, id long, digest binary, slice int, counts binary")
+    return map_arrow(rows, run, f"doc_id long, n long, id long, digest binary, cells {CELLS}, slice int, counts binary")
 
 
-def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
     """node and root for every vertex that links with another."""
     spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(pivots)
     level = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype("uint16"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +273,8 @@ def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int,
                 if not len(x) or name in seen:
                     continue
                 seen.add(name)
+                if shared.value.is_near(x, part, whole):
+                    continue
                 n = len(x)
                 # Of sets that link, the smaller shares part/whole of the larger; 2 part/(whole+part) of its own size.
                 late, early = n + (-part * n // whole) + 1, n + (-2 * part * n // (whole + part)) + 1
@@ -202,10 +290,16 @@ def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int,
 
     placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean")
     regions = store.written(_open_regions(placed, "id").select("token", "id", "n", "place", "early").distinct(), "jaccard-regions")
-    members = store.written(_members(rows, classes, regions, words, seed), "jaccard-members")
-    done = [regions, members]
-    active = regions.withColumn("near", F.lit(0.0)).withColumn("far", F.lit(1.0)).withColumn("comp", F.col("id"))
-    roots, known, limit = None, None, 1 - part / whole + 1e-9
+    cells = store.written(cells, "jaccard-cells")
+    centres = spark.createDataFrame([(i, name) for i, name in enumerate(pivots.names)], "cell int, centre long")
+    fresh = cells.filter("linked").join(F.broadcast(centres), "cell").filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    roots = _merged(None, fresh)
+    wanted = regions.select("id").union(_open_cells(cells, roots).select("id"))
+    members = store.written(_members(rows, classes, wanted, words, seed), "jaccard-members")
+    done = [regions, members, cells]
+    known, roots = _joined_cells(cells, members, roots, words, part, whole, done)
+    active = _with_components(regions.withColumn("near", F.lit(0.0)).withColumn("far", F.lit(1.0)), roots)
+    limit = 1 - part / whole + 1e-9
     for step in range(10_000):
         # First a pass that compares each document with one pivot only; most links are found there.
         probe, rising = step == 0, step <= len(GROWING)
@@ -236,31 +330,80 @@ def _links(rows: DataFrame, classes: DataFrame, counts: np.ndarray, words: int,
         found = store.written(_compared(pair, members, words, part, whole), "jaccard-compared")
         done += [pair, found]
         known = found if known is None else known.union(found)
-        fresh = found.filter("linked").select("a", "b")
-        if roots is not None:
-            fresh = _renamed(fresh, roots)
-        if fresh.head(1):
-            merged = components(fresh)
-            if roots is not None:
-                moved = roots.withColumnRenamed("root", "was").join(merged.withColumnRenamed("node", "was"), "was", "left")
-                merged = moved.select("node", F.coalesce("root", "was").alias("root")).union(merged.join(roots, "node", "left_anti"))
-            roots = store.written(merged, "jaccard-roots")
+        roots = _merged(roots, found.filter("linked").select("a", "b"))
         rest = ranked if probe else ranked.filter(F.col("rank") > pivots)
         if step == 1:
             # Bounds of the distance to the region's first pivot stay with each document of the region.
             bounds = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "low", "high").union(known.select("b", "a", "low", "high"))
             rest = rest.join(_small(bounds), (F.col("id") == F.col("x")) & (F.col("p")[0]["p_id"] == F.col("y")), "left")
             rest = rest.withColumn("near", F.coalesce("low", "near")).withColumn("far", F.coalesce("high", "far"))
-        active = rest.select("token", "id", "n", "place", "early", "near", "far")
-        if roots is not None:
-            active = active.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-        else:
-            active = active.withColumn("comp", F.col("id"))
+        active = _with_components(rest.select("token", "id", "n", "place", "early", "near", "far"), roots)
     for table in done:  # the roots are a table of their own
         store.drop(table)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
 
 
+def _merged(roots: DataFrame | None, fresh: DataFrame) -> DataFrame | None:
+    """The roots (node, root) of all vertices that links join, those in ``fresh`` (a, b) added."""
+    if roots is not None:
+        fresh = _renamed(fresh, roots)
+    if not fresh.head(1):
+        return roots
+    merged = components(fresh)
+    if roots is not None:
+        moved = roots.withColumnRenamed("root", "was").join(merged.withColumnRenamed("node", "was"), "was", "left")
+        merged = moved.select("node", F.coalesce("root", "was").alias("root")).union(merged.join(roots, "node", "left_anti"))
+    return store.written(merged, "jaccard-roots")
+
+
+def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``rows`` with the root of each id, itself where it links with nothing yet, in ``comp``."""
+    if roots is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _open_cells(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The rows of cells that hold two components or more, with ``comp`` and the cell's largest component, ``big``.
+
+    Cells are few: what is known of each is a small table, and the rows of a large one are not gathered.
+    """
+    rows = _with_components(cells, roots)
+    kin = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("kin"))
+    big = kin.groupBy("cell").agg(F.max(F.struct("kin", "comp"))["comp"].alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
+    return rows.join(F.broadcast(big), "cell")
+
+
+def _joined_cells(cells: DataFrame, members: DataFrame, roots: DataFrame | None, words: int, part: int, whole: int, done: list[DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
+    """The pairs compared in cells, and the roots with the links found there.
+
+    A document outside its cell's largest component that has been compared with all others of the cell is through with it.
+    """
+    limit, known, left, most = 1 - part / whole + 1e-9, None, cells, CHOSEN
+    while True:
+        rows = store.written(_open_cells(left, roots), "jaccard-open-cells")
+        done.append(rows)
+        outside = rows.filter("comp <> big")
+        if not outside.head(1):
+            return known, roots
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+        chosen = _small(store.written(outside.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank", "big"), "jaccard-chosen"))
+        other = chosen.select(*[F.col(c).alias(f"p_{c}") for c in ("cell", "id", "n", "d", "home", "comp")])
+        pair = rows.join(other, (F.col("cell") == F.col("p_cell")) & (F.col("comp") != F.col("p_comp")))
+        pair = pair.filter((F.col("home") | F.col("p_home")) & (F.abs(F.col("d") - F.col("p_d")) <= limit))
+        pair = pair.filter(whole * F.least("n", "p_n").cast("long") >= part * F.greatest("n", "p_n").cast("long"))
+        pair = pair.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
+        if known is not None:
+            pair = pair.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        pair = store.written(pair, "jaccard-cell-pairs")
+        found = store.written(_compared(pair, members, words, part, whole), "jaccard-cell-compared")
+        done += [pair, found]
+        known = found if known is None else known.union(found)
+        roots = _merged(roots, found.filter("linked").select("a", "b"))
+        left = rows.drop("comp", "big").join(chosen.select("cell", "id"), ["cell", "id"], "left_anti")
+        most *= FACTOR
+
+
 def _open_regions(rows: DataFrame, comp: str) -> DataFrame:
     """The rows of regions that hold two components or more and a document that may meet a larger one."""
     region = Window.partitionBy("token")
