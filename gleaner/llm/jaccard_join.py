@@ -35,14 +35,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm import store
-from gleaner.llm.arrow import column, map_arrow, pieces, texts
+from gleaner.llm.arrow import column, map_arrow, pieces
 from gleaner.llm.components import components
-from gleaner.llm.words import spread
+from gleaner.llm.words import codes, spread
 
 #: Counters of shingle frequencies (they only order shingles; 8 MB where they are broadcast) and bits of the filter of
 #: vertices with partners (it only saves work; 4 MB): fixed sizes, whatever the corpus.
@@ -52,31 +52,34 @@ SLICE = 2048
 #: Documents that are sampled as pivots, and the least distance between those that are kept.
 PIVOTS, APART = 256, 0.6
 #: Documents of a cell outside its largest component that are compared in the first round; FACTOR times more in each other.
-CHOSEN = 16
+CHOSEN = 64
 #: Pivots of a region round by round, from its largest component; then this factor more each time, from the smallest.
 GROWING, FACTOR = (1, 2, 4, 24), 8
 #: Pivots up to which each row of a region is given them as a list; beyond, they are joined.
 LISTED = 4
-MEMO = 400_000
+#: Vertices that a task remembers as dealt with.
+MEMO = 1_600_000
 #: Rows of a few numbers each that are broadcast (16 MB).
 BROADCAST_ROWS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_known: dict[bytes, int] = {}
 
 
-def shingle_hashes(text: str, words: int) -> np.ndarray:
-    """The distinct shingles of ``words`` words as sorted 64-bit hashes; fewer words are one shingle; none give none."""
-    parts = text.encode().lower().split()  # bytes: A to Z, and the six blanks of ASCII
-    if not parts:
-        return np.empty(0, "uint64")
-    if len(_known) > MEMO:
-        _known.clear()
-    codes = []
-    for w in parts:
-        if (h := _known.get(w)) is None:
-            h = _known[w] = xxhash.xxh3_64_intdigest(w)
-        codes.append(h)
-    return np.unique(_rolled(np.array(codes, "uint64"), min(words, len(codes))))
+def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
+    """The distinct shingles of ``words`` words of each text as sorted 64-bit hashes; fewer words are one shingle; a null
+    text, and one without words, has none."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # A to Z, and the six blanks of ASCII
+    starts = parts.offsets.to_numpy().astype("int64")
+    every = parts.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+    place, code = every.indices.to_numpy(), codes(every.dictionary)
+    real = pc.binary_length(every.dictionary).to_numpy()[place] > 0  # blanks at the ends leave empty words
+    starts = np.append(0, np.cumsum(real))[starts - starts[0]]
+    flat = code[place[real]]
+    whole = _rolled(flat, words) if len(flat) >= words else np.empty(0, "uint64")
+    out = []
+    for low, high in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+        n = high - low
+        out.append(np.unique(whole[low : high - words + 1]) if n >= words else _rolled(flat[low:high], n) if n else np.empty(0, "uint64"))
+    return out
 
 
 def _rolled(codes: np.ndarray, words: int) -> np.ndarray:
@@ -138,7 +141,7 @@ def sample_pivots(rows: DataFrame, words: int, seed: int) -> Pivots:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([shingle_hashes(t, words).tobytes() for t in texts(piece)], pa.binary())], ["shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in shingle_sets(column(piece, "text"), words)], pa.binary())], ["shingles"])
 
     drawn = rows.filter("text is not null").orderBy(F.xxhash64("doc_id", F.lit("pivot")), "doc_id").limit(PIVOTS)
     sets = sorted({r.shingles for r in map_arrow(drawn.select("text"), run, "shingles binary").collect()}, key=lambda x: hashlib.blake2b(x).digest())
@@ -194,7 +197,7 @@ def _gathered(rows: DataFrame, kind: str, length: int, join: np.ufunc) -> np.nda
     return out
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: int = 100, carry: str | None = None) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of ``docs`` (doc_id, text).
 
     Two documents link when whole * |x & y| >= part * |x | y| for their sets of shingles of ``words`` words, in ASCII
@@ -202,10 +205,13 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
     empty set and links with nothing. Rows are documents of their own: repeated rows have equal sets and so one
     component; a null doc_id counts only where a component has no other. Other columns are ignored; an empty table
     gives an empty result.
+
+    With ``carry``, the name of a text column, that column follows, and ``component_key``: a number that two rows share if
+    they are of one component, also where a doc_id stands for several texts; null for empty sets.
     """
     if not 0 < part <= whole:
         raise ValueError("the least similarity must be above 0 and at most 1")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(carry) if carry else F.lit(None)).cast("string").alias("carried"))
     seed = 0
     while True:
         pivots = sample_pivots(rows, words, seed)
@@ -221,10 +227,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
     links = _links(rows, classes.select("id", "rep"), cells, pivots, counts, words, part, whole, seed)
     named = classes.select("id", "rep").join(links.withColumnRenamed("node", "id"), "id", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
-    named = store.written(named.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component")), "jaccard-components")
+    named = store.written(named.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component"), F.coalesce("root", "id").alias("key")), "jaccard-components")
     store.drop(classes)
-    out = sets.select("doc_id", "n", "id").join(named, "id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = sets.select("doc_id", "n", "id", "carried").join(named, "id", "left")
+    more = [F.col("carried").alias(carry), F.when(F.col("n") > 0, F.col("key")).alias("component_key")] if carry else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
 CELLS = "array<struct<cell:int,d:double,home:boolean,linked:boolean>>"
@@ -237,23 +244,23 @@ def _sets(rows: DataFrame, pivots: Pivots, words: int, part: int, whole: int, se
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = np.zeros(1 << LOG_COUNTERS, "uint32"), np.uint64((1 << LOG_COUNTERS) - 1)
-        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("cells", cell), ("slice", pa.int32()), ("counts", pa.binary())])
+        kinds = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("id", pa.int64()), ("digest", pa.binary()), ("carried", pa.string()), ("cells", cell), ("slice", pa.int32()), ("counts", pa.binary())])
         names_ = ("cell", "d", "home", "linked")
         for piece in pieces(batches):
-            found = [shingle_hashes(t, words) for t in texts(piece)]
+            found = shingle_sets(column(piece, "text"), words)
             np.add.at(table, (np.concatenate(found) & mask).astype("int64"), np.uint32(1))
             names = [vertex(x, seed) for x in found]
             empty = pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())
             sizes = pa.array([len(x) for x in found], pa.int64())
             cells = pa.array([[dict(zip(names_, c, strict=True)) for c in shared.value.cells(x, part, whole)] for x in found], cell)
-            yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), sizes, pa.array([v[0] for v in names], pa.int64()), pa.array([v[1] for v in names], pa.binary()), cells, *empty], schema=kinds)
+            yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), sizes, pa.array([v[0] for v in names], pa.int64()), pa.array([v[1] for v in names], pa.binary()), column(piece, "carried"), cells, *empty], schema=kinds)
         held = _slices(table)
         for i in range(0, len(held), 256):
             some = held[i : i + 256]
             none = pa.nulls(len(some), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), cell), pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], schema=kinds)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.string()), pa.nulls(len(some), cell), pa.array([s[0] for s in some], pa.int32()), pa.array([s[1] for s in some], pa.binary())], schema=kinds)
 
-    return map_arrow(rows, run, f"doc_id long, n long, id long, digest binary, cells {CELLS}, slice int, counts binary")
+    return map_arrow(rows, run, f"doc_id long, n long, id long, digest binary, carried string, cells {CELLS}, slice int, counts binary")
 
 
 def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
@@ -267,8 +274,7 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
         mask, seen = np.uint64((1 << LOG_COUNTERS) - 1), set()
         for piece in pieces(batches):
             out: list[tuple[np.ndarray, int, int, int]] = []
-            for t in texts(piece):
-                x = shingle_hashes(t, words)
+            for x in shingle_sets(column(piece, "text"), words):
                 name = vertex(x, seed)[0]
                 if not len(x) or name in seen:
                     continue
@@ -280,7 +286,7 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
                 late, early = n + (-part * n // whole) + 1, n + (-2 * part * n // (whole + part)) + 1
                 x = x[np.argsort(level.value[(x & mask).astype("int64")], kind="stable")[:late]]
                 out.append((x.view("int64"), name, n, early))
-            if len(seen) > 4 * MEMO:
+            if len(seen) > MEMO:
                 seen.clear()
             if out:
                 size = [len(o[0]) for o in out]
@@ -290,12 +296,13 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
 
     placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean")
     regions = store.written(_open_regions(placed, "id").select("token", "id", "n", "place", "early").distinct(), "jaccard-regions")
+    level.unpersist(), shared.unpersist()
     cells = store.written(cells, "jaccard-cells")
     centres = spark.createDataFrame([(i, name) for i, name in enumerate(pivots.names)], "cell int, centre long")
     fresh = cells.filter("linked").join(F.broadcast(centres), "cell").filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
     roots = _merged(None, fresh)
     wanted = regions.select("id").union(_open_cells(cells, roots).select("id"))
-    members = store.written(_members(rows, classes, wanted, words, seed), "jaccard-members")
+    members = _members(rows, classes, wanted, words, seed)
     done = [regions, members, cells]
     known, roots = _joined_cells(cells, members, roots, words, part, whole, done)
     active = _with_components(regions.withColumn("near", F.lit(0.0)).withColumn("far", F.lit(1.0)), roots)
@@ -327,9 +334,7 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
         if known is not None:
             pair = pair.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pair = store.written(pair, "jaccard-pairs")
-        found = store.written(_compared(pair, members, words, part, whole), "jaccard-compared")
-        done += [pair, found]
-        known = found if known is None else known.union(found)
+        known, found = _with_compared(known, pair, members, words, part, whole, done)
         roots = _merged(roots, found.filter("linked").select("a", "b"))
         rest = ranked if probe else ranked.filter(F.col("rank") > pivots)
         if step == 1:
@@ -396,9 +401,7 @@ def _joined_cells(cells: DataFrame, members: DataFrame, roots: DataFrame | None,
         if known is not None:
             pair = pair.join(known.select("a", "b"), ["a", "b"], "left_anti")
         pair = store.written(pair, "jaccard-cell-pairs")
-        found = store.written(_compared(pair, members, words, part, whole), "jaccard-cell-compared")
-        done += [pair, found]
-        known = found if known is None else known.union(found)
+        known, found = _with_compared(known, pair, members, words, part, whole, done)
         roots = _merged(roots, found.filter("linked").select("a", "b"))
         left = rows.drop("comp", "big").join(chosen.select("cell", "id"), ["cell", "id"], "left_anti")
         most *= FACTOR
@@ -455,7 +458,7 @@ def _members(rows: DataFrame, classes: DataFrame, active: DataFrame, words: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            sets = [shingle_hashes(t, words) for t in texts(piece)]
+            sets = shingle_sets(column(piece, "text"), words)
             ids = np.array([vertex(x, seed)[0] for x in sets], "int64")
             reps = column(piece, "doc_id").fill_null(0).to_numpy()
             keep = np.ones(len(ids), bool)
@@ -465,7 +468,9 @@ def _members(rows: DataFrame, classes: DataFrame, active: DataFrame, words: int,
             sizes = pa.array([len(sets[i]) for i in kept], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), sizes, pa.array([parity_bits(sets[i]) for i in kept], pa.binary()), column(piece, "text").take(pa.array(kept, pa.int64()))], ["id", "n", "bits", "text"])
 
-    return map_arrow(rows, run, "id long, n long, bits binary, text string")
+    out = store.written(map_arrow(rows, run, "id long, n long, bits binary, text string"), "jaccard-members")
+    shared.unpersist()
+    return out
 
 
 def _compared(pairs: DataFrame, members: DataFrame, words: int, part: int, whole: int) -> DataFrame:
@@ -491,13 +496,9 @@ def _compared(pairs: DataFrame, members: DataFrame, words: int, part: int, whole
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(2 * apart / (total + apart)), pa.array(may)], ["a", "b", "low", "may"])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, two = None, None
-        for batch in batches:
+        for batch in pieces(pieces(batches, "x"), "y"):
             far, linked = [], []
-            for x, y in zip(column(batch, "x").to_pylist(), column(batch, "y").to_pylist(), strict=True):
-                one = shingle_hashes(x, words)
-                if y != last:  # pairs come by their second document
-                    last, two = y, shingle_hashes(y, words)
+            for one, two in zip(shingle_sets(column(batch, "x"), words), shingle_sets(column(batch, "y"), words), strict=True):
                 at = np.minimum(np.searchsorted(two, one), len(two) - 1)
                 common = int((two[at] == one).sum())
                 union = len(one) + len(two) - common
@@ -510,6 +511,16 @@ def _compared(pairs: DataFrame, members: DataFrame, words: int, part: int, whole
     return map_arrow(sides(bounds.filter("may").select("a", "b"), "text"), exact, "a long, b long, low double, high double, linked boolean").distinct().union(apart)
 
 
+def _with_compared(known: DataFrame | None, pairs: DataFrame, members: DataFrame, words: int, part: int, whole: int, done: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """All pairs compared so far, read as one table, and those of ``pairs``; both tables are noted in ``done``."""
+    found = store.written(_compared(pairs, members, words, part, whole), "jaccard-compared")
+    done += [pairs, found]
+    paths = [*(known.gleaner_paths if known is not None else ()), found.gleaner_path]
+    both = found.sparkSession.read.schema(found.schema).parquet(*paths)
+    both.gleaner_paths = paths
+    return both, found
+
+
 def _renamed(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``edges`` between the roots of their ends."""
     left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}")) for c in ("a", "b"))

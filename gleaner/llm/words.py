@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Words that a generation of the table holds at most (some 50 MB), and bytes of the longest that it holds.
 MEMO, LONGEST = 3 << 18, 23
@@ -101,6 +102,23 @@ class Table:
         return slots
 
 
+def codes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word of an array of strings or bytes; words of up to LONGEST bytes take no Python objects."""
+    n = len(words)
+    offsets = np.frombuffer(words.buffers()[1], "int32", n + 1, 4 * words.offset)
+    data = np.frombuffer(words.buffers()[2] or b"", "uint8")
+    size, out = np.diff(offsets), np.empty(n, "uint64")
+    short, h = np.flatnonzero(size <= LONGEST), np.uint64(0)
+    for key in Table.packed(data, offsets[short].astype("int64"), size[short]):
+        h = (h ^ key) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    out[short] = h
+    for i in np.flatnonzero(size > LONGEST).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[offsets[i] : offsets[i + 1]].tobytes())
+    return out
+
+
 class Words:
     """``make``: the ids of words that a space stands before; ``whole``: those of texts that are not cut.
 
