@@ -21,10 +21,10 @@ from gleaner.llm.arrow import column, map_arrow
 
 #: Rows of a shard and of a block of queries; lists that one merge takes.
 SHARD, BLOCK, FAN = 2048, 1024, 16
-#: Bytes of packed queries that are broadcast; beyond, shards and blocks are shuffled to meet, each number with so many salts.
-BROADCAST_BYTES, SALTS = 64 << 20, 16
+#: Bytes of packed queries that are broadcast at once; the shards are read again for each such group of blocks.
+BROADCAST_BYTES = 64 << 20
 SHARD_SCHEMA = "shard long, dim int, ids binary, data binary"
-LIST_SCHEMA = "block long, shard long, dim int, queries binary, ids binary, scores binary"
+LIST_SCHEMA = "block long, shard long, dim int, queries binary, own binary, ids binary, scores binary"
 LOW = np.iinfo("int64").min
 
 
@@ -83,6 +83,14 @@ def product(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(whole(queries) @ whole(vectors).T, LOW + 1, 2**63 - 1).astype("int64")
 
 
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    """The product of each vector with itself, as :func:`product` gives it."""
+    bound = np.abs(vectors).max(initial=0) ** 2 * max(1, vectors.shape[1])
+    if bound < 2**53:
+        return (vectors * vectors).sum(axis=1).astype("int64")
+    return np.array([product(v[None], v[None])[0, 0] for v in vectors], "int64")
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k highest scores of each row and their ids, ties to the smaller id; LOW marks an empty place."""
     k = min(k, scores.shape[1])
@@ -104,12 +112,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the ``k`` best rows of ``vectors`` (vec_id, embedding) for each query.
 
-    Queries are the rows for which ``is_query`` holds; all rows but those of the query's own vec_id are candidates. A
-    component x counts as floor(scale * x), x as double; the score is the inner product; ties go to the smaller vec_id.
-    Vectors that are null or empty, or that hold a null or non-finite component, and rows without vec_id take no part;
-    only vectors of one length meet. Rows with a repeated vec_id are candidates of their own, and a repeated query
-    is answered as often as it occurs. Fewer candidates than ``k`` give fewer rows; other columns are ignored; an empty
-    table gives an empty result.
+    Queries are the rows for which ``is_query`` holds; all rows but the query's own are candidates. A component x counts
+    as floor(scale * x), x as double; the score is the inner product; ties go to the smaller vec_id. Vectors that are null
+    or empty, or that hold a null or non-finite component, and rows without vec_id take no part; only vectors of one
+    length meet. Rows with a repeated vec_id are candidates of their own, for a query of that vec_id too, and a repeated
+    query is answered as often as it occurs. Fewer candidates than ``k`` give fewer rows; other columns are ignored; an
+    empty table gives an empty result.
+
+    Lists hold one place more than is asked for, as the query's own row is among the candidates until the end: there one
+    entry with its vec_id and its product with itself goes, or else the last.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
     rows = rows.filter("vec_id is not null and embedding is not null")
@@ -117,42 +128,45 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     asks = rows.filter("asks").select("vec_id", "embedding")
     asked = packed(asks.repartition(1 + asks.count() // BLOCK), BLOCK, scale).select(F.col("shard").alias("block"), "dim", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
     asked = store.written(asked, "topk-queries")
-    size = asked.agg(F.sum(F.length("query_ids") + F.length("query_data"))).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        tiles = shards.join(F.broadcast(asked), "dim")
-    else:
-        # Each shard meets each block of its length: blocks are numbered, and both sides are dealt out by number and salt.
-        numbered = asked.select("block", "dim").withColumn("nth", F.row_number().over(Window.partitionBy("dim").orderBy("block")))
-        counts = numbered.groupBy("dim").agg(F.max("nth").alias("blocks"))
-        left = shards.join(counts, "dim").withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("blocks")))).withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(SALTS)))
-        right = asked.join(numbered, ["block", "dim"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        tiles = left.join(right, ["dim", "nth", "salt"])
-    tiles = tiles.select("block", "shard", "dim", "query_ids", "query_data", "ids", "data")
+    # Blocks in groups that can be broadcast: a row for each block is all that this window sees.
+    bytes_ = (F.length("query_ids") + F.length("query_data")).cast("long")
+    upto = F.sum("bytes").over(Window.orderBy("dim", "block").rowsBetween(Window.unboundedPreceding, -1))
+    numbered = asked.select("block", "dim", bytes_.alias("bytes")).withColumn("group", F.floor(F.coalesce(upto, F.lit(0)) / BROADCAST_BYTES))
+    groups = store.written(asked.join(F.broadcast(numbered.drop("bytes")), ["block", "dim"]), "topk-groups")
+    order = sorted(r.group for r in groups.select("group").distinct().collect())
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
                 queries, ids = np.frombuffer(r["query_ids"], "int64"), np.frombuffer(r["ids"], "int64")
-                scores = product(np.frombuffer(r["query_data"]).reshape(-1, r["dim"]), np.frombuffer(r["data"]).reshape(-1, r["dim"]))
-                scores[queries[:, None] == ids[None, :]] = LOW
-                yield listed(r["block"], r["shard"], r["dim"], queries, *best(scores, np.broadcast_to(ids, scores.shape), k))
+                asked_ = np.frombuffer(r["query_data"]).reshape(-1, r["dim"])
+                scores = product(asked_, np.frombuffer(r["data"]).reshape(-1, r["dim"]))
+                yield listed(r["block"], r["shard"], r["dim"], queries, lengths(asked_), *best(scores, np.broadcast_to(ids, scores.shape), k + 1))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, kept = None, None
         for batch in batches:
             for r in (x for i in range(batch.num_rows) for x in batch.slice(i, 1).to_pylist()):
-                queries = np.frombuffer(r["queries"], "int64")
+                queries, own = (np.frombuffer(r[c], "int64") for c in ("queries", "own"))
                 scores, ids = (np.frombuffer(r[c], "int64").reshape(len(queries), -1) for c in ("scores", "ids"))
                 if at == (r["block"], r["shard"]):
-                    kept = (*kept[:3], *best(np.hstack([kept[4], scores]), np.hstack([kept[3], ids]), k)[::-1])
+                    kept = (*kept[:3], *best(np.hstack([kept[3], scores]), np.hstack([kept[4], ids]), k + 1))
                 else:
                     if at is not None:
-                        yield listed(*at, kept[1], kept[2], kept[4], kept[3])
-                    at, kept = (r["block"], r["shard"]), (None, r["dim"], queries, ids, scores)
+                        yield listed(*at, *kept)
+                    at, kept = (r["block"], r["shard"]), (r["dim"], queries, own, scores, ids)
         if at is not None:
-            yield listed(*at, kept[1], kept[2], kept[4], kept[3])
-
-    lists = store.written(map_arrow(tiles, tile, LIST_SCHEMA), "topk-lists")
+            yield listed(*at, *kept)
+
+    path = store.new_path(shards.sparkSession, "topk-tiles")
+    for group in order:
+        tiles = shards.join(F.broadcast(groups.filter(F.col("group") == group)), "dim")
+        tiles = map_arrow(tiles.select("block", "shard", "dim", "query_ids", "query_data", "ids", "data"), tile, LIST_SCHEMA)
+        tiles.write.mode("append").option("compression", "zstd").parquet(path)
+    if not order:
+        return shards.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    lists = shards.sparkSession.read.schema(LIST_SCHEMA).parquet(path)
+    lists.gleaner_path = path
     parts = shards.count()
     while parts > 1:
         parts = math.ceil(parts / FAN)
@@ -164,9 +178,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                queries = np.frombuffer(r["queries"], "int64")
+                queries, own = (np.frombuffer(r[c], "int64") for c in ("queries", "own"))
                 scores, ids = (np.frombuffer(r[c], "int64").reshape(len(queries), -1) for c in ("scores", "ids"))
-                width = scores.shape[1]
+                width = scores.shape[1] - 1
+                same = (ids == queries[:, None]) & (scores == own[:, None])
+                gone = np.where(same.any(axis=1), same.argmax(axis=1), width)  # the query's own row, or the last
+                stay = np.arange(width + 1) != gone[:, None]
+                ids, scores = ids[stay].reshape(-1, width), scores[stay].reshape(-1, width)
                 real = (scores != LOW).ravel()
                 cols = (np.repeat(queries, width), np.tile(np.arange(1, width + 1, dtype="int32"), len(queries)), ids.ravel(), scores.ravel())
                 yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in cols], ["query_id", "rank", "vec_id", "score"])
@@ -174,7 +192,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64) ->
     return map_arrow(lists, rows_of, "query_id long, rank int, vec_id long, score long")
 
 
-def listed(block: int, shard: int, dim: int, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    row = {"block": block, "shard": shard, "dim": dim, "queries": queries.tobytes(), "ids": np.ascontiguousarray(ids).tobytes(), "scores": np.ascontiguousarray(scores).tobytes()}
-    types = [("block", pa.int64()), ("shard", pa.int64()), ("dim", pa.int32()), ("queries", pa.binary()), ("ids", pa.binary()), ("scores", pa.binary())]
+def listed(block: int, shard: int, dim: int, queries: np.ndarray, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    row = {"block": block, "shard": shard, "dim": dim, "queries": queries.tobytes(), "own": own.tobytes(), "ids": np.ascontiguousarray(ids).tobytes(), "scores": np.ascontiguousarray(scores).tobytes()}
+    types = [("block", pa.int64()), ("shard", pa.int64()), ("dim", pa.int32()), *((c, pa.binary()) for c in ("queries", "own", "ids", "scores"))]
     return pa.RecordBatch.from_pylist([row], pa.schema(types))
