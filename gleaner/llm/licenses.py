@@ -24,20 +24,55 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Templates by label: wording of public license texts and of the notices that refer to them (fixed values).
+#: Templates by label: wording of public license texts (-text) and of the notices that refer to them (-notice) (fixed values).
+_AS_IS = (
+    "[[the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+    "particular purpose and noninfringement in no event shall {{8}} be liable for any claim damages or other liability whether in an action of contract tort or "
+    "otherwise arising from out of or in connection with the software or the use or other dealings in the software]]"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions "
+    "of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce "
+    "the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_FREE = (
+    "{{4}} is free software you can redistribute it and or modify it under the terms of the gnu {{1}} general public license as published by the free software "
+    "foundation either version {{2}} of the license or [[at your option]] any later version [[{{5}} is distributed in the hope that it will be useful but without any "
+    "warranty without even the implied warranty of merchantability or fitness for a particular purpose]]"
+)
 TEMPLATES = {
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {{12}} to deal in {{4}} without restriction including without "
     "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of {{4}} and to permit persons to whom {{4}} furnished "
     "to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in "
-    "all copies or substantial portions of {{4}}",
+    "all copies or substantial portions of {{4}} " + _AS_IS,
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
-    "copyright notice and this permission notice appear in all copies",
+    "copyright notice and this permission notice appear in all copies [[the software is provided as is and the author disclaims all warranties with regard to this "
+    "software including all implied warranties of merchantability and fitness]]",
     "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-clause-text": _BSD,
+    "bsd-3-clause-text": _BSD + " [[3]] neither the name of {{12}} nor the names of its contributors may be used to endorse or promote products derived from this "
+    "software without specific prior written permission",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the "
+    "use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    "boost-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+    "this license the software to use reproduce display distribute execute and transmit the software",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software",
+    "apache-2.0-text": "apache license version 2 0 january 2004 [[http www apache org licenses]] terms and conditions for use reproduction and distribution",
+    "mpl-2.0-text": "mozilla public license version 2 0 [[{{3}}]] 1 definitions 1 1 contributor means each individual or legal entity that creates contributes to the "
+    "creation of or owns covered software",
+    "gpl-text": "the gnu general public license is a free copyleft license for software and other kinds of works",
     "mit-notice": "[[this {{3}} is]] released under the [[terms of the]] mit license",
-    "apache-2.0-notice": "licensed under the apache license version 2 0",
+    "apache-2.0-notice": "licensed under the apache license version 2 0 [[the license you may not use {{4}} except in compliance with the license you may obtain a copy of "
+    "the license at {{10}} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+    "warranties or conditions of any kind either express or implied]]",
     "gpl-2.0-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 2",
     "gpl-3.0-notice": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation either]] version 3",
+    "gpl-or-later-notice": "this " + _FREE,
+    "mpl-2.0-notice": "this source code form is subject to the terms of the mozilla public license v 2 0 [[if a copy of the mpl was not distributed with this file you can "
+    "obtain one at {{8}}]]",
     "cc-by-notice": "licensed under [[a]] [[the]] [[creative commons]] cc by",
+    "cc-by-4.0-notice": "licensed under [[a]] [[the]] creative commons attribution 4 0 [[international]] license",
+    "cc0-notice": "to the extent possible under law {{12}} waived all copyright and related or neighboring rights to",
 }
 #: Bytes of lower-case text: what is not a letter, a digit or beyond ASCII is a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -145,9 +180,10 @@ class Scanner:
         line = b" " + b" ".join(words) + b" "
         places, labels = [], []
         for phrase, label in self.phrases:
-            at = line.find(phrase)
+            at, before, place = line.find(phrase), 0, 0
             while at >= 0:
-                places.append(line.count(b" ", 0, at))
+                place, before = place + line.count(b" ", before, at), at
+                places.append(place)
                 labels.append(label)
                 at = line.find(phrase, at + 1)
         matches = []
