@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from gleaner.llm import store
 from gleaner.llm.arrow import column, map_arrow, pieces, texts
 
-#: Labelled documents that are learned from, about; words that get a weight; documents that a word needs; the log
-#: likelihood ratio that it needs (8: a chance of 6 in 100,000 for a word that has nothing to do with the label).
-SAMPLE, WORDS, LEAST, GAIN = 8000, 2000, 4, 8.0
+#: Labelled documents that are learned from, about; documents that a word needs to get a weight; the log likelihood ratio
+#: that it needs (8: a chance of 6 in 100,000 for a word that has nothing to do with the label).
+SAMPLE, LEAST, GAIN = 8000, 4, 8.0
 #: Lengths (in bytes) of the beginnings of words that are features beside whole words: they catch inflected forms.
 STEMS = (4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
@@ -91,41 +92,38 @@ def _softplus(z: float) -> float:
     return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
 
-def fit(texts_: list[str], labels: list[int]) -> Model:
-    """Weights that make the noisy-or of the sentences fit the labels of the documents; without both labels, only a leak."""
+def document_features(text: str) -> set[bytes]:
+    return {f for w in {w for s in sentences(text) for w in s} for f in features(w)}
+
+
+def gain(seen: Column, hit: Column, n: int, pos: int) -> Column:
+    """The log likelihood ratio of a feature's presence (in ``seen`` documents, ``hit`` of them toxic) and the label, among
+    ``n`` documents of which ``pos`` are toxic; 0 for a feature that speaks against it."""
+    cells = ((hit, seen, pos), (seen - hit, seen, n - pos), (pos - hit, n - seen, pos), (n - pos - seen + hit, n - seen, n - pos))
+    parts = [F.when(k > 0, k * F.ln(k.cast("double") * n / (row.cast("double") * col))).otherwise(0.0) for k, row, col in cells]
+    return F.when(hit * n > seen * pos, parts[0] + parts[1] + parts[2] + parts[3]).otherwise(0.0)
+
+
+def telling_sentences(text: str, index: dict[bytes, int]) -> list[list[int]]:
+    """The telling features of each sentence that has any, as numbers."""
+    lists = (sorted({index[f] for w in s for f in features(w) if f in index}) for s in sentences(text))
+    return [x for x in lists if x]
+
+
+def optimised(known: list[bytes], split: list[list[list[int]]], labels: list[int]) -> Model:
+    """Weights of the ``known`` features that make the noisy-or of the sentences fit the labels of the documents, given the
+    features of each document's telling sentences; without both labels, only a leak."""
     y = np.array(labels, float)
-    pool: dict[bytes, bytes] = {}  # one object per word
-    split = [[[pool.setdefault(w, w) for w in x] for x in sentences(t)] for t in texts_]
-    seen, hit = Counter(), Counter()
-    for s, label in zip(split, labels, strict=True):
-        found = {f for w in {w for x in s for w in x} for f in features(w)}
-        seen.update(found)
-        if label:
-            hit.update(found)
     n, pos = len(y), float(y.sum())
     if not 0 < pos < n:
         rate = min(max(pos / n if n else 0.0, 1e-3), 1 - 1e-3)
         return Model(0.0, {}, min(math.log(rate / (1 - rate)), -1.0))
-
-    def gain(w: bytes) -> float:
-        """The log likelihood ratio of the word's presence and the label, 0 for words that speak against it."""
-        if hit[w] * n <= seen[w] * pos:
-            return 0.0
-        a, b, total = hit[w], seen[w] - hit[w], 0.0
-        for k, row, col in ((a, seen[w], pos), (b, seen[w], n - pos), (pos - a, n - seen[w], pos), (n - pos - b, n - seen[w], n - pos)):
-            total += k * math.log(k * n / (row * col)) if k else 0.0
-        return total
-
-    gains = {w: g for w, k in seen.items() if k >= LEAST and (g := gain(w)) >= GAIN}
-    known = sorted(gains, key=lambda w: (-gains[w], w))[:WORDS]
-    index = {w: i for i, w in enumerate(known)}
     doc, sent, feat = [], [], []
     for d, s in enumerate(split):
         for x in s:
-            if found := {f for w in x for f in features(w) if f in index}:
-                for w in sorted(found):
-                    sent.append(len(doc)), feat.append(index[w])
-                doc.append(d)
+            sent += [len(doc)] * len(x)
+            feat += x
+            doc.append(d)
     doc, sent, feat = (np.array(x, np.int64) for x in (doc, sent, feat))
     # Parameters: the weights, the bias and the leak.
     theta = np.append(np.zeros(len(known)), [0.0, math.log(0.1 * pos / n)])
@@ -147,35 +145,67 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, sample:
     """A model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     ``use`` picks the label rows that may be learned from (all, if None). Of these about ``sample`` are learned from,
-    chosen by a hash of doc_id, whole texts each; that bounds the one task that trains. Rows without label or text
-    are left out; without any label row the model gives every text a low score.
+    chosen by a hash of doc_id, whole texts each. A repeated label row counts once, toxic if any of them is; each document
+    row of a labelled doc_id is learned from. Rows without doc_id, label or text are left out; without any label row the
+    model gives every text a low score.
+
+    Features are counted and chosen on the executors, and texts stay there: the one task that fits the weights sees the
+    numbers of the telling features only.
     """
+    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     known = known if use is None else known.filter(use)
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    share = min(1.0, sample / max(n, 1))
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    share = min(1.0, sample / max(known.count(), 1))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_003)) < int(share * 1_000_003))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    chosen = store.written(rows.join(known, "doc_id").select("doc_id", "text", "toxic"), "toxicity-sample")
+    n, pos = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            seen, hit = Counter(), Counter()
+            for text, toxic in zip(texts(piece), column(piece, "toxic").to_pylist(), strict=True):
+                found = document_features(text)
+                seen.update(found)
+                if toxic:
+                    hit.update(found)
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([hit[f] for f in seen], pa.int64())], ["feature", "seen", "hit"])
+
+    counts = map_arrow(chosen, count, "feature binary, seen long, hit long").groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("hit").alias("hit"))
+    told = counts.filter(F.col("seen") >= LEAST).filter(gain(F.col("seen"), F.col("hit"), n, pos) >= GAIN)
+    names = sorted(bytes(r.feature) for r in told.select("feature").collect())
+    shared = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+    lists = pa.list_(pa.list_(pa.int32()))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            found = [telling_sentences(t, shared.value) for t in texts(piece)]
+            yield pa.RecordBatch.from_arrays([column(piece, "doc_id"), column(piece, "toxic"), pa.array(found, lists)], ["doc_id", "toxic", "sentences"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str, int]] = []
+        held: list[tuple[int, list[list[int]], int]] = []
         for batch in batches:
-            held += zip(column(batch, "doc_id").to_pylist(), texts(batch), column(batch, "toxic").to_pylist(), strict=True)
+            held += zip(*(column(batch, c).to_pylist() for c in ("doc_id", "sentences", "toxic")), strict=True)
         held.sort()
-        yield pa.RecordBatch.from_arrays([pa.array([fit([h[1] for h in held], [int(h[2] > 0) for h in held]).to_json()])], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([optimised(sorted(shared.value), [h[1] for h in held], [h[2] for h in held]).to_json()])], ["model"])
 
-    found = map_arrow(rows.join(known, "doc_id").select("doc_id", "text", "toxic").repartition(1), run, "model string").collect()
-    return Model.from_json(found[0].model) if found else fit([], [])
+    numbered = map_arrow(chosen, number, "doc_id long, toxic int, sentences array<array<int>>")
+    found = map_arrow(numbered.repartition(1), run, "model string").collect()
+    return Model.from_json(found[0].model) if found else optimised([], [], [])
 
 
 def with_scores(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with the toxicity of ``text`` in a further column ``name``: 0 to 1; null and empty texts have one too."""
+    """``docs`` with the toxicity of ``text`` in the column ``name``, in the place of one that has that name already: 0 to 1.
 
+    Null and empty texts have a score too. Every row counts, repeated ones and those without doc_id too; other columns
+    stay as they are; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f.name for f in docs.schema.fields]
-    if name in fields:
-        raise ValueError(f"docs has a column {name!r} already")
+    if name == "text":
+        raise ValueError("the score cannot stand in the place of the text")
+    docs = docs.drop(name)
+    fields = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.score
