@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -115,6 +116,44 @@ def test_jaccard_join(spark):
     assert jaccard_join.jaccard_components(table(spark, EMPTY)).collect() == []
 
 
+@pytest.mark.parametrize("pivots", [0, 3, 200])
+def test_jaccard_join_with_few_pivots(spark, monkeypatch, pivots):
+    """A group of near copies holds most rows: some link with its pivot, some only with each other, some with nothing."""
+    rnd = random.Random(11)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
+    monkeypatch.setattr(jaccard_join, "CHOSEN", 2)
+    base, rows = [f"b{i}" for i in range(100)], chained(rnd, 30, 2)
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.choice((0, 1, 2, 2, 3, 5, 8))):
+            words[rnd.randrange(100)] = f"e{rnd.randint(0, 30)}"
+        rows.append((100 + i, " ".join(words[: rnd.choice((100, 100, 96, 70))]), None, None))
+    got = jaccard_join.jaccard_components(table(spark, rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == linked(rows)
+
+
+def test_cells_hold_every_link():
+    rnd = random.Random(4)
+    base = [[rnd.randrange(10**9) for _ in range(60)] for _ in range(4)]
+    sets = []
+    for _ in range(160):
+        x = set(rnd.choice(base)[: rnd.randint(30, 60)]) | {rnd.randrange(10**9) for _ in range(rnd.choice((0, 1, 5, 30)))}
+        sets.append(np.array(sorted(x), "uint64"))
+    for part in (50, 80, 100):
+        pivots = jaccard_join.Pivots.build(sets[:6], list(range(6)))
+        cells = [{c: (d, home, hit) for c, d, home, hit in pivots.cells(x, part, 100)} for x in sets]
+        homes = [next((c for c, (_, home, _) in held.items() if home), None) for held in cells]
+        assert any(h is None for h in homes) and any(h is not None for h in homes)
+        for i, x in enumerate(sets):
+            for c, (d, _, hit) in cells[i].items():
+                common, union = len(set(x.tolist()) & set(sets[c].tolist())), len(set(x.tolist()) | set(sets[c].tolist()))
+                assert abs(d - (1 - common / union)) < 1e-12 and hit == (100 * common >= part * union)
+            for j in range(i):
+                common, union = len(np.intersect1d(x, sets[j])), len(np.union1d(x, sets[j]))
+                if 100 * common >= part * union:
+                    assert (homes[i] is None and homes[j] is None) or homes[i] in cells[j] or homes[j] in cells[i]
+
+
 def test_bitmaps_bound_differences():
     rnd = np.random.default_rng(1)
     for _ in range(200):
@@ -146,9 +185,9 @@ def test_components(spark):
 def brute_top(rows, k):
     fine = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in fine:
+    for n, (q, v) in enumerate(fine):
         if q % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in fine if i != q and len(w) == len(v))[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(fine) if m != n and len(w) == len(v))[:k]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)]
     return Counter(want)
 
@@ -156,10 +195,10 @@ def brute_top(rows, k):
 def test_top_k(spark, monkeypatch):
     rnd = np.random.default_rng(2)
     rows = [(i, [float(np.float32(x)) for x in rnd.normal(size=8).round(1)]) for i in range(300)]
-    rows += [(301, None), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, []), (None, [0.5] * 8), (320, [0.5] * 3), (341, [0.25] * 3), (7, [0.5] * 8), (340, [1e30] * 8)]
+    rows += [(301, None), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (304, [float("inf")] * 8), (305, []), (None, [0.5] * 8), (320, [0.5] * 3), (341, [0.25] * 3), (7, [0.5] * 8), (20, [2.0] * 8), (20, [0.5] * 8), (40, rows[40][1]), (340, [1e30] * 8)]
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], "vec_id long, embedding array<double>, score int, rank int")
     low = [r for r in rows if r[0] != 340]
-    for size in (64 << 20, 0):
+    for size in (64 << 20, 1000):
         monkeypatch.setattr(topk, "BROADCAST_BYTES", size)
         monkeypatch.setattr(topk, "SHARD", 16)
         monkeypatch.setattr(topk, "BLOCK", 4)
@@ -261,6 +300,52 @@ def test_license_templates():
         licenses.Scanner({}, {"t": "{{3}} word"})
 
 
+def as_pattern(template):
+    """The template as a regular expression over words with a space before each."""
+    out, region = "", re.compile(r"(\[\[|\]\]|\{\{\d+\}\})")
+    for part in region.split(template):
+        if part.startswith("{{"):
+            out += r"(?: \S+){0,%s}" % part[2:-2]
+        elif part in ("[[", "]]"):
+            out += {"[[": "(?:", "]]": ")?"}[part]
+        else:
+            out += "".join(" " + re.escape(w) for w in part.split())
+    return re.compile(out + r"(?= |$)")
+
+
+def test_shipped_templates():
+    rnd, scanner, fill = random.Random(6), licenses.Scanner({}, licenses.TEMPLATES), ["acme", "the", "2", "software"]
+    patterns = {label: as_pattern(t) for label, t in licenses.TEMPLATES.items()}
+    accepted = Counter()
+    for label, template in licenses.TEMPLATES.items():
+        for _ in range(12):
+            text = re.sub(r"\[\[.*?\]\]", lambda m: m[0][2:-2] if rnd.random() < 0.6 else "", template)
+            text = re.sub(r"\{\{(\d+)\}\}", lambda m: " ".join(rnd.choice(fill) for _ in range(rnd.randint(0, int(m[1]) + (rnd.random() < 0.2)))), text)
+            words_ = text.split()
+            if rnd.random() < 0.4:  # a word of the wording is changed, dropped or doubled
+                i = rnd.randrange(len(words_))
+                words_[i : i + 1] = rnd.choice((["other"], [], [words_[i]] * 2))
+            words_ = ["x"] * rnd.randint(0, 3) + words_ + ["y"] * rnd.randint(0, 3)
+            line = " " + " ".join(words_)
+            want = {x for x, p in patterns.items() if p.search(line)}
+            got = scanner.scan(" ".join(words_).upper().replace(" ", ", "))[3]
+            assert {m[0] for m in got} == want
+            for name, start, end in got:
+                assert patterns[name].fullmatch(" " + " ".join(words_[start:end]))
+            accepted[label] += label in want
+    assert all(accepted[label] >= 4 for label in licenses.TEMPLATES)
+
+
+def test_many_places_take_linear_time():
+    scanner, seconds = licenses.Scanner(licenses.PHRASES, {}), []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        found = scanner.scan("mit license " * n)
+        seconds.append(time.perf_counter() - began)
+        assert found[1] == list(range(0, 2 * n, 2))
+    assert seconds[1] < 12 * seconds[0] + 0.1
+
+
 def test_language(spark):
     rnd = random.Random(8)
     parts = {"aa": ["ba", "lo", "mi"], "bb": ["shr", "unk", "est"], "cc": ["ñu", "és", "ço"]}
@@ -279,6 +364,21 @@ def test_language(spark):
     assert language_id.identify(table(spark, EMPTY), model).collect() == []
 
 
+def test_filter_returns_all_languages(spark):
+    """An n-gram that a sample has LEAST times or more is found for that language, whatever other languages have it."""
+    rows = [(i, t, g) for i, (t, g) in enumerate([("shared words here common", "a"), ("shared words there common", "b"), ("shared " * 50 + "alone", "c"), ("rare", "a")] * 4)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = {g: Counter(h for _, t, x in rows if x == g for h in language_id.gram_hashes(t).tolist()) for g in "abc"}
+    chance = np.zeros(3)
+    assert model.languages == list("abc")
+    for i, g in enumerate("abc"):
+        for h, n in seen[g].items():
+            masks = [int(model.masks[p[0]]) for p in model.places(np.array([h], "uint64"))]
+            if n >= language_id.LEAST:
+                assert all(m >> i & 1 for m in masks)
+    assert (model.shares("shared", chance) == 1).all()
+
+
 def test_language_filter_has_no_false_negatives():
     rnd = np.random.default_rng(4)
     grams = {name: rnd.integers(0, 2**63, 3000, dtype="uint64") for name in "xyz"}
@@ -348,10 +448,43 @@ def test_mixing(spark, block):
     again = mixing.mix(table(spark, rows).repartition(3), block_words=block, shard_slots=5).documents.collect()
     assert Counter((r.doc_id, r.start, r.taken) for r in again) == Counter((r.doc_id, r.start, r.taken) for r in got)
     assert mixed.slots.agg(F.sum("words")).first()[0] == sum(taken.values())
+    # Each document by brute force, from the slots: the words of its source's stream that each of them stands for.
+    number = {r.name: r.number for r in mixed.sources.select(F.col("source").alias("name"), "number").collect()}
+    streams = defaultdict(Counter)
+    for r in mixed.slots.collect():
+        streams[r.number].update(range(r.block * block, r.block * block + r.words))
+    for r in got:
+        assert r.taken == sum(streams[number[r.source]][w] for w in range(r.start, r.start + r["size"]))
+    # The draws: shards take a source's slots one behind another, and all of them.
+    drawn = defaultdict(list)
+    for r in mixed.draws.collect():
+        drawn[r.number].append((r["first"], r["count"], r.shard))
+    held = Counter((r.number, r.shard) for r in mixed.slots.collect())
+    for n, parts in drawn.items():
+        assert [f for f, _, _ in sorted(parts)] == [sum(c for _, c, _ in sorted(parts)[:i]) for i in range(len(parts))]
+        assert all(held[n, shard] == c for _, c, shard in parts)
+    assert sum(held.values()) == sum(c for parts in drawn.values() for _, c, _ in parts)
     none = mixing.mix(table(spark, EMPTY))
     assert none.documents.collect() == [] and none.slots.collect() == []
 
 
+def test_halves_are_binomial(spark):
+    for n in (0, 1, 63, 64, 65, 1000, mixing.COINS, mixing.COINS + 1, 10**6):
+        x = np.array([r.x for r in spark.range(3000).select(mixing.half(F.lit(n).cast("long"), F.lit(7), F.col("id")).alias("x")).collect()])
+        assert x.min() >= 0 and x.max() <= n
+        if n:
+            assert abs(x.mean() - n / 2) < 4 * (n / 4 / 3000) ** 0.5 and abs(x.var() / (n / 4) - 1) < 0.15
+    sizes = spark.range(6).select(F.col("id").alias("number"), F.lit(20000).cast("long").alias("source_size"), F.lit(20000.0).alias("target"))
+    _, draws = mixing._draws(sizes, 10, 100, 3)
+    counts = defaultdict(Counter)
+    for r in draws.collect():
+        counts[r.shard][r.number] += r["count"]
+    assert len(counts) == 128 and all(sum(c[n] for c in counts.values()) == 2000 for n in range(6))
+    cells = np.array([[c[n] for n in range(6)] for c in counts.values()], float)
+    chi2 = ((cells - 2000 / 128) ** 2 / (2000 / 128)).sum()  # 6 * 127 degrees of freedom
+    assert abs(chi2 - 762) < 5 * (2 * 762) ** 0.5
+
+
 def test_mixed_blocks(spark):
     rows = [(d, t, s, x) for d, t, s, x in corpus() if s and d != 3003]
     docs = table(spark, rows)
@@ -487,6 +620,21 @@ def test_bpe_digests(spark, pair):
     assert bpe_digests(table(spark, EMPTY)).collect() == []
 
 
+def test_round_trip_is_encode_and_decode(spark, pair):
+    shared = spark.sparkContext.broadcast(pair[0])
+    docs = table(spark, [*corpus(), (None, "x \x1c\ua7d2's", None, None)])
+    both = bpe.decode(bpe.encode(docs, shared), shared).collect()
+    assert Counter(map(str, both)) == Counter(map(str, bpe.round_trip(docs, shared).collect()))
+
+
+def test_heaps_side_by_side(pair):
+    rnd = random.Random(2)
+    words_ = [bytes(rnd.choice(b"aabcdeorst \xc3\xa9") for _ in range(n)) for n in (2, 3, 7, 8, 9, 16, 17, 31, 33, 64) for _ in range(40)]
+    for width in bpe.WIDTHS:
+        some = [w for w in words_ if len(w) <= width]
+        assert [np.frombuffer(x, "int32").tolist() for x in pair[0].merge_together(some, width)] == [pair[0].merge(w) for w in some]
+
+
 def test_over_64_languages(spark):
     rnd = random.Random(3)
     words = {f"l{k:02}": ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for k in range(70)}
