@@ -101,13 +101,3 @@ def period(source: Column, seen: Column, fixed: dict[str, str]) -> Column:
         out = out.when(source == name, value)
     return out.otherwise("unknown")
 
-
-#: Rules of a title's level, in order (fixed values).
-TITLE_LEVELS = (
-    (r"(?i)\b(intern|internship|co-?op)\b", "entry"),
-    (r"(?i)\b(director|vp|vice\s*president|head\s+of|chief|cto|cio)\b", "director"),
-    (r"(?i)\b(senior|sr\.?|staff|principal|distinguished|fellow|architect)\b", "mid-senior"),
-    (r"(?i)\b(manager|supervisor)\b", "mid-senior"),
-    (r"(?i)\b(tech\s*lead|engineering\s*lead|lead\s+(software|data|platform|backend|frontend|devops|qa|test|ml|ai|cloud|infrastructure|systems?))\b", "mid-senior"),
-    (r"(?i)\b(junior|jr\.?|new\s*grad(uate)?|recent\s*grad(uate)?|entry[- ]?level|early\s*career)\b", "entry"),
-)

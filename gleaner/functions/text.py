@@ -12,8 +12,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode white space at both ends; Spark's trim takes spaces only.
-_ENDS = r"(?U)^\s+|\s+$"
+#: Unicode white space, the space first; Spark's trim takes spaces only.
+_BLANKS = r" \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ENDS = rf"^[{_BLANKS}]+|[{_BLANKS}]+$"
+#: Runs of white space that are not one space: texts are full of single spaces, which need no replacement.
+_RUNS = rf" *[{_BLANKS[1:]}][{_BLANKS}]*| {{2,}}"
 
 # Level words, legal suffixes, seniority labels.
 LEVEL_WORDS = r"\b(senior|sr\.?|junior|jr\.?|lead|staff|principal|distinguished)\b"
@@ -50,7 +53,7 @@ def or_null(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return stripped(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, _RUNS, " "))
 
 
 def chain(c: Column, steps: Sequence[tuple[str, str]]) -> Column:
@@ -195,6 +198,11 @@ def hashed_uid(c: Column, prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(c.cast("binary"), 256), 1, 16))
 
 
+def site_uid(site: Column, key: Column) -> Column:
+    """A row's id within its site: the site in lower case, and the key."""
+    return F.concat(F.lower(site), F.lit("_"), key.cast("string"))
+
+
 def matches(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern)).cast("long")
 
@@ -274,9 +282,15 @@ def tokens(c: Column, pattern: str = "[a-z][a-z0-9+.#-]{2,}") -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """The n-grams of an array of words, joined by spaces."""
-    starts = F.sequence(F.lit(1), F.size(words) - n + 1)
-    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """The n-grams of an array of words, joined by spaces; none where there are fewer than ``n`` words.
+
+    The array is put beside itself, moved on by one word n - 1 times: ``words`` should be a column, as it is named so often.
+    """
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    grams = F.slice(words, 1, count)
+    for k in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, k + 1, count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.coalesce(grams, F.array().cast("array<string>"))
 
 
 def listed(c: Column, separator: str = ",") -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Sequence
+from heapq import merge
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,45 +15,63 @@ from gleaner.functions.ship import ship
 from gleaner.functions.similarity import near_titles
 from gleaner.operators.relational import first_per_key
 
-#: Rows of a group above which titles are not compared (the rule of the near-duplicate step; fixed value).
-LARGEST_GROUP = 5000
-
-
 def drop_repeated(df: DataFrame, keys: Sequence[str], order: Sequence[Column], need: Column | None = None) -> DataFrame:
-    """Of rows with equal keys the first in the given order; rows for which ``need`` does not hold all stay."""
+    """Of rows with equal keys the first in the given order; rows for which ``need`` does not hold all stay.
+
+    One pass: rows that stay anyway are dealt out by a hash of their order, so they make no large group.
+    """
     if need is None:
         return first_per_key(df, keys, order)
-    rest = df.filter(~F.coalesce(need, F.lit(False)))
-    return first_per_key(df.filter(need), keys, order).unionByName(rest)
+    need = F.coalesce(need, F.lit(False))
+    rows = df.withColumn("_alone", F.when(~need, F.xxhash64(*[F.struct(o) for o in order])))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_alone").orderBy(*order))
+    return rows.withColumn("_rank", rank).filter((F.col("_rank") == 1) | F.col("_alone").isNotNull()).drop("_alone", "_rank")
+
+
+def near_groups(titles: Sequence[str]) -> dict[str, list[str]]:
+    """For each of the distinct titles those that are near it, itself included.
+
+    Near titles have at least 3/8 of their letters, in order, in common; so titles are compared only where their lengths
+    and the letters that they share, in any order, allow it.
+    """
+    order = sorted({t for t in titles if t}, key=len)
+    letters, lengths = {t: Counter(t) for t in order}, [len(t) for t in order]
+    near = {t: [t] for t in order}
+    for i, t in enumerate(order):
+        for u in order[i + 1 : bisect_right(lengths, len(t) * 5 / 3)]:
+            if 8 * sum((letters[t] & letters[u]).values()) >= 3 * (len(t) + len(u)) and near_titles(t, u):
+                near[t].append(u), near[u].append(t)
+    return near
 
 
-def near_duplicates(df: DataFrame, keys: Sequence[str], uid: str, order: str, title: str, rank: Sequence[str], most: int = LARGEST_GROUP) -> DataFrame:
+def near_duplicates(df: DataFrame, keys: Sequence[str], uid: str, order: str, title: str, rank: Sequence[str]) -> DataFrame:
     """The uids that near-duplicate titles within a group of equal ``keys`` drop.
 
     In ascending ``order``, each row meets those behind it; of two near titles the one with the higher ``rank`` columns
-    stays, of equals the earlier. Distinct titles per group are what is compared, so a group of a thousand rows with
-    three titles costs three comparisons. Groups over ``most`` rows are left as they are.
+    stays, of equals the earlier. Distinct titles of a group are what is compared, so a group of a thousand rows with
+    three titles costs three comparisons; groups of any size are done whole.
     """
     ship(df.sparkSession)
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     rows = df.select(*keys, F.col(uid).alias("uid"), F.col(order).alias("seq"), F.col(title).alias("title"), F.struct(*rank).alias("_rank"))
-    rows = rows.withColumn("_n", size).filter((F.col("_n") >= 2) & (F.col("_n") <= most)).select(*keys, "uid", "seq", "title", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_rank")).alias("rank"))
+    rows = rows.withColumn("_n", size).filter(F.col("_n") >= 2).select(*keys, "uid", "seq", "title", F.dense_rank().over(Window.partitionBy(*keys).orderBy("_rank")).alias("rank"))
 
     def drops(group: pd.DataFrame) -> pd.DataFrame:
         rows = group.sort_values(["seq", "uid"])
         uids, titles, ranks = rows["uid"].tolist(), rows["title"].tolist(), rows["rank"].tolist()
-        gone, known = [False] * len(uids), {}
-        for i in range(len(uids)):
-            for j in range(i + 1, len(uids)):
-                if gone[i]:
-                    break
+        near, places, gone = near_groups(titles), defaultdict(list), [False] * len(uids)
+        for i, t in enumerate(titles):
+            places[t].append(i)
+        for i, t in enumerate(titles):
+            if gone[i] or t not in near:
+                continue
+            for j in merge(*(places[u][bisect_right(places[u], i) :] for u in near[t])):
                 if gone[j]:
                     continue
-                pair = (titles[i], titles[j])
-                if pair not in known:
-                    known[pair] = near_titles(*pair)
-                if known[pair]:
-                    gone[i if ranks[j] > ranks[i] else j] = True
+                if ranks[j] > ranks[i]:
+                    gone[i] = True
+                    break
+                gone[j] = True
         return pd.DataFrame({"uid": [u for u, g in zip(uids, gone, strict=True) if g]}, dtype=rows["uid"].dtype)
 
     kind = df.schema[uid].dataType.simpleString()
@@ -85,3 +106,13 @@ def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], version: s
     """``table`` with ``changes`` written over it: per key the row with the highest version, of equals the changed one."""
     both = table.withColumn("_new", F.lit(0)).unionByName(changes.withColumn("_new", F.lit(1)))
     return first_per_key(both, keys, [F.desc(version), F.desc("_new")]).drop("_new")
+
+
+def two_levels(df: DataFrame, snapshot: Sequence[str], posting: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """The first row of each ``snapshot`` key, in the given order, and in ``name`` whether it is the first of its ``posting`` key.
+
+    The second rank runs over what the first has left, and the keys of the second are among those of the first: both take
+    one shuffle by ``posting``.
+    """
+    kept = first_per_key(df.repartition(*posting), snapshot, order)
+    return kept.withColumn(name, F.row_number().over(Window.partitionBy(*posting).orderBy(*order)) == 1)

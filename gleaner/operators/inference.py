@@ -188,3 +188,25 @@ def majority(labels: Sequence[set[str] | None]) -> list[str] | None:
     if len(votes) < 2:
         return None
     return sorted(x for x in set().union(*votes) if 2 * sum(x in v for v in votes) > len(votes))
+
+
+class Quota:
+    """When providers that have refused for their quota may be asked again: each pauses for its own number of seconds."""
+
+    def __init__(self, pauses: Mapping[str, float]) -> None:
+        self.pauses = dict(pauses)
+        self.until = dict.fromkeys(pauses, 0.0)
+
+    def hit(self, provider: str, now: float) -> None:
+        """The provider has refused at ``now``; an earlier report that comes late shortens no pause."""
+        self.until[provider] = max(self.until[provider], now + self.pauses[provider])
+
+    def wait(self, provider: str, now: float) -> float:
+        """Seconds until the provider may be asked."""
+        return max(0.0, self.until[provider] - now)
+
+    def first(self, providers: Sequence[str], now: float) -> tuple[str, float]:
+        """The provider that may be asked first, and in how many seconds; of equals the first named."""
+        waits = [self.wait(p, now) for p in providers]
+        at = min(range(len(waits)), key=waits.__getitem__)
+        return providers[at], waits[at]

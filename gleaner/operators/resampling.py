@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Cumulative Poisson(1) probabilities: how often a row is drawn in a bootstrap replicate.
@@ -39,16 +39,55 @@ def bootstrap_difference(df: DataFrame, uid: str, group: Column, value: Column,
     return one.crossJoin(F.broadcast(span)).select(*[F.round(c, 6).alias(c) for c in ("difference", "low", "high")], "reps")
 
 
-def permutation_test(df: DataFrame, uid: str, group: Column, value: Column, reps: int, seed: int = 0) -> DataFrame:
+def permutation_test(df: DataFrame, uid: str, group: Column, value: Column, reps: int, seed: int = 0, cluster: str | None = None) -> DataFrame:
     """The difference of means and the share of ``reps`` relabelings with one at least as far from 0 (both plus one).
 
-    A relabeling gives the group's number of labels to the rows that come first in its own order.
+    A relabeling gives each row the group's label by a draw, with the group's share of the rows as its chance; with
+    ``cluster`` the share of the row's own cluster, so that what clusters differ in stays. Sums are taken on the map side:
+    rows are neither sorted nor moved.
     """
-    rows = df.filter(value.isNotNull()).select(F.col(uid).alias("u"), group.alias("g"), value.cast("double").alias("x"))
-    whole = rows.agg(F.count_if("g").alias("n1"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.when(F.col("g"), F.col("x")).otherwise(0.0)).alias("s1"))
-    gap = lambda s1: s1 / F.col("n1") - (F.col("s") - s1) / (F.col("n") - F.col("n1"))
-    order = Window.partitionBy("rep").orderBy(F.xxhash64("u", "rep", F.lit(seed)), "u")
-    drawn = rows.select("u", "x", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("r", F.row_number().over(order))
-    sums = drawn.crossJoin(F.broadcast(whole)).filter("r <= n1").groupBy("rep", "n1", "n", "s", "s1").agg(F.sum("x").alias("p1"))
-    out = sums.select(gap(F.col("s1")).alias("difference"), (F.abs(gap(F.col("p1"))) >= F.abs(gap(F.col("s1"))) - 1e-12).alias("far"))
-    return out.groupBy(F.round("difference", 6).alias("difference")).agg(F.count(F.lit(1)).alias("reps"), F.round((F.count_if("far") + 1) / (F.count(F.lit(1)) + 1), 6).alias("p"))
+    held = [F.col(cluster).alias("c")] if cluster else [F.lit(0).alias("c")]
+    rows = df.filter(value.isNotNull()).select(F.col(uid).alias("u"), *held, group.alias("g"), value.cast("double").alias("x"))
+    chances = rows.groupBy("c").agg(F.avg(F.col("g").cast("int")).alias("chance"))
+    rows = rows.join(chances if cluster else F.broadcast(chances), "c")  # one row without clusters
+    one = rows.agg((F.avg(F.when(F.col("g"), F.col("x"))) - F.avg(F.when(~F.col("g"), F.col("x")))).alias("difference"))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("l", draw(F.col("u"), F.col("rep"), F.lit(seed)) < F.col("chance"))
+    gaps = drawn.groupBy("rep").agg((F.avg(F.when(F.col("l"), F.col("x"))) - F.avg(F.when(~F.col("l"), F.col("x")))).alias("d"))
+    out = gaps.crossJoin(F.broadcast(one)).withColumn("far", F.abs("d") >= F.abs("difference") - 1e-12)  # one row
+    return out.groupBy(F.round("difference", 6).alias("difference")).agg(F.count("d").alias("reps"), F.round((F.count_if("far") + 1) / (F.count("d") + 1), 6).alias("p"))
+
+
+def stratified_bootstrap(df: DataFrame, uid: str, stratum: str, value: Column, reps: int, seed: int = 0) -> DataFrame:
+    """The mean, each stratum weighing as its share of the rows, and its 95 % interval over ``reps`` replicates in which
+    every stratum is drawn by itself."""
+    rows = df.filter(value.isNotNull() & F.col(stratum).isNotNull()).select(F.col(uid).alias("u"), F.col(stratum).alias("s"), value.cast("double").alias("x"))
+    sizes = rows.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(draw(F.col("u"), F.col("rep"), F.lit(seed))))
+    cells = drawn.groupBy("rep", "s").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("m")).join(sizes, "s").filter("m is not null")
+    means = cells.groupBy("rep").agg((F.sum(F.col("m") * F.col("n")) / F.sum("n")).alias("d"))
+    span = means.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count("d").alias("reps"))
+    return rows.agg(F.avg("x").alias("mean")).crossJoin(F.broadcast(span)).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "reps")  # one row each
+
+
+def did_interval(df: DataFrame, uid: str, treated: Column, later: Column, value: Column, reps: int, seed: int = 0) -> DataFrame:
+    """The difference in differences of means, and its 95 % interval over ``reps`` replicates."""
+    rows = df.filter(value.isNotNull()).select(F.col(uid).alias("u"), treated.alias("t"), later.alias("l"), value.cast("double").alias("x"))
+
+    def did(mean) -> Column:
+        t, l = F.col("t"), F.col("l")  # noqa: E741
+        return (mean(t & l) - mean(t & ~l)) - (mean(~t & l) - mean(~t & ~l))
+
+    one = rows.agg(did(lambda c: F.avg(F.when(c, F.col("x")))).alias("did"))
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("w", poisson_weight(draw(F.col("u"), F.col("rep"), F.lit(seed))))
+    weighed = lambda c: F.try_divide(F.sum(F.when(c, F.col("w") * F.col("x"))), F.sum(F.when(c, F.col("w"))))
+    span = drawn.groupBy("rep").agg(did(weighed).alias("d")).agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.count("d").alias("reps"))
+    return one.crossJoin(F.broadcast(span)).select(*[F.round(c, 6).alias(c) for c in ("did", "low", "high")], "reps")  # one row each
+
+
+def jackknife(df: DataFrame, cluster: str, value: Column) -> DataFrame:
+    """The mean, its standard error by leaving out one cluster at a time, and the clusters: from a row for each cluster."""
+    parts = df.filter(value.isNotNull() & F.col(cluster).isNotNull()).groupBy(cluster).agg(F.sum(value.cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
+    whole = parts.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("k"))
+    left = parts.crossJoin(F.broadcast(whole)).withColumn("m", F.try_divide(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")))  # one row
+    out = left.agg(F.max(F.col("all_s") / F.col("all_n")).alias("mean"), F.var_pop("m").alias("v"), F.max("k").alias("clusters"))
+    return out.select(F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("v") * (F.col("clusters") - 1)), 6).alias("se"), "clusters")

@@ -39,18 +39,57 @@ def fisher_interval(r: Column, n: Column, z: float = Z95) -> tuple[Column, Colum
     return F.tanh(F.atanh(r) - half), F.tanh(F.atanh(r) + half)
 
 
-def average_rank(value: str, keys: Sequence[str] = ()) -> Column:
-    """Ranks from 1, ties sharing their mean rank."""
-    group = list(keys) or [F.lit(0)]
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (ties - 1) / 2
+def prefix_sums(df: DataFrame, order: str, values: Sequence[str], keys: Sequence[str] = (), parts: int = 64) -> DataFrame:
+    """``df`` with the sum of each of ``values`` over the rows before (``_before``) and over all rows (``_all``) of its key.
+
+    ``order`` is a numeric column, distinct within a key. Rows are dealt into ranges of it by approximate quantiles, summed
+    up within a range and over the few ranges, so that no task sees a whole key.
+    """
+    edges = sorted(set(df.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
+    part = F.lit(0)
+    if edges:
+        part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order)))
+    rows = df.withColumn("_part", part)
+    totals = rows.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_part").alias("_q"),
+        *[F.coalesce(F.sum(f"_{v}").over(before), F.lit(0)).alias(f"_base_{v}") for v in values],
+        *[F.sum(f"_{v}").over(group).alias(f"{v}_all") for v in values],
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_in_{v}") for v in values])
+    same = F.col("_part") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    out = rows.join(totals, same)
+    return out.select(*df.columns, *[(F.col(f"_in_{v}") + F.col(f"_base_{v}")).alias(f"{v}_before") for v in values], *[f"{v}_all" for v in values])
+
+
+def average_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value, the number of its rows (c) and their rank from 1, ties sharing their mean rank."""
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    return prefix_sums(counts, value, ["c"], keys).select(*keys, value, "c", (F.col("c_before") + (F.col("c") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str]) -> DataFrame:
-    """Spearman's rank correlation per group; null where a side is constant."""
-    ranked = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = ranked.withColumn("_rx", average_rank(x, keys)).withColumn("_ry", average_rank(y, keys))
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.round(safe_corr("_rx", "_ry"), 6).alias("rho"))
+    """Spearman's rank correlation per group; null where a side is constant. Equal pairs are counted before they meet their ranks."""
+    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_n"))
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    for c, r in ((x, "_rx"), (y, "_ry")):
+        ranks = average_ranks(rows, c, keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(c).alias("_v"), F.col("rank").alias(r))
+        same = F.col(c) == F.col("_v")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        cells = cells.join(ranks, same).drop("_v", *[f"_k_{k}" for k in keys])
+    n, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
+    sums = cells.groupBy(*keys).agg(F.sum(n).alias("n"), F.sum(n * rx * ry).alias("xy"), F.sum(n * rx).alias("sx"), F.sum(n * ry).alias("sy"), F.sum(n * rx * rx).alias("xx"), F.sum(n * ry * ry).alias("yy"))
+    m = F.col("n")
+    vx, vy = F.col("xx") - F.col("sx") * F.col("sx") / m, F.col("yy") - F.col("sy") * F.col("sy") / m
+    rho = F.when((vx > 1e-9) & (vy > 1e-9), (F.col("xy") - F.col("sx") * F.col("sy") / m) / F.sqrt(vx * vy))
+    return sums.select(*keys, "n", F.round(rho, 6).alias("rho"))
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -86,6 +125,11 @@ def minimum_effect(n1: Column, n2: Column, p: Column, z_alpha: float = Z95, z_po
     return (z_alpha + z_power) * F.sqrt(p * (1 - p) * (1 / n1 + 1 / n2))
 
 
+def minimum_mean_effect(n1: Column, n2: Column, sd: Column, z_alpha: float = Z95, z_power: float = 0.8416212335729143) -> Column:
+    """The smallest difference of means that is found with the given power, for values of one standard deviation."""
+    return (z_alpha + z_power) * sd * F.sqrt(1 / n1 + 1 / n2)
+
+
 def signal_flag(ratio: Column) -> Column:
     return F.when(F.abs(ratio) >= 2, "strong").when(F.abs(ratio) >= 1, "moderate").otherwise("weak")
 
@@ -106,8 +150,10 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def rank_sum(df: DataFrame, value: str, group: Column, keys: Sequence[str]) -> DataFrame:
     """Mann and Whitney's U of the rows where ``group`` holds against the others, its z and the share of wins."""
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, group.alias("_g")).withColumn("_r", average_rank(value, keys))
-    out = rows.groupBy(*keys).agg(F.sum(F.when(F.col("_g"), F.col("_r"))).alias("rs"), F.count_if("_g").alias("n1"), F.count_if(~F.col("_g")).alias("n2"))
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, group.alias("_g"))
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), F.count_if("_g").alias("a"))
+    ranked = prefix_sums(counts, value, ["c"], keys).withColumn("_r", F.col("c_before") + (F.col("c") + 1) / 2)
+    out = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("a") > 0, F.col("a") * F.col("_r"))).alias("rs"), F.sum("a").alias("n1"), F.sum(F.col("c") - F.col("a")).alias("n2"))
     n1, n2 = F.col("n1"), F.col("n2")
     out = out.withColumn("u", F.col("rs") - n1 * (n1 + 1) / 2)
     return out.select(*keys, "n1", "n2", F.round("u", 1).alias("u"), F.round(F.try_divide(F.col("u") - n1 * n2 / 2, F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12)), 6).alias("z"), F.round(F.try_divide(F.col("u"), n1 * n2), 6).alias("auc"))
@@ -116,10 +162,9 @@ def rank_sum(df: DataFrame, value: str, group: Column, keys: Sequence[str]) -> D
 def kolmogorov(df: DataFrame, value: str, group: Column) -> DataFrame:
     """The largest distance between the distribution functions of two groups."""
     steps = df.filter(F.col(value).isNotNull()).select(F.col(value).alias("v"), group.alias("g")).groupBy("v").agg(F.count_if("g").alias("a"), F.count_if(~F.col("g")).alias("b"))
-    run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    gap = F.abs(F.sum("a").over(run) / F.sum("a").over(whole) - F.sum("b").over(run) / F.sum("b").over(whole))
-    return steps.select(gap.alias("d")).agg(F.round(F.max("d"), 6).alias("ks"))
+    upto = lambda c: (F.col(f"{c}_before") + F.col(c)) / F.col(f"{c}_all")
+    gap = F.abs(upto("a") - upto("b"))
+    return prefix_sums(steps, "v", ["a", "b"]).select(gap.alias("d")).agg(F.round(F.max("d"), 6).alias("ks"))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, name: str = "q") -> DataFrame:
@@ -193,6 +238,14 @@ def term_counts(df: DataFrame, words: Column, corpus: Column) -> DataFrame:
     return df.select(F.explode(words).alias("term"), corpus.alias("_c")).groupBy("term").agg(F.count_if("_c").alias("a"), F.count_if(~F.col("_c")).alias("b"))
 
 
+def share_delta(df: DataFrame, terms: str, later: Column) -> DataFrame:
+    """term, before, after (rows of each era with it, occurrences counted) and delta, the change of the share of rows."""
+    whole = df.agg(F.count_if(~later).alias("_a"), F.count_if(later).alias("_b"))
+    counts = df.select(later.alias("_l"), F.explode(terms).alias("term")).groupBy("term").agg(F.count_if(~F.col("_l")).alias("before"), F.count_if("_l").alias("after"))
+    delta = F.try_divide(F.col("after"), F.col("_b")) - F.try_divide(F.col("before"), F.col("_a"))
+    return counts.crossJoin(F.broadcast(whole)).select("term", "before", "after", F.round(delta, 6).alias("delta"))  # one row
+
+
 def log_odds(counts: DataFrame, alpha: float = 0.01) -> DataFrame:
     """Log-odds of each term between two corpora with a Dirichlet prior (Monroe et al., 2008) and their z-scores."""
     whole = counts.agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.count(F.lit(1)).alias("terms"))
@@ -214,3 +267,67 @@ def jensen_shannon(counts: DataFrame) -> DataFrame:
 def regression(x: Column, y: Column) -> list[Column]:
     """Slope, intercept and r squared of a least-squares line as aggregates."""
     return [F.round(F.regr_slope(y, x), 6).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2")]
+
+
+def robust_regression(df: DataFrame, x: Column, y: Column, keys: Sequence[str]) -> DataFrame:
+    """Per group the slope of a least-squares line and its HC3 standard error, each residual divided by 1 minus its leverage."""
+    rows = df.filter(x.isNotNull() & y.isNotNull()).select(*keys, x.cast("double").alias("x"), y.cast("double").alias("y"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_slope("y", "x").alias("b"), F.regr_sxx("y", "x").alias("sxx"))
+    both = rows.join(sums, list(keys))
+    d = F.col("x") - F.col("mx")
+    e = (F.col("y") - F.col("my") - F.col("b") * d) / (1 - 1 / F.col("n") - d * d / F.col("sxx"))
+    out = both.groupBy(*keys, "n", "b", "sxx").agg(F.sum(d * d * e * e).alias("m"))
+    return out.select(*keys, "n", F.round("b", 6).alias("slope"), F.round(F.sqrt("m") / F.col("sxx"), 6).alias("hc3"))
+
+
+def kendall(df: DataFrame, x: str, y: str, most: int = 2000) -> DataFrame:
+    """Kendall's tau-b of two columns with up to ``most`` values each; more raise an error.
+
+    Pairs are counted from the table of cells by sums over smaller rows and smaller and larger columns; rows never meet.
+    """
+    cells = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    xs, ys = cells.select("x").distinct(), cells.select("y").distinct()
+    if max(xs.count(), ys.count()) > most:
+        raise ValueError(f"over {most} values: bin them first")
+    grid = xs.crossJoin(F.broadcast(ys)).join(cells, ["x", "y"], "left").fillna(0, ["c"])  # at most ``most`` by ``most`` cells
+    above = Window.partitionBy("y").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("a", F.coalesce(F.sum("c").over(above), F.lit(0)))
+    row = Window.partitionBy("x").orderBy("y")
+    less, more = row.rowsBetween(Window.unboundedPreceding, -1), row.rowsBetween(1, Window.unboundedFollowing)
+    grid = grid.withColumn("up", F.coalesce(F.sum("a").over(less), F.lit(0))).withColumn("down", F.coalesce(F.sum("a").over(more), F.lit(0)))
+    pairs = lambda c: F.sum(c * (c - 1) / 2)
+    score = grid.agg(F.sum(F.col("c") * (F.col("up") - F.col("down"))).alias("s"), F.sum("c").alias("n"))
+    tx = cells.groupBy("x").agg(F.sum("c").alias("t")).agg(pairs(F.col("t")).alias("tx"))
+    ty = cells.groupBy("y").agg(F.sum("c").alias("t")).agg(pairs(F.col("t")).alias("ty"))
+    out = score.crossJoin(F.broadcast(tx)).crossJoin(F.broadcast(ty)).withColumn("p", F.col("n") * (F.col("n") - 1) / 2)  # one row each
+    return out.select("n", F.round(F.try_divide(F.col("s"), F.sqrt((F.col("p") - F.col("tx")) * (F.col("p") - F.col("ty")))), 6).alias("tau"))
+
+
+def class_terms(df: DataFrame, words: Column, of: Column, n: int) -> DataFrame:
+    """The ``n`` terms of each class that weigh most by class-based TF-IDF: occurrences in the class times ln(1 + mean words
+    of a class / occurrences in all)."""
+    tf = df.select(of.alias("class"), F.explode(words).alias("term")).filter("class is not null").groupBy("class", "term").agg(F.count(F.lit(1)).alias("tf"))
+    whole = tf.groupBy("term").agg(F.sum("tf").alias("f"))
+    mean = tf.agg((F.sum("tf") / F.count_distinct("class")).alias("a"))
+    rows = tf.join(whole, "term").crossJoin(F.broadcast(mean)).withColumn("w", F.col("tf") * F.ln(1 + F.col("a") / F.col("f")))  # one row
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("w"), "term"))
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= n).select("class", "rank", "term", F.round("w", 4).alias("weight"))
+
+
+def coherence(df: DataFrame, uid: str, words: Column, topics: DataFrame) -> DataFrame:
+    """For each topic (topic, term; few terms each) the mean normalised pointwise mutual information of its pairs of terms
+    over the documents, -1 for pairs that never meet, and the diversity: the share of its terms that no other topic has."""
+    n = df.count()
+    wanted = topics.select("term").distinct()
+    held = df.select(F.col(uid).alias("d"), F.explode(F.array_distinct(words)).alias("term")).join(F.broadcast(wanted), "term")
+    single = held.groupBy("term").agg(F.count(F.lit(1)).alias("k"))
+    inside = held.join(F.broadcast(topics.select("topic", "term").distinct()), "term").groupBy("d", "topic").agg(F.array_sort(F.collect_set("term")).alias("t"))
+    i = F.explode(F.expr("flatten(transform(t, (a, i) -> transform(slice(t, i + 2, size(t)), b -> struct(a AS a, b AS b))))"))
+    together = inside.select("topic", i.alias("p")).groupBy("topic", "p.a", "p.b").agg(F.count(F.lit(1)).alias("both"))
+    listed = topics.select("topic", "term").distinct().join(single, "term", "left").fillna(0, ["k"])
+    left, right = (listed.select("topic", F.col("term").alias(c), F.col("k").alias(f"k{c}")) for c in ("a", "b"))
+    pairs = left.join(right, "topic").filter("a < b").join(together, ["topic", "a", "b"], "left").fillna(0, ["both"])
+    p, pa, pb = F.col("both") / n, F.col("ka") / n, F.col("kb") / n
+    npmi = F.when(F.col("both") == 0, -1.0).when(F.col("both") == n, 1.0).otherwise(F.ln(p / (pa * pb)) / -F.ln(p))
+    alone = topics.select("topic", "term").distinct().withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("term"))).groupBy("topic").agg(F.avg((F.col("m") == 1).cast("int")).alias("diversity"))
+    return pairs.groupBy("topic").agg(F.avg(npmi).alias("npmi")).join(alone, "topic").select("topic", F.round("npmi", 6).alias("npmi"), F.round("diversity", 6).alias("diversity"))

@@ -115,3 +115,16 @@ def assignment(cost: np.ndarray) -> list[int]:
         if owner[j]:
             out[owner[j] - 1] = j - 1
     return out
+
+
+def leave_one_out(pairs: Sequence[tuple[int, int, np.ndarray]]) -> list[tuple[int, int, float, float]]:
+    """For each pair (a, b, difference): the cosine of the axis without it and the axis of all, and the part of the pair's
+    own difference along the axis that it had no say in."""
+    whole = difference_axis(np.array([d for *_, d in pairs]))
+    out = []
+    for i, (a, b, d) in enumerate(pairs):
+        rest = np.array([x for j, (*_, x) in enumerate(pairs) if j != i])
+        axis = difference_axis(rest) if len(rest) else whole
+        axis = axis if axis @ whole >= 0 else -axis
+        out.append((a, b, round(float(axis @ whole), 9), round(float(d @ axis / max(np.linalg.norm(d), 1e-300)), 9)))
+    return out

@@ -112,16 +112,11 @@ def rule_against_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TERMS = """
-    WITH w AS (SELECT lang = 'en' AS c, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents WHERE n_chars < 2000), t AS (SELECT term, count(*) FILTER (WHERE c) AS a, count(*) FILTER (WHERE NOT c) AS b FROM w GROUP BY term)"""
+    WITH w AS (SELECT lang = 'en' AS c, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS term FROM documents), t AS (SELECT term, count(*) FILTER (WHERE c) AS a, count(*) FILTER (WHERE NOT c) AS b FROM w GROUP BY term)"""
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Of documents under 2000 characters only, as _TERMS says."""
-    return _all_counts(load(spark, sf, "documents").filter("n_chars < 2000"))
-
-
-def _all_counts(docs: DataFrame) -> DataFrame:
-    return st.term_counts(docs, tx.tokens(F.col("text"), "[a-z]{3,}"), F.col("lang") == "en")
+    return st.term_counts(load(spark, sf, "documents"), tx.tokens(F.col("text"), "[a-z]{3,}"), F.col("lang") == "en")
 
 
 @query(_TERMS + """, n AS (SELECT sum(a) AS sa, sum(b) AS sb, count(*) * 0.01 AS pr FROM t), x AS (SELECT term, a, b, a + 0.01 AS x, b + 0.01 AS y, sa, sb, pr FROM t CROSS JOIN n),
@@ -131,11 +126,6 @@ def distinguishing_terms(spark: SparkSession, sf: str) -> DataFrame:
     return st.log_odds(_counts(spark, sf)).filter("a + b >= 50")
 
 
-@query(query.sql["distinguishing_terms"].replace(" WHERE n_chars < 2000", ""))
-def distinguishing_terms_all(spark: SparkSession, sf: str) -> DataFrame:
-    return st.log_odds(_all_counts(load(spark, sf, "documents"))).filter("a + b >= 50")
-
-
 @query(_TERMS + """, n AS (SELECT sum(a) AS sa, sum(b) AS sb FROM t), p AS (SELECT a, b, a / sa AS p, b / sb AS q FROM t CROSS JOIN n)
     SELECT round(sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2, 6) AS jsd,
            count(*) FILTER (WHERE a = 0 AND b > 0) AS only_b, count(*) FILTER (WHERE b = 0 AND a > 0) AS only_a FROM p""")
@@ -143,11 +133,6 @@ def term_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return st.jensen_shannon(_counts(spark, sf))
 
 
-@query(query.sql["term_divergence"].replace(" WHERE n_chars < 2000", ""))
-def term_divergence_all(spark: SparkSession, sf: str) -> DataFrame:
-    return st.jensen_shannon(_all_counts(load(spark, sf, "documents")))
-
-
 @query("""
     SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1""")
 def regression_lines(spark: SparkSession, sf: str) -> DataFrame:

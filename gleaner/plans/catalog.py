@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gleaner.plans import analytics, models, postings, relational, spaces, streams, texts, units
+from gleaner.plans import analytics, extras, models, occupations, postings, relational, spaces, streams, studies, texts, units
 from gleaner.plans.registry import Query
 
 FLAGSHIP = "conditional_rates"
 
-_MODULES = (relational, texts, analytics, postings, streams, models, units, spaces)
+_MODULES = (relational, texts, analytics, postings, streams, models, units, spaces, occupations, extras, studies)
 
 
 def queries() -> dict[str, Query]:

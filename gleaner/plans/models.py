@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, Normalizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -117,20 +117,11 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM documents WHERE n_chars < 1500), f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT t, count(*) AS df FROM f GROUP BY t), n AS (SELECT count(*) AS n FROM documents WHERE n_chars < 1500)
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS t FROM documents), f AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY ALL), d AS (SELECT t, count(*) AS df FROM f GROUP BY t), n AS (SELECT count(*) AS n FROM documents)
     SELECT doc_id, t AS term, round(tf * ln((n + 1) / (df + 1)), 6) AS weight FROM f JOIN d USING (t) CROSS JOIN n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf * ln((n + 1) / (df + 1)) DESC, t) <= 3""")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
-    """Of documents under 1500 characters only, as its SQL says."""
-    return _tfidf(load(spark, sf, "documents").filter("n_chars < 1500"))
-
-
-@query(query.sql["tfidf_terms"].replace(" WHERE n_chars < 1500", ""))
-def tfidf_terms_all(spark: SparkSession, sf: str) -> DataFrame:
-    return _tfidf(load(spark, sf, "documents"))
-
-
-def _tfidf(docs: DataFrame) -> DataFrame:
-    """The three terms of each document of ``docs`` that weigh most."""
+    """The three terms of each document that weigh most."""
+    docs = load(spark, sf, "documents")
     docs = docs.select("doc_id", tx.tokens(F.col("text"), "[a-z]{2,}").alias("w"))
     words = docs.select("doc_id", F.explode_outer("w").alias("term")).filter("term is not null")  # explode() would match the pattern twice more
     tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -145,8 +136,8 @@ def _tfidf(docs: DataFrame) -> DataFrame:
 def text_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """TF-IDF, length 1, k-means: the share of each language per cluster."""
     docs = load(spark, sf, "documents").select("doc_id", "lang", tx.tokens(F.col("text"), "[a-zà-ÿ]{2,}").alias("w"))
-    counted = CountVectorizer(inputCol="w", outputCol="c", vocabSize=2000, minDF=2).fit(docs).transform(docs)
-    weighted = Normalizer(inputCol="i", outputCol="features").transform(IDF(inputCol="c", outputCol="i").fit(counted).transform(counted))
+    counted = HashingTF(inputCol="w", outputCol="c", numFeatures=1 << 16).transform(docs)  # every term counts, at one of these places
+    weighted = Normalizer(inputCol="i", outputCol="features").transform(IDF(inputCol="c", outputCol="i", minDocFreq=2).fit(counted).transform(counted))
     found = KMeans(k=4, seed=1, maxIter=10).fit(weighted).transform(weighted)
     return found.groupBy("prediction", "lang").agg(F.count(F.lit(1)).alias("n"))
 

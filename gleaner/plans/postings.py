@@ -86,30 +86,47 @@ def balanced_frame(spark: SparkSession, sf: str) -> DataFrame:
     return fr.select_balanced(frame, "doc_id", "cell", "lang", two_each).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-_PLACES = ["Seattle, WA", "Austin, Texas", "New Jersey, United States", "Remote", "Paris, France", "London, England, United Kingdom", "United States", "ohio", "Remote, CA", ""]
-_PARSED = [("Seattle", "WA", "US"), ("Austin", "TX", "US"), (None, "NJ", "US"), (None, None, None), ("Paris", None, "France"), ("London", None, "United Kingdom"), (None, None, "US"), (None, "OH", "US"), ("Remote", "CA", "US"), (None, None, None)]
+_STATES = list(ps.STATES.items())
 
 
-def _sql(x: str | None) -> str:
-    return "NULL" if x is None else f"'{x}'"
-
-
-@query(
-    "SELECT s_suppkey, p.c AS city, p.s AS state, p.k AS country, s_suppkey % 10 IN (3, 8) AS remote FROM supplier JOIN (VALUES "
-    + ", ".join(f"({i}, {_sql(a)}, {_sql(b)}, {_sql(c)})" for i, (a, b, c) in enumerate(_PARSED))
-    + ") p(i, c, s, k) ON s_suppkey % 10 = p.i"
-)
+@query(f"""
+    WITH c AS (SELECT c_custkey, c_custkey % 11 AS k, list_extract({[n.title() for n, _ in _STATES]!r}, (c_nationkey + c_custkey // 11) % {len(_STATES)} + 1) AS name,
+               list_extract({[a for _, a in _STATES]!r}, (c_nationkey + c_custkey // 11) % {len(_STATES)} + 1) AS code, 'City' || c_nationkey AS town, 'NATION_' || c_nationkey AS land FROM customer)
+    SELECT c_custkey, CASE WHEN k IN (0, 1, 4, 5) THEN town WHEN k = 8 THEN 'Remote' WHEN k = 10 THEN town END AS city,
+           CASE WHEN k IN (0, 1, 2, 7, 8) THEN code END AS state,
+           CASE WHEN k IN (0, 1, 2, 6, 7, 8) THEN 'US' WHEN k IN (4, 5) THEN land END AS country, k IN (3, 8) AS remote FROM c""")
 def parsed_places(spark: SparkSession, sf: str) -> DataFrame:
-    raw = F.element_at(F.array(*[F.lit(x) for x in _PLACES]), (F.col("s_suppkey") % 10 + 1).cast("int"))
-    return load(spark, sf, "supplier").select("s_suppkey", ps.place(raw).alias("p")).select("s_suppkey", "p.city", "p.state", "p.country", "p.remote")
+    """Places written in eleven ways, with every state."""
+    at = ((F.col("c_nationkey") + F.floor(F.col("c_custkey") / 11)) % len(_STATES) + 1).cast("int")
+    name, code = (F.element_at(F.array(*map(F.lit, x)), at) for x in ([n.title() for n, _ in _STATES], [a for _, a in _STATES]))
+    town, land = F.concat(F.lit("City"), F.col("c_nationkey").cast("string")), F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string"))
+    comma = F.lit(", ")
+    forms = (
+        F.concat(town, comma, code),
+        F.concat(town, comma, name),
+        F.concat(name, F.lit(", United States")),
+        F.lit("Remote"),
+        F.concat(town, comma, land),
+        F.concat(town, F.lit(", Shire, "), land),
+        F.lit("United States"),
+        F.lower(name),
+        F.concat(F.lit("Remote, "), code),
+        F.lit(" "),
+        town,
+    )
+    raw = F.element_at(F.array(*forms), (F.col("c_custkey") % 11 + 1).cast("int"))
+    return load(spark, sf, "customer").select("c_custkey", ps.place(raw).alias("p")).select("c_custkey", "p.*")
 
 
 @query("""
-    SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'date_posted_out_of_range' WHEN 2 THEN 'scrape_date_invalid' ELSE 'scrape_date_invalid|date_posted_out_of_range' END AS flag,
-           CASE o_orderkey % 4 WHEN 0 THEN '2026-03' WHEN 1 THEN '2026-03' ELSE 'unknown' END AS period FROM orders""")
+    WITH d AS (SELECT o_orderkey, o_orderkey % 5 AS k, o_orderdate + to_days(CAST(o_orderkey % 12000 AS INTEGER)) AS seen, o_orderdate AS posted FROM orders)
+    SELECT o_orderkey, CASE WHEN w = '' THEN 'ok' ELSE w END AS flag, CASE WHEN k IN (1, 2) THEN 'unknown' ELSE strftime(seen, '%Y-%m') END AS period
+    FROM (SELECT *, concat_ws('|', CASE WHEN k = 1 THEN 'scrape_date_invalid' WHEN k <> 2 AND seen < DATE '2020-01-01' THEN 'scrape_date_out_of_range' END,
+                                   CASE WHEN k = 3 THEN 'date_posted_invalid' WHEN k <> 4 AND posted < DATE '2020-01-01' THEN 'date_posted_out_of_range' END) AS w FROM d)""")
 def date_checks(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey") % 4
-    seen, posted = F.when(k < 2, "2026-03-20").otherwise("not-a-date"), F.when(k % 2 == 1, "2019-12-31").otherwise("2026-01-05")
+    k, day = F.col("o_orderkey") % 5, F.to_date("o_orderdate")
+    seen = F.when(k == 1, "not-a-date").when(k != 2, F.date_format(F.date_add(day, (F.col("o_orderkey") % 12000).cast("int")), "yyyy-MM-dd"))
+    posted = F.when(k == 3, "2020/31/12").when(k != 4, F.date_format(day, "yyyy-MM-dd"))
     return load(spark, sf, "orders").select("o_orderkey", ps.date_flags(scrape_date=seen, date_posted=posted).alias("flag"), ps.period(F.lit("scraped"), seen, {}).alias("period"))
 
 
@@ -129,14 +146,6 @@ def description_quality(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", ps.quality(F.col("text")).alias("quality"))
 
 
-@query("""
-    SELECT level, count(*) AS n FROM (SELECT CASE c_custkey % 6 WHEN 0 THEN 'entry' WHEN 1 THEN 'director' WHEN 2 THEN 'mid-senior' WHEN 3 THEN 'mid-senior' WHEN 4 THEN 'entry' ELSE 'unknown' END AS level FROM customer) GROUP BY level""")
-def title_levels(spark: SparkSession, sf: str) -> DataFrame:
-    titles = ["Software Engineering Intern", "Director of Data", "Sr. Engineer", "Tech Lead", "Entry-level Developer", "Engineer"]
-    title = F.element_at(F.array(*[F.lit(t) for t in titles]), (F.col("c_custkey") % 6 + 1).cast("int"))
-    return load(spark, sf, "customer").groupBy(tx.first_rule(title, ps.TITLE_LEVELS, "unknown").alias("level")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""
     WITH k AS (SELECT n_name AS key, c_mktsegment AS metro, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
     t AS (SELECT *, sum(c) OVER (PARTITION BY key) AS n, row_number() OVER (PARTITION BY key ORDER BY c DESC, metro) AS r FROM k)

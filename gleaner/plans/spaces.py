@@ -17,9 +17,12 @@ query = Registry()
 LABELS = 500
 
 
-def _centres(spark: SparkSession, sf: str) -> dict[int, np.ndarray]:
-    """The centroids of the labels: a vector for each of a few labels."""
-    return {r.label: np.array(r.centroid) for r in vc.centroids(load(spark, sf, "embeddings"), ["label"], F.col("embedding")).filter("label < 16").collect()}
+def centres(spark: SparkSession, sf: str) -> dict[int, np.ndarray]:
+    """The centroids of the labels, of which there may be LABELS."""
+    found = vc.centroids(load(spark, sf, "embeddings"), ["label"], F.col("embedding")).filter("label is not null").limit(LABELS + 1).collect()
+    if len(found) > LABELS:
+        raise ValueError(f"over {LABELS} labels: their centroids are too many for one process")
+    return {r.label: np.array(r.centroid) for r in found}
 
 
 @query()
@@ -36,7 +39,7 @@ def permutation_test(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def axis_projections(spark: SparkSession, sf: str) -> DataFrame:
     """Mean projection of each label on the axis through the centroids of labels 0 and 1."""
-    c = _centres(spark, sf)
+    c = centres(spark, sf)
     axis = vc.difference_axis(np.array([c[1] - c[0]]))
     rows = load(spark, sf, "embeddings").select("label", vc.projection(F.col("embedding"), axis).alias("p"))
     return rows.groupBy("label").agg(F.round(F.avg("p"), 6).alias("mean"), F.round(F.stddev("p"), 6).alias("sd"), F.round(F.avg((F.abs("p") < 0.1).cast("int")), 6).alias("near_boundary"))
@@ -47,7 +50,7 @@ def axis_projections(spark: SparkSession, sf: str) -> DataFrame:
     c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label), a AS (SELECT c AS ca FROM c WHERE label = 0), b AS (SELECT c AS cb FROM c WHERE label = 1)
     SELECT label, round(avg(list_cosine_similarity(e, ca) - list_cosine_similarity(e, cb)), 6) AS association, count(*) AS n FROM v CROSS JOIN a CROSS JOIN b GROUP BY label""")
 def differential_association(spark: SparkSession, sf: str) -> DataFrame:
-    c = _centres(spark, sf)
+    c = centres(spark, sf)
     rows = load(spark, sf, "embeddings")
     return rows.groupBy("label").agg(F.round(F.avg(vc.differential_association(F.col("embedding"), c[0], c[1])), 6).alias("association"), F.count(F.lit(1)).alias("n"))
 

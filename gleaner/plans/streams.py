@@ -15,12 +15,19 @@ from gleaner.streaming import ingest
 query = Registry()
 
 
-def _checkpoint(spark: SparkSession) -> str:
+def _folders(spark: SparkSession) -> tuple[str, str]:
+    """New folders in the shared one: for a table and for a stream's state."""
     folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = folder or f"file://{tempfile.mkdtemp(prefix='gleaner-stream-')}"
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+    own = f"{folder}/stream-{uuid.uuid4().hex}"
+    return f"{own}/table", f"{own}/state"
+
+
+def _run(stream: DataFrame, mode: str) -> DataFrame:
+    table, state = _folders(stream.sparkSession)
+    return ingest.run_once(stream, table, mode, state)
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
@@ -31,18 +38,18 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
     SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts, count(*) AS n_obs FROM events GROUP BY user_id""")
 def streamed_lifespans(spark: SparkSession, sf: str) -> DataFrame:
-    out = ingest.run_once(ingest.lifespans(_events(spark, sf), "user_id", "ts"), f"lifespans_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    out = _run(ingest.lifespans(_events(spark, sf), "user_id", "ts"), "complete")
     return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("first_ts", "last_ts")})
 
 
 @query("""
     SELECT strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def streamed_windows(spark: SparkSession, sf: str) -> DataFrame:
-    out = ingest.run_once(ingest.windowed_counts(_events(spark, sf), "ts", "event_type", "7 days", "1 hour"), f"windows_{uuid.uuid4().hex}", "complete", _checkpoint(spark))
+    out = _run(ingest.windowed_counts(_events(spark, sf), "ts", "event_type", "7 days", "1 hour"), "complete")
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def streamed_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     stream = ingest.first_seen(_events(spark, sf), "user_id", "ts", "400 days").select("user_id")
-    return ingest.run_once(stream, f"seen_{uuid.uuid4().hex}", "append", _checkpoint(spark))
+    return _run(stream, "append")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,21 @@ def listing(spark: SparkSession, folder: str, pattern: str, skip: str = r"$^") -
     return [f"{folder}/{n}" for n in sorted(names) if re.fullmatch(pattern, n) and not re.search(skip, n)]
 
 
+def first_lines(spark: SparkSession, files: Sequence[str]) -> list[str]:
+    """The first line of each file, through Spark's file systems: no job, and no more than a buffer of each file is read."""
+
+    def first(path: str) -> str:
+        fs, hadoop = _fs(spark, path)
+        reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(hadoop), "UTF-8"))
+        try:
+            return (reader.readLine() or "").removeprefix("\ufeff")
+        finally:
+            reader.close()
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(first, files))
+
+
 @dataclass
 class Snapshots:
     rows: DataFrame
@@ -40,8 +57,8 @@ def read_snapshots(spark: SparkSession, files: Sequence[str], columns: Sequence[
     """CSV snapshots with exactly the given columns, the day from each file's name in ``scrape_date``; files of another
     width are rejected and named with their width. Only headers are read to decide."""
     accepted, rejected = [], {}
-    for f in files:
-        width = len(spark.read.option("header", True).csv(f).columns)
+    for f, header in zip(files, first_lines(spark, files), strict=True):
+        width = len(next(csv.reader([header]), []))
         if width == len(columns):
             accepted.append(f)
         else:
@@ -61,16 +78,37 @@ def conform(df: DataFrame, schema: StructType) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str, compression: str = "zstd") -> None:
-    """Writes a Parquet table beside ``path`` and puts it there when it is whole."""
+    """Writes a Parquet table beside ``path`` and puts it there when it is whole.
+
+    The old table is moved aside and goes when the new one is in its place; if that fails it is moved back. What a crash
+    leaves is one of the two at ``path``, or the old one at ``path`` + ".old": :func:`recover_table` puts it back.
+    """
     spark = df.sparkSession
     fresh = f"{path}.{uuid.uuid4().hex}.tmp"
     df.write.option("compression", compression).parquet(fresh)
     fs, target = _fs(spark, path)
     _, made = _fs(spark, fresh)
-    if fs.exists(target):
-        fs.delete(target, True)
+    recover_table(spark, path)
+    _, aside = _fs(spark, f"{path}.old")
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(made, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"{fresh} could not be moved to {path}")
+    fs.delete(aside, True)
+
+
+def recover_table(spark: SparkSession, path: str) -> None:
+    """After a crash of :func:`replace_table`: the old table is put back if no new one has come, and else deleted."""
+    fs, target = _fs(spark, path)
+    _, aside = _fs(spark, f"{path}.old")
+    if fs.exists(aside):
+        if fs.exists(target):
+            fs.delete(aside, True)
+        elif not fs.rename(aside, target):
+            raise OSError(f"{path}.old could not be moved back")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -61,7 +61,38 @@ def test_streamed_split(spark, tmp_path):
         query = ingest.split_observations(stream, "uid", "day", f"{tmp_path}/canonical", f"{tmp_path}/seen", f"{tmp_path}/checkpoint")
         query.awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/seen").collect()} == {("a", "2026-01-02"), ("b", "2026-01-02"), ("a", "2026-01-03")}
-    assert sorted(r.uid for r in spark.read.parquet(f"{tmp_path}/canonical").collect()) == ["a", "b"]
+    got = ingest.canonical_rows(spark, f"{tmp_path}/canonical", "uid", "day")
+    assert sorted((r.uid, r.day) for r in got.collect()) == [("a", "2026-01-02"), ("b", "2026-01-02")]
+
+
+def test_streamed_split_with_an_earlier_day(spark, tmp_path):
+    schema = "uid string, day string, v int"
+    for rows in ([("a", "2026-01-05", 1), ("b", "2026-01-02", 2)], [("a", "2026-01-03", 7), ("a", "2026-01-03", 4), ("b", "2026-01-09", 0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.arriving(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        ingest.split_observations(stream, "uid", "day", f"{tmp_path}/canonical", f"{tmp_path}/seen", f"{tmp_path}/checkpoint", ["v"]).awaitTermination()
+    got = ingest.canonical_rows(spark, f"{tmp_path}/canonical", "uid", "day", ["v"])
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "2026-01-03", 4), ("b", "2026-01-02", 2)]
+    assert spark.read.parquet(f"{tmp_path}/seen").count() == 4
+
+
+def test_streams_end_in_files(spark, tmp_path):
+    spark.range(10).withColumn("k", F.col("id") % 3).write.parquet(f"{tmp_path}/in")
+    stream = ingest.arriving(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema, files_per_trigger=2)
+    counts = ingest.run_once(stream.groupBy("k").count(), f"{tmp_path}/counts", "complete", f"{tmp_path}/state")
+    assert {tuple(r) for r in counts.collect()} == {(0, 4), (1, 3), (2, 3)}
+    rows = ingest.run_once(stream, f"{tmp_path}/rows", "append", f"{tmp_path}/state2")
+    assert rows.count() == 10 and "rows/batch-" in rows.inputFiles()[0]
+
+
+def test_replaced_table_survives_a_crash(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    files.replace_table(spark.range(3), path)
+    (tmp_path / "table").rename(tmp_path / "table.old")  # a crash between the two moves
+    files.recover_table(spark, path)
+    assert spark.read.parquet(path).count() == 3
+    files.replace_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not (tmp_path / "table.old").exists()
 
 
 def test_runner(spark, tmp_path):
