@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
-import zlib
 
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleaner.llm import bpe, mixing, store
+from gleaner.llm import bpe, mixing, store, toxicity
 
 
 def words(rnd, n, start="w"):
@@ -82,5 +81,64 @@ def test_mixed_words(spark, tmp_path):
     assert sorted(got) == sorted(r.doc_id for r in corpus_pipeline.mix_sources(spark, docs.repartition(3), str(tmp_path)).collect())
 
 
-def test_folds():
-    assert zlib.crc32(b"17") % 5 in range(5)
+ODD = "doc_id long, text string, source string, gone_id long, text_sha256 string, times int, score double, component_key long, rows long"
+
+
+def odd(rows):
+    return [(*r, 7, "x", 7, 0.5, 7, 7) for r in rows]
+
+
+def long(start):
+    return " ".join(f"{start}{i}" for i in range(60))
+
+
+def test_copies_are_told_apart_by_text(spark, tmp_path):
+    """One doc_id for several texts, rows that repeat each other, null ids and texts, and columns with clashing names."""
+    a, b, c = long("a"), long("b"), long("c")
+    rows = [(5, a, "s"), (5, b, "s"), (3, b, "s"), (8, c, "t"), (8, c, "t"), (None, c, "t"), (None, "lone words here", None), (1, None, "s"), (2, "", "s"), (4, None, None), (4, None, None)]
+    docs = spark.createDataFrame(odd(rows), ODD)
+    out = corpus_pipeline.drop_copies(spark, docs, str(tmp_path))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    # Of equal texts (null and empty are equal) the row with the largest doc_id.
+    assert [x for x in got if x[1]] == sorted([(5, a), (5, b), (8, c), (None, "lone words here")], key=str) and [d for d, t in got if not t] == [4]
+    near = [(5, a, "s"), (5, b, "s"), (3, b + " tail", "s"), (8, c, "t"), (8, c, "t"), (None, c + " tail", "t"), (None, "lone words here", None), (1, None, "s"), (2, "", "s"), (4, None, None)]
+    docs = spark.createDataFrame(odd(near), ODD)
+    out = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    assert got == sorted([(5, a), (3, b + " tail"), (8, c), (None, "lone words here"), (1, None), (2, ""), (4, None)], key=str)
+
+
+def test_mixing_of_odd_rows(spark, tmp_path):
+    rows = [(i % 40 or None, " ".join(f"w{k}" for k in range(20 + i % 7)), f"s{i % 2}" if i % 5 else None) for i in range(200)] + [(900, None, "s0"), (901, " ", None)]
+    docs = spark.createDataFrame(odd(rows), ODD)
+    out = corpus_pipeline.mix_sources(spark, docs, str(tmp_path)).collect()
+    mixed = mixing.mix(docs).sources.collect()
+    words_ = lambda s: sum(len(r.text.split()) for r in out if r.source == s)
+    for r in mixed:
+        share = max(sum(len((t or "").split()) for d, t, x in rows if x == r.source and d == k) for k in {d for d, *_ in rows})
+        assert abs(words_(r.source) - r.target) <= 2 * share
+    assert not {900, 901} & {r.doc_id for r in out}
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([], ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.collect() == []
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert out.columns == docs.columns
+
+
+def test_scores_stand_in_their_column(spark):
+    docs = spark.createDataFrame(odd([(1, "scum and clown", "s"), (1, "scum and clown", "s"), (None, None, None), (2, "kind words", None)]), ODD)
+    labels = [(i, int(i % 2)) for i in range(60)]
+    known = spark.createDataFrame([(i, "scum clown here" if t else f"kind words {i}") for i, t in labels], "doc_id long, text string")
+    model = toxicity.train(known, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = toxicity.with_scores(docs, model)
+    assert out.columns == [c for c in docs.columns if c != "score"] + ["score"]
+    got = out.collect()
+    assert [r.score >= 0.5 for r in sorted(got, key=lambda r: (r.text or ""))] == [False, False, True, True]
+    assert toxicity.with_scores(docs.limit(0), model).collect() == []
