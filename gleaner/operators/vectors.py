@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Groups of which all pairs are compared.
+GROUPS = 2000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -33,15 +38,14 @@ def constant(v: Sequence[float]) -> Column:
 
 
 def sums(df: DataFrame, keys: Sequence[str], vector: Column) -> DataFrame:
-    """Component sums and rows per group: rows (component, sum, n), summed on the map side first."""
-    rows = df.select(*keys, F.posexplode(vector.cast("array<double>")).alias("i", "x"))
-    return rows.groupBy(*keys, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    """keys, n and the vector sum of each group: one running vector per group and task. Rows without a vector do not count."""
+    rows = df.filter(vector.isNotNull()).select(*keys, array_to_vector(vector.cast("array<double>")).alias("_v"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), vector_to_array(Summarizer.sum(F.col("_v"))).alias("sum"))
 
 
 def centroids(df: DataFrame, keys: Sequence[str], vector: Column) -> DataFrame:
     """The mean vector and the number of rows of each group."""
-    parts = sums(df, keys, vector).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", (F.col("s") / F.col("n")).alias("m")))).alias("p"), F.max("n").alias("n"))
-    return parts.select(*keys, "n", F.col("p.m").alias("centroid"))
+    return sums(df, keys, vector).select(*keys, "n", F.transform("sum", lambda x: x / F.col("n")).alias("centroid"))
 
 
 def spread(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -53,15 +57,17 @@ def spread(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def centroid_similarity(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """The cosine of every pair of group centroids (a < b)."""
-    c = centroids(df, [key], F.col(vector))
+    """The cosine of every pair of group centroids (a < b); over GROUPS groups raise an error, as their pairs are the result."""
+    c = centroids(df, [key], F.col(vector)).filter(F.col(key).isNotNull())
+    if c.count() > GROUPS:
+        raise ValueError(f"over {GROUPS} groups: their pairs are too many")
     a, b = c.select(F.col(key).alias("a"), F.col("centroid").alias("_a")), c.select(F.col(key).alias("b"), F.col("centroid").alias("_b"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("cosine"))
+    return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("_a"), F.col("_b")), 6).alias("cosine"))
 
 
 def mean_pairwise_cosine(df: DataFrame, key: str, vector: str, least: int = 2) -> DataFrame:
     """The mean cosine over all pairs of a group without forming pairs: of unit vectors, (|sum|^2 - n) / (n (n - 1))."""
-    s = sums(df.withColumn("_u", unit(F.col(vector))), [key], F.col("_u")).groupBy(key).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.max("n").alias("n"))
+    s = sums(df.withColumn("_u", unit(F.col(vector))), [key], F.col("_u")).select(key, "n", dot(F.col("sum"), F.col("sum")).alias("q"))
     return s.filter(F.col("n") >= least).select(key, "n", F.round((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("mean_cosine"))
 
 
