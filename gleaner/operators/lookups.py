@@ -70,3 +70,18 @@ def with_fallback(df: DataFrame, table: DataFrame, keys: Sequence[str], fewer: S
     out = df.join(exact, list(keys), "left").join(alone, list(fewer), "left")
     how = F.when(F.col("_exact").isNotNull(), "exact").when(F.col("_alone").isNotNull(), "fallback").otherwise("none")
     return out.select(*df.columns, F.coalesce("_exact", "_alone").alias(value), how.alias(name))
+
+
+def metro_reference(cities: DataFrame, titles: DataFrame, geocoded: DataFrame, counties: DataFrame, wider: DataFrame) -> DataFrame:
+    """city, state, metro and confidence for each of ``cities`` (city, state).
+
+    By the title of a metro (medium; ``titles``: city, state, metro), else by the county that a geocoder found (high;
+    ``geocoded``: city, state, county; ``counties``: county, metro), else by a wider title (medium; ``wider``); else low.
+    A table with several metros for a key takes the smallest.
+    """
+    keys = ["city", "state"]
+    one = lambda t, name: t.groupBy(*keys).agg(F.min("metro").alias(name))
+    by_county = geocoded.join(counties.groupBy("county").agg(F.min("metro").alias("metro")), "county")
+    out = cities.join(one(titles, "_t"), keys, "left").join(one(by_county, "_c"), keys, "left").join(one(wider, "_w"), keys, "left")
+    level = F.when(F.col("_t").isNotNull(), "medium").when(F.col("_c").isNotNull(), "high").when(F.col("_w").isNotNull(), "medium").otherwise("low")
+    return out.select(*keys, F.coalesce("_t", "_c", "_w").alias("metro"), level.alias("confidence"))

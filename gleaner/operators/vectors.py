@@ -10,6 +10,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.resampling import draw
+
 #: Groups of which all pairs are compared.
 GROUPS = 2000
 
@@ -134,3 +136,17 @@ def leave_one_out(pairs: Sequence[tuple[int, int, np.ndarray]]) -> list[tuple[in
         axis = axis if axis @ whole >= 0 else -axis
         out.append((a, b, round(float(axis @ whole), 9), round(float(d @ axis / max(np.linalg.norm(d), 1e-300)), 9)))
     return out
+
+
+def drift_test(df: DataFrame, uid: str, key: str, later: Column, vector: str, reps: int, seed: int = 0) -> DataFrame:
+    """Per group the distance between the centroids of two eras, and the share of ``reps`` relabelings of the group's rows,
+    each drawn with the group's share of later rows as its chance, with one at least as large (both plus one)."""
+    rows = df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(uid).alias("u"), F.col(key).alias("k"), later.alias("l"), F.col(vector).alias("v"))
+    rows = rows.join(rows.groupBy("k").agg(F.avg(F.col("l").cast("int")).alias("chance")), "k")
+    reps_ = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps))))  # replicate 0 is what was seen
+    drawn = F.when(F.col("rep") == 0, F.col("l")).otherwise(draw(F.col("u"), F.col("rep"), F.lit(seed)) < F.col("chance"))
+    both = centroids(reps_.withColumn("l", drawn), ["k", "rep", "l"], F.col("v")).groupBy("k", "rep").agg(F.max(F.when(F.col("l"), F.col("centroid"))).alias("a"), F.max(F.when(~F.col("l"), F.col("centroid"))).alias("b"))
+    gaps = both.select("k", "rep", norm(F.zip_with("a", "b", lambda x, y: x - y)).alias("d"))
+    seen = gaps.filter("rep = 0").select("k", F.col("d").alias("drift"))
+    out = gaps.filter("rep > 0").join(seen, "k").groupBy("k", "drift")
+    return out.agg(F.count("d").alias("reps"), F.round((F.count_if(F.col("d") >= F.col("drift") - 1e-12) + 1) / (F.count("d") + 1), 6).alias("p")).select(F.col("k").alias(key), F.round("drift", 6).alias("drift"), "reps", "p")

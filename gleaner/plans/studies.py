@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
+from gleaner.functions.units import sections
+from gleaner.operators import lookups, topics
 from gleaner.operators import resampling as rs
 from gleaner.operators import statistics as st
 from gleaner.operators import vectors as vc
 from gleaner.plans.registry import Registry
 from gleaner.plans.spaces import centres
+from gleaner.plans.units import with_units
 from gleaner.sources.tables import load
 
 query = Registry()
@@ -121,3 +124,128 @@ def axis_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     axis = (c[1] - c[0]) / np.linalg.norm(c[1] - c[0])
     rows = load(spark, sf, "embeddings").select("label", vc.dot(vc.unit(F.col("embedding")), vc.constant(axis)).alias("p"))
     return rows.groupBy("label").agg(*[F.round(F.percentile("p", q / 100), 5).alias(f"p{q}") for q in (10, 50, 90)])
+
+
+_SYLLABLES = r"[aeiouy]+"
+_SILENT = r"[bcdfghjkmnpqrstvwxz]e([^a-zà-ÿ]|$)"
+
+
+@query(r"""
+    WITH t AS (SELECT doc_id, lower(text) AS t, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, len(regexp_extract_all(text, '[.!?]+')) AS ends FROM documents),
+    s AS (SELECT doc_id, words, greatest(ends, 1) AS sentences, greatest(len(regexp_extract_all(t, '[aeiouy]+')) - len(regexp_extract_all(t, '[bcdfghjkmnpqrstvwxz]e([^a-zà-ÿ]|$)')), words) AS syllables FROM t WHERE words > 0)
+    SELECT doc_id, round(206.835::DOUBLE - 1.015::DOUBLE * (words / sentences::DOUBLE) - 84.6::DOUBLE * (syllables / words::DOUBLE), 6) AS ease, round(0.39::DOUBLE * (words / sentences::DOUBLE) + 11.8::DOUBLE * (syllables / words::DOUBLE) - 15.59::DOUBLE, 6) AS grade FROM s""")
+def reading_ease(spark: SparkSession, sf: str) -> DataFrame:
+    """Flesch's ease and grade; a syllable is a run of vowels, but for a silent e at a word's end, and a word has one at least."""
+    text = F.col("text")
+    rows = load(spark, sf, "documents").select("doc_id", tx.word_count(text).alias("words"), F.greatest(tx.matches(text, "[.!?]+"), F.lit(1)).alias("sentences"), (tx.matches(F.lower(text), _SYLLABLES) - tx.matches(F.lower(text), _SILENT)).alias("s"))
+    per_word, per_sentence = F.greatest("s", "words") / F.col("words"), F.col("words") / F.col("sentences")
+    return rows.filter("words > 0").select("doc_id", F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 6).alias("ease"), F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 6).alias("grade"))
+
+
+#: Small words by which a language shows.
+_SMALL = {"en": "the|of|and|to|with|for|is", "de": "der|die|das|und|mit|ist|zu", "fr": "le|la|les|des|et|une|est", "es": "el|los|las|y|una|es|del"}
+
+
+@query(
+    "WITH c AS (SELECT doc_id, length(regexp_replace(text, '[^ -~]', '', 'g')) / nullif(length(text), 0)::DOUBLE AS plain, "
+    + ", ".join(f"len(regexp_extract_all(lower(text), '\\b({w})\\b')) AS {n}" for n, w in _SMALL.items())
+    + " FROM documents) SELECT doc_id, CASE WHEN plain IS NULL THEN 'unknown' WHEN plain >= 0.6 AND en > 0 AND en >= greatest(de, fr, es) THEN 'true' ELSE 'false' END AS english FROM c"
+)
+def english_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether a text is English: mostly printable ASCII, and more small words of English than of the others; '' is unknown."""
+    text = F.col("text")
+    counts = {n: tx.matches(F.lower(text), rf"\b({w})\b") for n, w in _SMALL.items()}
+    yes = (tx.printable_share(text) >= 0.6) & (counts["en"] > 0) & (counts["en"] >= F.greatest(*[c for n, c in counts.items() if n != "en"]))
+    return load(spark, sf, "documents").select("doc_id", F.when(tx.printable_share(text).isNull(), "unknown").otherwise(yes.cast("string")).alias("english"))
+
+
+@query("""
+    WITH d AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE event_type = 'error') AS limits, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1),
+    w AS (SELECT *, avg(n) OVER p AS mean, count(*) OVER p AS days FROM d WINDOW p AS (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)), k AS (SELECT count(DISTINCT event_type) AS k FROM events)
+    SELECT day, n, days = 7 AND n < 0.5 * mean AS low, 1 - users / n::DOUBLE > 0.9 AS repetitive, limits >= 3 AS limited, kinds < k AS missing FROM w CROSS JOIN k""")
+def alert_flags(spark: SparkSession, sf: str) -> DataFrame:
+    """Days with under half of the mean of the seven before, mostly repeated rows, three refusals or more, or a missing kind."""
+    rows = load(spark, sf, "events")
+    day = rows.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type") == "error").alias("limits"), F.count_distinct("event_type").alias("kinds")
+    )
+    kinds = rows.agg(F.count_distinct("event_type").alias("k"))
+    week = Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(-7, -1)  # a row for each day
+    low = (F.count("n").over(week) == 7) & (F.col("n") < 0.5 * F.avg("n").over(week))
+    out = day.withColumn("low", F.coalesce(low, F.lit(False))).crossJoin(F.broadcast(kinds))  # one row
+    return out.select("day", "n", "low", (1 - F.col("users") / F.col("n") > 0.9).alias("repetitive"), (F.col("limits") >= 3).alias("limited"), (F.col("kinds") < F.col("k")).alias("missing"))
+
+
+@query("""
+    SELECT lang, round(avg(regexp_matches(text, '[0-9]')::INT), 6) AS raw, round(avg(regexp_matches(substr(text, 1, 400), '[0-9]')::INT), 6) AS core,
+           round(avg(regexp_matches(substr(text, 1, 400), '[0-9]')::INT) - avg(regexp_matches(text, '[0-9]')::INT), 6) AS shift FROM documents GROUP BY lang""")
+def substrate_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rate over two substrates: whole texts and their beginnings."""
+    hit = lambda c: F.avg(c.rlike("[0-9]").cast("int"))
+    raw, core = hit(F.col("text")), hit(F.substring("text", 1, 400))
+    return load(spark, sf, "documents").groupBy("lang").agg(F.round(raw, 6).alias("raw"), F.round(core, 6).alias("core"), F.round(core - raw, 6).alias("shift"))
+
+
+@query("""
+    WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), x AS (SELECT label, unnest(generate_series(1, len(e))) AS i, unnest(e) AS x FROM v), m AS (SELECT label, i, avg(x) AS m FROM x GROUP BY ALL),
+    c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY label), a AS (SELECT x.c AS ca, y.c AS cb FROM c x JOIN c y ON x.label = 0 AND y.label = 1), p AS (SELECT vec_id % 2 AS era, abs(list_dot_product(e, cb) - list_dot_product(e, ca)) / list_distance(ca, cb) < 0.05 AS near FROM v CROSS JOIN a)
+    SELECT era, count(*) AS n, round(avg(near::INT), 6) AS near_boundary FROM p GROUP BY era""")
+def boundary_fractions(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of each era's vectors that lie near the boundary between two centroids."""
+    rows = _projected(spark, sf)
+    return rows.groupBy("era").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.abs("p") < 0.05).cast("int")), 6).alias("near_boundary"))
+
+
+@query()
+def boundary_permutation(spark: SparkSession, sf: str) -> DataFrame:
+    """The change of that share between eras, and its chance by relabelings (both plus one)."""
+    return rs.permutation_test(_projected(spark, sf), "vec_id", F.col("era") == 1, (F.abs("p") < 0.05).cast("double"), 200)
+
+
+def _projected(spark: SparkSession, sf: str) -> DataFrame:
+    c = centres(spark, sf)
+    axis = (c[1] - c[0]) / np.linalg.norm(c[1] - c[0])
+    return load(spark, sf, "embeddings").select("vec_id", (F.col("vec_id") % 2).alias("era"), vc.projection(F.col("embedding"), axis).alias("p"))
+
+
+@query()
+def drift_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Each label's drift between eras, and the share of relabeled eras with one at least as large (both plus one)."""
+    return vc.drift_test(load(spark, sf, "embeddings"), "vec_id", "label", F.col("vec_id") % 2 == 1, "embedding", 50)
+
+
+@query()
+def text_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters of each kind of section over all documents."""
+    units = with_units(load(spark, sf, "documents"), "doc_id", "text").select("doc_id", sections("units").alias("s"))
+    return units.select("doc_id", F.explode("s").alias("x")).groupBy("x.section").agg(F.sum(F.length("x.text")).alias("chars"), F.count_distinct("doc_id").alias("docs"))
+
+
+@query()
+def factor_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest terms of the factors of a non-negative factorisation of documents by terms."""
+    docs = load(spark, sf, "documents").select("doc_id", tx.tokens(F.col("text"), "[a-z]{3,}").alias("w"))
+    return topics.factors(docs, "doc_id", F.col("w"), 4, 8)
+
+
+@query()
+def latent_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """How the documents of each language spread over the topics of a latent Dirichlet allocation."""
+    docs = load(spark, sf, "documents").select("doc_id", "lang", tx.tokens(F.col("text"), "[a-z]{3,}").alias("w"))
+    return topics.mixtures(docs, "w", 4).groupBy("lang", "topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH c AS (SELECT c_custkey % 60 AS city, min(c_nationkey % 3) AS state FROM customer GROUP BY 1)
+    SELECT 'city ' || city AS city, 'state ' || state AS state, CASE WHEN city % 4 = 0 THEN 'title metro ' || city WHEN city % 4 = 1 AND state < 2 THEN 'county metro ' || state WHEN city % 6 = 2 THEN 'fallback metro ' || city END AS metro,
+           CASE WHEN city % 4 = 0 THEN 'medium' WHEN city % 4 = 1 AND state < 2 THEN 'high' WHEN city % 6 = 2 THEN 'medium' ELSE 'low' END AS confidence FROM c""")
+def metro_reference(spark: SparkSession, sf: str) -> DataFrame:
+    """A metro for each city: by its title, else by the county that a geocoder found, else by a wider title."""
+    cities = load(spark, sf, "customer").groupBy((F.col("c_custkey") % 60).alias("k")).agg(F.min(F.col("c_nationkey") % 3).alias("s"))
+    label = lambda text, c: F.concat(F.lit(text), F.col(c).cast("string"))
+    named = cities.select("k", "s", label("city ", "k").alias("city"), label("state ", "s").alias("state"))
+    titles = named.filter("k % 4 = 0").select("city", "state", label("title metro ", "k").alias("metro"))
+    found = named.filter("k % 4 in (0, 1)").select("city", "state", label("county ", "s").alias("county"))
+    counties = named.filter("s < 2").select(label("county ", "s").alias("county"), label("county metro ", "s").alias("metro")).distinct()
+    wider = named.filter("k % 6 = 2").select("city", "state", label("fallback metro ", "k").alias("metro"))
+    return lookups.metro_reference(named.select("city", "state"), titles, found, counties, wider)

@@ -155,3 +155,19 @@ def workbook_rows(path: str, sheet: int = 1) -> Iterator[list[str | None]]:
                 elif v is not None:
                     cells[at] = shared[int(v.text)] if c.get("t") == "s" else v.text
             yield [cells.get(i) for i in range(1, max(cells, default=0) + 1)]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text, such as a report, as one file in any store."""
+    fs, target = _fs(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def report(row: Mapping[str, object], title: str) -> str:
+    """A row of figures as a text: a title, and a line for each in the order given."""
+    width = max(map(len, row), default=0)
+    return "\n".join([title, "=" * len(title), *(f"{k:<{width}}  {v:,}" if isinstance(v, int) else f"{k:<{width}}  {v}" for k, v in row.items())]) + "\n"

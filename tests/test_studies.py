@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import company as co
 from gleaner.functions import occupation as oc
-from gleaner.operators import companies, dedupe, lookups, neighbours
+from gleaner.functions.units import sections
+from gleaner.operators import companies, dedupe, lookups, neighbours, topics
 from gleaner.operators import resampling as rs
 from gleaner.operators import statistics as st
 from gleaner.operators import vectors as vc
 from gleaner.plans import catalog
+from gleaner.plans.units import with_units
+from gleaner.sources import files
 
 QUERIES = catalog.queries()
 
@@ -243,3 +246,36 @@ def test_near_duplicate_titles(spark, sf):
                     gone.add(a if y > x else b)
         want |= gone
     assert {r.uid for r in QUERIES["near_duplicate_titles"](spark, sf).collect()} == want
+
+
+def test_topics(spark):
+    rnd = random.Random(1)
+    vocab = {c: [f"{c}{i}" for i in range(12)] for c in "abc"}
+    rows = [(i, "abc"[i % 3], [rnd.choice(vocab["abc"[i % 3]]) for _ in range(30)]) for i in range(150)]
+    docs = spark.createDataFrame(rows, "id int, c string, w array<string>")
+    found = topics.factors(docs, "id", F.col("w"), 3, 6).collect()
+    by = {k: {r.term[0] for r in found if r.topic == k} for k in range(3)}
+    assert all(len(x) == 1 for x in by.values()) and set().union(*by.values()) == set("abc")
+    got = topics.mixtures(docs, "w", 3, 30).toPandas()
+    assert len(got) == 150 and got.groupby("c").topic.agg(lambda t: t.value_counts().iloc[0]).sum() >= 120
+
+
+def test_sections(spark):
+    text = "Intro words.\nRequirements:\n- one\n- two\nBENEFITS\nPay is good, and so on.\nFrobnication:\nx y."
+    rows = with_units(spark.createDataFrame([(1, text), (2, None)], "id int, t string"), "id", "t").select("id", sections("units").alias("s"))
+    got = {r.id: [(x.section, x.text) for x in r.s] for r in rows.collect()}
+    want = [("intro", "Intro words."), ("requirements", "Requirements: | - one"), ("requirements", "- two"), ("benefits", "BENEFITS | Pay is good, and so on."), ("benefits", "Frobnication: | x y.")]
+    assert got[1] == want and got[2] == []
+
+
+def test_drift(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 2, (rng.normal(size=3) + (3 if i % 2 and i % 4 > 1 else 0)).tolist()) for i in range(400)]
+    got = {r.g: r for r in vc.drift_test(spark.createDataFrame(rows, "id long, g int, v array<double>"), "id", "g", F.col("id") % 4 > 1, "v", 60).collect()}
+    assert got[1].p < 0.02 and got[0].p > 0.02 and got[1].drift > 4 > 1 > got[0].drift and got[0].reps == 60
+
+
+def test_reports(spark, tmp_path):
+    text = files.report({"rows": 12345, "share": 0.5, "note": None}, "Quality")
+    files.write_text(spark, f"{tmp_path}/report.txt", text)
+    assert (tmp_path / "report.txt").read_text() == "Quality\n=======\nrows   12,345\nshare  0.5\nnote   None\n"
