@@ -5,20 +5,19 @@ The Jaccard distance d = 1 - |x & y| / |x | y| is a metric, and documents link a
 * A sample of documents, thinned out until they lie apart, are the pivots. A document that is near a pivot (d <= t, with
   t = (1 - r) / 2) is at home in the Voronoi cell of its nearest one. By the triangle inequality a partner of it is within
   d <= t + r of that pivot, and if it is near a pivot itself, within its own distance plus 2 r: into the cells that it is
-  so close to, and no others, every document is replicated. What is within r of its cell's pivot links with it at once.
-  In a cell, the documents outside its largest component are compared with the others, some of them in each round, unless
-  sizes or the window |d(x, p) - d(y, p)| <= r of the distances to the pivot rule the pair out; and only a pair with one
-  document at home counts. A cell is finished when one component is left.
-* Texts are far from nearly all others: at distance 1 from every pivot, where no window is narrow enough. What is near no
-  pivot is in the far cell, which is cut further by pivots that are single shingles. A document's nearest ones are its own
+  so close to, and no others, every document is replicated. What is within r of a pivot links with it at once. In a
+  cell, only pairs with one document at home count, and the window |d(x, p) - d(y, p)| <= r rules pairs out. What is near
+  no pivot is at home in the far cell: texts of different origin are at distance 1 from all pivots, where no window is
+  narrow enough.
+* A cell, the far one too, is cut further by pivots that are single shingles. A document's nearest ones are its own
   shingles, all at one distance, and a fixed order over all shingles, rare ones first, breaks the tie: its region is that of
   its first shingle. The triangle inequality (of set differences) bounds how many of its first shingles a partner can
-  miss, so it is replicated into the regions of its first n - ceil(t n) + 1 shingles and no others (t the least
-  similarity); two far documents that link share one of these regions.
-* A region of the far cell is joined by recursion. Documents of it become pivots; every other document is compared with
-  them, unless sizes, places, or the triangle inequality over the first pivot's distances rule the pair out. Links join
-  documents to components, and a region is finished when all that were not pivots yet belong to one component.
-  Pivots per round grow by a factor, so the rounds are few.
+  miss, so it is replicated into the regions of its first n - ceil(s n) + 1 shingles and no others (s the least
+  similarity); two documents that link share one of these regions in the cell of one of them.
+* A region is joined by recursion. Documents of it become pivots; every other document is compared with them, unless
+  sizes, places, or the triangle inequality over the distances to the cell's pivot, or in the far cell to the region's
+  first, rule the pair out. Links join documents to components, and a region is finished when all that were not pivots
+  yet belong to one component. Pivots per round grow by a factor, so the rounds are few.
 
 Documents with equal sets are one vertex. A comparison first bounds the symmetric difference from below by parity
 bitmaps (about two bits per shingle); what passes is compared in full. Shingles are 64-bit hashes: within a pair of n
@@ -51,8 +50,8 @@ LOG_COUNTERS, LOG_BITS = 22, 25
 SLICE = 2048
 #: Documents that are sampled as pivots, and the least distance between those that are kept.
 PIVOTS, APART = 256, 0.6
-#: Documents of a cell outside its largest component that are compared in the first round; FACTOR times more in each other.
-CHOSEN = 64
+#: The number of the far cell.
+FAR = -1
 #: Pivots of a region round by round, from its largest component; then this factor more each time, from the smallest.
 GROWING, FACTOR = (1, 2, 4, 24), 8
 #: Pivots up to which each row of a region is given them as a list; beyond, they are joined.
@@ -120,7 +119,7 @@ class Pivots:
 
     def cells(self, x: np.ndarray, part: int, whole: int) -> list[tuple[int, float, bool, bool]]:
         """The cells that a document belongs to: the pivot, its distance, whether the document is at home there, and
-        whether it links with the pivot. Without a home it is far."""
+        whether it links with the pivot. Without a home among them it is at home in the far cell."""
         common = self.common(x)
         if not common.any():
             return []
@@ -132,9 +131,6 @@ class Pivots:
             reach = min(reach, d[home] + 2 * r)
         return [(int(i), float(d[i]), bool(i == home and d[home] <= near), bool(whole * common[i] >= part * union[i])) for i in np.flatnonzero(d <= reach + 1e-9)]
 
-    def is_near(self, x: np.ndarray, part: int, whole: int) -> bool:
-        return any(home for _, _, home, _ in self.cells(x, part, whole))
-
 
 def sample_pivots(rows: DataFrame, words: int, seed: int) -> Pivots:
     """PIVOTS documents by a hash of doc_id, without those that are nearer than APART to an earlier one."""
@@ -223,8 +219,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
             break
         seed += 1
     counts = _gathered(read.filter("slice is not null"), "uint32", 1 << LOG_COUNTERS, np.add)
-    cells = sets.filter("size(cells) > 0").groupBy("id", "n").agg(F.first("cells").alias("cells")).select("id", F.col("n").cast("int").alias("n"), F.inline("cells"))
-    links = _links(rows, classes.select("id", "rep"), cells, pivots, counts, words, part, whole, seed)
+    near = sets.filter("exists(cells, c -> c.linked)").select("id", F.explode(F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["cell"])).alias("cell")).distinct()
+    links = _links(rows, classes.select("id", "rep"), near, pivots, counts, words, part, whole, seed)
     named = classes.select("id", "rep").join(links.withColumnRenamed("node", "id"), "id", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = store.written(named.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component"), F.coalesce("root", "id").alias("key")), "jaccard-components")
@@ -234,6 +230,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), *more)
 
 
+REGION_COLUMNS = ("token", "id", "n", "place", "early", "near", "far", "home")
 CELLS = "array<struct<cell:int,d:double,home:boolean,linked:boolean>>"
 
 
@@ -263,49 +260,51 @@ def _sets(rows: DataFrame, pivots: Pivots, words: int, part: int, whole: int, se
     return map_arrow(rows, run, f"doc_id long, n long, id long, digest binary, carried string, cells {CELLS}, slice int, counts binary")
 
 
-def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
+def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
     """node and root for every vertex that links with another."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(pivots)
     level = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype("uint16"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document in each region that it may have partners in: shingle, vertex, size and place; ``early``: its partner may be larger."""
+        """A document in each region that it may have partners in: cell and shingle as one key, vertex, size, place and
+        distance to the cell's pivot; ``early``: its partner may be larger."""
         mask, seen = np.uint64((1 << LOG_COUNTERS) - 1), set()
         for piece in pieces(batches):
-            out: list[tuple[np.ndarray, int, int, int]] = []
+            out: list[tuple[np.ndarray, int, int, int, float, float, bool]] = []
             for x in shingle_sets(column(piece, "text"), words):
                 name = vertex(x, seed)[0]
                 if not len(x) or name in seen:
                     continue
                 seen.add(name)
-                if shared.value.is_near(x, part, whole):
-                    continue
                 n = len(x)
                 # Of sets that link, the smaller shares part/whole of the larger; 2 part/(whole+part) of its own size.
                 late, early = n + (-part * n // whole) + 1, n + (-2 * part * n // (whole + part)) + 1
+                cells = [(c, d, d, home) for c, d, home, _ in shared.value.cells(x, part, whole)]
+                if not any(home for *_, home in cells):
+                    cells.append((FAR, 0.0, 1.0, True))
                 x = x[np.argsort(level.value[(x & mask).astype("int64")], kind="stable")[:late]]
-                out.append((x.view("int64"), name, n, early))
+                for c, low, high, home in cells:
+                    key = x if c == FAR else (x ^ np.uint64(c + 1)) * _MIX
+                    out.append((key.view("int64"), name, n, early, low, high, home))
             if len(seen) > MEMO:
                 seen.clear()
             if out:
                 size = [len(o[0]) for o in out]
                 place = np.concatenate([np.arange(s, dtype="int32") for s in size])
-                cols = [np.repeat(np.array([o[k] for o in out], kind), size) for k, kind in ((1, "int64"), (2, "int32"), (3, "int32"))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.concatenate([o[0] for o in out]), cols[0], cols[1], place, place < cols[2])], ["token", "id", "n", "place", "early"])
+                kinds = ((1, "int64"), (2, "int32"), (3, "int32"), (4, "float64"), (5, "float64"), (6, "bool"))
+                ids, sizes, early_, low, high, home = (np.repeat(np.array([o[k] for o in out], kind), size) for k, kind in kinds)
+                cols = (np.concatenate([o[0] for o in out]), ids, sizes, place, place < early_, low, high, home)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], list(REGION_COLUMNS))
 
-    placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean")
-    regions = store.written(_open_regions(placed, "id").select("token", "id", "n", "place", "early").distinct(), "jaccard-regions")
+    placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean, near double, far double, home boolean")
+    regions = store.written(_open_regions(placed, "id").select(*REGION_COLUMNS).distinct(), "jaccard-regions")
     level.unpersist(), shared.unpersist()
-    cells = store.written(cells, "jaccard-cells")
     centres = spark.createDataFrame([(i, name) for i, name in enumerate(pivots.names)], "cell int, centre long")
-    fresh = cells.filter("linked").join(F.broadcast(centres), "cell").filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))
-    roots = _merged(None, fresh)
-    wanted = regions.select("id").union(_open_cells(cells, roots).select("id"))
-    members = _members(rows, classes, wanted, words, seed)
-    done = [regions, members, cells]
-    known, roots = _joined_cells(cells, members, roots, words, part, whole, done)
-    active = _with_components(regions.withColumn("near", F.lit(0.0)).withColumn("far", F.lit(1.0)), roots)
+    roots = _merged(None, near.join(F.broadcast(centres), "cell").filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
+    members = _members(rows, classes, regions, words, seed)
+    done, known = [regions, members], None
+    active = _with_components(regions, roots)
     limit = 1 - part / whole + 1e-9
     for step in range(10_000):
         # First a pass that compares each document with one pivot only; most links are found there.
@@ -316,7 +315,7 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
         ranked = _open_regions(active, "comp").withColumn("kin", F.count("*").over(Window.partitionBy("token", "comp"))).withColumn("rank", F.row_number().over(order))
         listed = pivots <= LISTED
         if listed:
-            pivot = F.when(F.col("rank") <= pivots, F.struct(*[F.col(c).alias(f"p_{c}") for c in ("id", "n", "place", "early", "near", "far", "comp", "rank")]))
+            pivot = F.when(F.col("rank") <= pivots, F.struct(*[F.col(c).alias(f"p_{c}") for c in ("id", "n", "place", "early", "near", "far", "home", "comp", "rank")]))
             ranked = ranked.withColumn("p", F.collect_list(pivot).over(Window.partitionBy("token")))
         ranked = store.written(ranked.drop("kin"), "jaccard-ranked")
         done.append(ranked)
@@ -328,6 +327,7 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
             p = ranked.filter(F.col("rank") <= pivots).select(*[F.col(c).alias(f"p_{c}") for c in ranked.columns])
             pair = ranked.join(p, (F.col("token") == F.col("p_token")) & (F.col("rank") > F.col("p_rank")) & (F.col("comp") != F.col("p_comp")))
         pair = pair.filter(_may_link(part, whole)).filter((F.col("near") - F.col("p_far") <= limit) & (F.col("p_near") - F.col("far") <= limit))
+        pair = pair.filter(F.col("home") | F.col("p_home"))
         if probe:
             pair = pair.groupBy("id").agg(F.min(F.struct(F.xxhash64("p_id").alias("h"), F.col("p_id").alias("p"))).alias("m")).select("id", F.col("m.p").alias("p_id"))
         pair = pair.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
@@ -338,11 +338,12 @@ def _links(rows: DataFrame, classes: DataFrame, cells: DataFrame, pivots: Pivots
         roots = _merged(roots, found.filter("linked").select("a", "b"))
         rest = ranked if probe else ranked.filter(F.col("rank") > pivots)
         if step == 1:
-            # Bounds of the distance to the region's first pivot stay with each document of the region.
+            # In the far cell, bounds of the distance to the region's first pivot stay with each document of the region.
             bounds = known.select(F.col("a").alias("x"), F.col("b").alias("y"), "low", "high").union(known.select("b", "a", "low", "high"))
             rest = rest.join(_small(bounds), (F.col("id") == F.col("x")) & (F.col("p")[0]["p_id"] == F.col("y")), "left")
-            rest = rest.withColumn("near", F.coalesce("low", "near")).withColumn("far", F.coalesce("high", "far"))
-        active = _with_components(rest.select("token", "id", "n", "place", "early", "near", "far"), roots)
+            open_ = F.col("near") < F.col("far")
+            rest = rest.withColumns({"near": F.when(open_, F.coalesce("low", "near")).otherwise(F.col("near")), "far": F.when(open_, F.coalesce("high", "far")).otherwise(F.col("far"))})
+        active = _with_components(rest.select(*REGION_COLUMNS), roots)
     for table in done:  # the roots are a table of their own
         store.drop(table)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
@@ -368,45 +369,6 @@ def _with_components(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(_small(roots.withColumnRenamed("node", "id")), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def _open_cells(cells: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The rows of cells that hold two components or more, with ``comp`` and the cell's largest component, ``big``.
-
-    Cells are few: what is known of each is a small table, and the rows of a large one are not gathered.
-    """
-    rows = _with_components(cells, roots)
-    kin = rows.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("kin"))
-    big = kin.groupBy("cell").agg(F.max(F.struct("kin", "comp"))["comp"].alias("big"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").drop("comps")
-    return rows.join(F.broadcast(big), "cell")
-
-
-def _joined_cells(cells: DataFrame, members: DataFrame, roots: DataFrame | None, words: int, part: int, whole: int, done: list[DataFrame]) -> tuple[DataFrame | None, DataFrame | None]:
-    """The pairs compared in cells, and the roots with the links found there.
-
-    A document outside its cell's largest component that has been compared with all others of the cell is through with it.
-    """
-    limit, known, left, most = 1 - part / whole + 1e-9, None, cells, CHOSEN
-    while True:
-        rows = store.written(_open_cells(left, roots), "jaccard-open-cells")
-        done.append(rows)
-        outside = rows.filter("comp <> big")
-        if not outside.head(1):
-            return known, roots
-        rank = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
-        chosen = _small(store.written(outside.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank", "big"), "jaccard-chosen"))
-        other = chosen.select(*[F.col(c).alias(f"p_{c}") for c in ("cell", "id", "n", "d", "home", "comp")])
-        pair = rows.join(other, (F.col("cell") == F.col("p_cell")) & (F.col("comp") != F.col("p_comp")))
-        pair = pair.filter((F.col("home") | F.col("p_home")) & (F.abs(F.col("d") - F.col("p_d")) <= limit))
-        pair = pair.filter(whole * F.least("n", "p_n").cast("long") >= part * F.greatest("n", "p_n").cast("long"))
-        pair = pair.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct()
-        if known is not None:
-            pair = pair.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        pair = store.written(pair, "jaccard-cell-pairs")
-        known, found = _with_compared(known, pair, members, words, part, whole, done)
-        roots = _merged(roots, found.filter("linked").select("a", "b"))
-        left = rows.drop("comp", "big").join(chosen.select("cell", "id"), ["cell", "id"], "left_anti")
-        most *= FACTOR
-
-
 def _open_regions(rows: DataFrame, comp: str) -> DataFrame:
     """The rows of regions that hold two components or more and a document that may meet a larger one."""
     region = Window.partitionBy("token")
