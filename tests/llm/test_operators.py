@@ -121,7 +121,6 @@ def test_jaccard_join_with_few_pivots(spark, monkeypatch, pivots):
     """A group of near copies holds most rows: some link with its pivot, some only with each other, some with nothing."""
     rnd = random.Random(11)
     monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
-    monkeypatch.setattr(jaccard_join, "CHOSEN", 2)
     base, rows = [f"b{i}" for i in range(100)], chained(rnd, 30, 2)
     for i in range(150):
         words = list(base)
