@@ -148,7 +148,7 @@ def parameter_list(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT lang, source, count(*) AS n, sum(n_chars) AS chars, max(n_chars >= 5000)::BOOLEAN AS has_long FROM documents WHERE lang LIKE 'e%' GROUP BY ALL""")
+    SELECT lang, source, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, max(n_chars >= 5000)::BOOLEAN AS has_long FROM documents WHERE lang LIKE 'e%' GROUP BY ALL""")
 def session_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The same in SQL over session relations: a view, a column that is added, an aggregate."""
     view = f"docs_{abs(hash(sf))}"
@@ -200,13 +200,13 @@ def title_gram_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
     WITH c AS (SELECT c_custkey, c_nationkey AS k, c_custkey % 40 AS t FROM customer)
-    SELECT c_custkey, CASE WHEN exact THEN k WHEN one THEN CASE WHEN t < 10 THEN 0 WHEN t < 20 THEN 1 ELSE 2 END END AS county, CASE WHEN exact THEN 'exact' WHEN one THEN 'fallback' ELSE 'none' END AS how
+    SELECT c_custkey, 'county ' || CASE WHEN exact THEN k WHEN one THEN CASE WHEN t < 10 THEN 0 WHEN t < 20 THEN 1 ELSE 2 END END AS county, CASE WHEN exact THEN 'exact' WHEN one THEN 'fallback' ELSE 'none' END AS how
     FROM (SELECT *, k < 3 AND t BETWEEN 10 * k AND 10 * k + 14 AS exact, t < 10 OR t BETWEEN 15 AND 19 OR t BETWEEN 25 AND 34 AS one FROM c)""")
 def county_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """A county by state and town; else by the town alone, where only one county has it. Counties overlap in some towns."""
     town = lambda c: F.concat(F.lit("town "), c.cast("string"))
     rows = load(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("state"), town(F.col("c_custkey") % 40).alias("town"))
-    known = load(spark, sf, "nation").filter("n_nationkey < 3").select(F.col("n_nationkey").alias("county"), F.col("n_nationkey").alias("state"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("i"))
+    known = load(spark, sf, "nation").filter("n_nationkey < 3").select(F.concat(F.lit("county "), F.col("n_nationkey").cast("string")).alias("county"), F.col("n_nationkey").alias("state"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("i"))
     known = known.select("county", "state", town(10 * F.col("state") + F.col("i")).alias("town"))
     return lk.with_fallback(rows, known, ["state", "town"], ["town"], "county").select("c_custkey", "county", "how")
 

@@ -115,7 +115,8 @@ def parsed_places(spark: SparkSession, sf: str) -> DataFrame:
         town,
     )
     raw = F.element_at(F.array(*forms), (F.col("c_custkey") % 11 + 1).cast("int"))
-    return load(spark, sf, "customer").select("c_custkey", ps.place(raw).alias("p")).select("c_custkey", "p.*")
+    rows = load(spark, sf, "customer").select("c_custkey", raw.alias("raw"))  # a column: the expression is named often
+    return rows.select("c_custkey", ps.place(F.col("raw")).alias("p")).select("c_custkey", "p.*")
 
 
 @query("""
