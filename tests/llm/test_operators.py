@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -378,6 +379,24 @@ def test_filter_returns_all_languages(spark):
     assert (model.shares("shared", chance) == 1).all()
 
 
+def test_language_by_exact_sets(spark):
+    """The filter's predictions against sets of n-grams, which have no false positives."""
+    rnd = random.Random(12)
+    parts = {"aa": ["ba", "lo", "mi", "ta"], "bb": ["shr", "unk", "est", "ta"], "cc": ["ñu", "és", "ço", "lo"]}
+    rows = [(i, " ".join("".join(rnd.choice(parts[g]) for _ in range(3)) for _ in range(20)), g) for i in range(150) for g in [rnd.choice(list(parts))]]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    seen = {g: Counter(h for _, t, x in rows if x == g for h in language_id.gram_hashes(t).tolist()) for g in parts}
+    sets = {g: {h for h, n in c.items() if n >= language_id.LEAST} for g, c in seen.items()}
+    texts = [(1000 + i, " ".join("".join(rnd.choice(parts[g] if rnd.random() < 0.8 else parts["aa"]) for _ in range(3)) for _ in range(rnd.randint(1, 9)))) for i in range(120) for g in [rnd.choice(list(parts))]]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    for d, t in texts:
+        grams = language_id.gram_hashes(t).tolist()
+        shares = {g: sum(h in held for h in grams) / len(grams) for g, held in sets.items()}
+        best = max(sorted(shares), key=shares.get)
+        assert got[d].lang_pred == best or shares[got[d].lang_pred] > shares[best] - 0.02
+        assert abs(got[d].score - shares[got[d].lang_pred] / sum(shares.values())) < 0.02
+
+
 def test_language_filter_has_no_false_negatives():
     rnd = np.random.default_rng(4)
     grams = {name: rnd.integers(0, 2**63, 3000, dtype="uint64") for name in "xyz"}
@@ -386,6 +405,34 @@ def test_language_filter_has_no_false_negatives():
         assert all(((made.masks[p] >> np.uint64(i)) & np.uint64(1)).all() for p in made.places(grams[name]))
 
 
+def test_gains(spark):
+    """The log likelihood ratio of a word and the label against its definition."""
+    rnd, rows = random.Random(4), []
+    for _ in range(200):
+        n = rnd.randint(2, 400)
+        pos, seen = rnd.randint(1, n - 1), rnd.randint(1, n)
+        rows.append((n, pos, seen, rnd.randint(max(0, seen + pos - n), min(seen, pos))))
+    for n, pos, seen, hit in rows[:60]:
+        got = spark.range(1).select(toxicity.gain(F.lit(seen), F.lit(hit), n, pos).alias("g")).first().g
+        table = {(1, 1): hit, (1, 0): seen - hit, (0, 1): pos - hit, (0, 0): n - pos - seen + hit}
+        row, col = {1: seen, 0: n - seen}, {1: pos, 0: n - pos}
+        want = sum(k * math.log(k * n / (row[a] * col[b])) for (a, b), k in table.items() if k)
+        assert abs(got - (want if hit * n > seen * pos else 0)) < 1e-6
+
+
+def test_scores_by_noisy_or(spark):
+    weights = {b"bad": 2.0, b"^verba": 1.0, b"worse": 3.5}
+    model = toxicity.Model(-1.0, weights, -4.0)
+    texts = ["Bad day. A worse one! Nothing here", "verbal; bad bad", None, "", "fine\nfine", "BAD worse"]
+    got = [r.score for r in toxicity.with_scores(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"), model).orderBy("doc_id").collect()]
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    logits = [[1.0, 2.5], [-1.0 + 2.0 + 1.0], [], [], [], [-1.0 + 2.0 + 3.5]]
+    want = [1 - (1 - sig(-4.0)) * math.prod(1 - sig(z) for z in zs) for zs in logits]
+    assert np.allclose(got, want)
+    found = toxicity.toxic_sentences(spark.createDataFrame([(0, texts[0])], "doc_id long, text string"), model).collect()
+    assert [(r.sentence, r.words) for r in found] == [(0, "bad day"), (1, "a worse one")]
+
+
 def test_toxicity(spark):
     rnd = random.Random(9)
     rows, labels = [], []
