@@ -239,6 +239,22 @@ def test_token_store(spark, tokenizer):
     assert token_store.read_checksums(none).collect() == []
 
 
+def test_rows_without_doc_id(spark, tokenizer):
+    """Rows without doc_id are rows as others are: they come first in the store, and are scanned and identified."""
+    docs = table(spark, [(None, "mit license", None, None), (7, "x y", "s", "en"), (None, None, None, None), (7, "x y", "s", "en"), (None, "mit license", None, None)])
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        files = token_store.write(docs, f.read(), store.new_path(spark, "test-tokens"))
+    got = sorted(token_store.read_checksums(files).collect(), key=lambda r: r.start)
+    sizes = {t: len(tokenizer.encode(t).ids) + 1 for t in ("mit license", "x y", "")}
+    assert [r.doc_id for r in got] == [None, None, None, 7, 7] and sorted(r.n_tokens for r in got[:3]) == sorted([sizes["mit license"]] * 2 + [sizes[""]])
+    assert [r.start for r in got] == [sum(r.n_tokens for r in got[:i]) for i in range(5)]
+    found = Counter((r.doc_id, r.n_base) for r in licenses.license_digest(licenses.scan_licenses(docs)).collect())
+    assert found == {(None, 1): 2, (None, 0): 1, (7, 0): 2}
+    model = language_id.train(docs)
+    assert Counter((r.doc_id, r.lang_pred) for r in language_id.identify(docs, model).collect())[None, "und"] >= 1
+    assert language_id.identify(docs, model).count() == 5
+
+
 def test_lost_recipes(spark):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         content = f.read()
