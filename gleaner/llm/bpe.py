@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.arrow import column, map_arrow, pieces
-from gleaner.llm.words import PIECE, Words, arrow_class, code_points, ranges, whites
+from gleaner.llm.words import Words, arrow_class, code_points, ranges, whites
 
+#: Words that a generation of a worker's table holds, and bytes of text that are encoded together.
+MEMO, PIECE = 3 << 17, 4 << 20
 #: Keys per bucket of the perfect hash.
 PER_BUCKET = 2
 #: Lengths in bytes up to which misses are joined side by side (a longer one has a heap for itself), and how many at once.
@@ -197,7 +199,7 @@ class Encoder:
         self.joined: PairTable | None = None
         self.odd = re.compile(ranges(map(chr, self.stand_ins))).search
         disputed_ones = set(map(chr, self.stand_ins))
-        self.words = Words(self.spaced, self.texts, whites() - disputed_ones, [arrow_class(disputed_ones)] if disputed_ones else [])
+        self.words = Words(self.spaced, self.texts, whites() - disputed_ones, [arrow_class(disputed_ones)] if disputed_ones else [], MEMO)
 
     def pairs(self) -> PairTable:
         """What two neighbouring tokens join to, for every way to part a token in two; made when it is first asked for,

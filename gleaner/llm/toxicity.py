@@ -31,7 +31,7 @@ SAMPLE, LEAST, GAIN = 8000, 4, 8.0
 STEMS = (4, 5, 6)
 STEPS, RATE, DECAY = 400, 0.1, 3e-5
 #: Words that a worker remembers the features of.
-MEMO = 300_000
+MEMO = 150_000
 #: Bytes of lower-case text: what ends a sentence becomes a line break, other ASCII than letters and digits a space.
 _TABLE = bytes(
     10 if c in b".!?\n\r" else c if c >= 128 or chr(c).isalnum() and not 65 <= c <= 90 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
