@@ -267,11 +267,12 @@ def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots,
     level = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype("uint16"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A document in each region that it may have partners in: cell and shingle as one key, vertex, size, place and
-        distance to the cell's pivot; ``early``: its partner may be larger."""
+        """A document in each region that it may have partners in: cell and shingle as one key, vertex, size, place, and the
+        distance d to the cell's pivot: null in the far cell, negative where the document is not at home; ``early``: its
+        partner may be larger."""
         mask, seen = np.uint64((1 << LOG_COUNTERS) - 1), set()
         for piece in pieces(batches):
-            out: list[tuple[np.ndarray, int, int, int, float, float, bool]] = []
+            out: list[tuple[np.ndarray, int, int, int, float]] = []
             for x in shingle_sets(column(piece, "text"), words):
                 name = vertex(x, seed)[0]
                 if not len(x) or name in seen:
@@ -280,31 +281,32 @@ def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots,
                 n = len(x)
                 # Of sets that link, the smaller shares part/whole of the larger; 2 part/(whole+part) of its own size.
                 late, early = n + (-part * n // whole) + 1, n + (-2 * part * n // (whole + part)) + 1
-                cells = [(c, d, d, home) for c, d, home, _ in shared.value.cells(x, part, whole)]
-                if not any(home for *_, home in cells):
-                    cells.append((FAR, 0.0, 1.0, True))
+                found = shared.value.cells(x, part, whole)
+                cells = [(c, d if home else -d) for c, d, home, _ in found]
+                if not any(home for _, _, home, _ in found):
+                    cells.append((FAR, np.nan))
                 x = x[np.argsort(level.value[(x & mask).astype("int64")], kind="stable")[:late]]
-                for c, low, high, home in cells:
+                for c, d in cells:
                     key = x if c == FAR else (x ^ np.uint64(c + 1)) * _MIX
-                    out.append((key.view("int64"), name, n, early, low, high, home))
+                    out.append((key.view("int64"), name, n, early, d))
             if len(seen) > MEMO:
                 seen.clear()
             if out:
                 size = [len(o[0]) for o in out]
                 place = np.concatenate([np.arange(s, dtype="int32") for s in size])
-                kinds = ((1, "int64"), (2, "int32"), (3, "int32"), (4, "float64"), (5, "float64"), (6, "bool"))
-                ids, sizes, early_, low, high, home = (np.repeat(np.array([o[k] for o in out], kind), size) for k, kind in kinds)
-                cols = (np.concatenate([o[0] for o in out]), ids, sizes, place, place < early_, low, high, home)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], list(REGION_COLUMNS))
+                ids, sizes, early_, d = (np.repeat(np.array([o[k] for o in out], kind), size) for k, kind in ((1, "int64"), (2, "int32"), (3, "int32"), (4, "float64")))
+                cols = (np.concatenate([o[0] for o in out]), ids, sizes, place, place < early_)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(d, mask=np.isnan(d))], ["token", "id", "n", "place", "early", "d"])
 
-    placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean, near double, far double, home boolean")
-    regions = store.written(_open_regions(placed, "id").select(*REGION_COLUMNS).distinct(), "jaccard-regions")
+    placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean, d double")
+    regions = store.written(_open_regions(placed, "id").select("token", "id", "n", "place", "early", "d").distinct(), "jaccard-regions")
     level.unpersist(), shared.unpersist()
     centres = spark.createDataFrame([(i, name) for i, name in enumerate(pivots.names)], "cell int, centre long")
     roots = _merged(None, near.join(F.broadcast(centres), "cell").filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     members = _members(rows, classes, regions, words, seed)
     done, known = [regions, members], None
-    active = _with_components(regions, roots)
+    far = {"near": F.coalesce(F.abs("d"), F.lit(0.0)), "far": F.coalesce(F.abs("d"), F.lit(1.0)), "home": F.coalesce(F.col("d") >= 0, F.lit(True))}
+    active = _with_components(regions.withColumns(far).select(*REGION_COLUMNS), roots)
     limit = 1 - part / whole + 1e-9
     for step in range(10_000):
         # First a pass that compares each document with one pivot only; most links are found there.
