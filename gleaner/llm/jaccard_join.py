@@ -218,9 +218,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, part: int = 80, whole: i
         if not classes.filter("low <> high").count():
             break
         seed += 1
-    counts = _gathered(read.filter("slice is not null"), "uint32", 1 << LOG_COUNTERS, np.add)
     near = sets.filter("exists(cells, c -> c.linked)").select("id", F.explode(F.transform(F.filter("cells", lambda c: c["linked"]), lambda c: c["cell"])).alias("cell")).distinct()
-    links = _links(rows, classes.select("id", "rep"), near, pivots, counts, words, part, whole, seed)
+    links = _links(rows, classes.select("id", "rep"), near, pivots, read.filter("slice is not null"), words, part, whole, seed)
     named = classes.select("id", "rep").join(links.withColumnRenamed("node", "id"), "id", "left")
     least = named.filter("root is not null").groupBy("root").agg(F.min("rep").alias("least"))
     named = store.written(named.join(least, "root", "left").select("id", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component"), F.coalesce("root", "id").alias("key")), "jaccard-components")
@@ -260,11 +259,11 @@ def _sets(rows: DataFrame, pivots: Pivots, words: int, part: int, whole: int, se
     return map_arrow(rows, run, f"doc_id long, n long, id long, digest binary, carried string, cells {CELLS}, slice int, counts binary")
 
 
-def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots, counts: np.ndarray, words: int, part: int, whole: int, seed: int) -> DataFrame:
-    """node and root for every vertex that links with another."""
+def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots, slices: DataFrame, words: int, part: int, whole: int, seed: int) -> DataFrame:
+    """node and root for every vertex that links with another; ``slices`` are those of the counts of shingles."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(pivots)
-    level = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype("uint16"))
+    level = spark.sparkContext.broadcast(np.minimum(_gathered(slices, "uint32", 1 << LOG_COUNTERS, np.add), 65535).astype("uint16"))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A document in each region that it may have partners in: cell and shingle as one key, vertex, size, place, and the
@@ -300,7 +299,8 @@ def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots,
 
     placed = map_arrow(rows.select("text"), replicate, "token long, id long, n int, place int, early boolean, d double")
     regions = store.written(_open_regions(placed, "id").select("token", "id", "n", "place", "early", "d").distinct(), "jaccard-regions")
-    level.unpersist(), shared.unpersist()
+    level.destroy(), shared.destroy()
+    del level  # 8 MB of the driver
     centres = spark.createDataFrame([(i, name) for i, name in enumerate(pivots.names)], "cell int, centre long")
     roots = _merged(None, near.join(F.broadcast(centres), "cell").filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     members = _members(rows, classes, regions, words, seed)
@@ -308,6 +308,7 @@ def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots,
     far = {"near": F.coalesce(F.abs("d"), F.lit(0.0)), "far": F.coalesce(F.abs("d"), F.lit(1.0)), "home": F.coalesce(F.col("d") >= 0, F.lit(True))}
     active = _with_components(regions.withColumns(far).select(*REGION_COLUMNS), roots)
     limit = 1 - part / whole + 1e-9
+    store.give_back(spark)
     for step in range(10_000):
         # First a pass that compares each document with one pivot only; most links are found there.
         probe, rising = step == 0, step <= len(GROWING)
@@ -346,6 +347,7 @@ def _links(rows: DataFrame, classes: DataFrame, near: DataFrame, pivots: Pivots,
             open_ = F.col("near") < F.col("far")
             rest = rest.withColumns({"near": F.when(open_, F.coalesce("low", "near")).otherwise(F.col("near")), "far": F.when(open_, F.coalesce("high", "far")).otherwise(F.col("far"))})
         active = _with_components(rest.select(*REGION_COLUMNS), roots)
+        store.give_back(spark)  # the broadcasts of a round are not kept beside those of the next
     for table in done:  # the roots are a table of their own
         store.drop(table)
     return roots if roots is not None else spark.createDataFrame([], "node long, root long")
@@ -355,9 +357,9 @@ def _merged(roots: DataFrame | None, fresh: DataFrame) -> DataFrame | None:
     """The roots (node, root) of all vertices that links join, those in ``fresh`` (a, b) added."""
     if roots is not None:
         fresh = _renamed(fresh, roots)
-    if not fresh.head(1):
-        return roots
     merged = components(fresh)
+    if not merged.head(1):
+        return roots
     if roots is not None:
         moved = roots.withColumnRenamed("root", "was").join(merged.withColumnRenamed("node", "was"), "was", "left")
         merged = moved.select("node", F.coalesce("root", "was").alias("root")).union(merged.join(roots, "node", "left_anti"))
@@ -433,7 +435,7 @@ def _members(rows: DataFrame, classes: DataFrame, active: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), sizes, pa.array([parity_bits(sets[i]) for i in kept], pa.binary()), column(piece, "text").take(pa.array(kept, pa.int64()))], ["id", "n", "bits", "text"])
 
     out = store.written(map_arrow(rows, run, "id long, n long, bits binary, text string"), "jaccard-members")
-    shared.unpersist()
+    shared.destroy()
     return out
 
 

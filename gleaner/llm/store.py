@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +53,22 @@ def drop(df: DataFrame) -> None:
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``table``, marked for a broadcast if it has few rows; beyond, the same join shuffles."""
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Has the driver's JVM collect its garbage and return freed memory to the system; whether it could do the latter.
+
+    Until it collects, broadcasts and shuffle files of queries that are over stay, and the heap grows to its limit. What
+    compilers and threads have freed outside the heap stays with the C library until it is trimmed.
+    """
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    kinds, arguments = new_array(jvm.Class, 4), new_array(jvm.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = jvm.Class.forName(kind)
+    try:  # by the interface's method, as py4j does not see the server's own class
+        arguments[0], arguments[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), arguments)
+    except Py4JError:  # a JVM without this command, or without glibc
+        return False
+    return True

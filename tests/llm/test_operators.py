@@ -182,6 +182,34 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+@pytest.mark.parametrize("few", [0, 150, 10**6])
+def test_components_joined_in_one_task_or_by_stars(spark, monkeypatch, few):
+    rnd = random.Random(2)
+    monkeypatch.setattr(components, "FEW_EDGES", few)
+    line = list(range(-(2**63), -(2**63) + 60)) + [2**63 - 1 - i for i in range(60)]
+    rnd.shuffle(line)
+    edges = [*zip(line, line[1:], strict=False), *((1000 + i, 2000) for i in range(30)), (2000, 1000), (7, 7)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.root) for r in got) == sorted([(v, min(line)) for v in line] + [(1000 + i, 1000) for i in range(30)] + [(2000, 1000)])
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Each job's plans and broadcasts fill the driver; stars took dozens for a chain."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few-edges", "components")
+    try:
+        assert components.components(edges).filter("root <> 0").count() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) <= 12
+
+
+def test_driver_gives_memory_back(spark):
+    before = store.written(spark.range(5), "given-back")
+    assert store.give_back(spark) in (True, False)
+    assert before.count() == 5
+
+
 def brute_top(rows, k):
     fine = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
